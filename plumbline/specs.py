@@ -1,4 +1,4 @@
-"""Declarations (rules, metric views, tools, policies) and the schemas of the result tables."""
+"""Declarations (rules, metric views, tools, policies) and the result tables as DDL."""
 from __future__ import annotations
 
 import re
@@ -6,8 +6,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import types as T
-
 # ---------------------------------------------------------------- quality rules
 ROW_RULES = ("not_null", "accepted_values", "range", "expression")
 RULE_TYPES = (*ROW_RULES, "unique", "references", "row_count")
@@ -163,28 +161,24 @@ class RowPolicy:
 
 
 # ---------------------------------------------------------------- result tables
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-INGESTION_LOG = _schema("run_id STRING, source STRING, source_file STRING, rows_loaded BIGINT, loaded_at TIMESTAMP")
-DQ_RUNS = _schema("check_run_id STRING, started_at TIMESTAMP, finished_at TIMESTAMP")
-DQ_RESULTS = _schema("check_run_id STRING, checked_at TIMESTAMP, rule_id STRING, table_name STRING, rule_type STRING, "
+INGESTION_LOG = ("run_id STRING, source STRING, source_file STRING, rows_loaded BIGINT, loaded_at TIMESTAMP")
+DQ_RUNS = ("check_run_id STRING, started_at TIMESTAMP, finished_at TIMESTAMP")
+DQ_RESULTS = ("check_run_id STRING, checked_at TIMESTAMP, rule_id STRING, table_name STRING, rule_type STRING, "
                      "column_name STRING, severity STRING, description STRING, total_rows BIGINT, failed_rows BIGINT, "
                      "passed BOOLEAN")
-DQ_QUARANTINE = _schema("check_run_id STRING, checked_at TIMESTAMP, rule_id STRING, table_name STRING, row_key STRING, "
+DQ_QUARANTINE = ("check_run_id STRING, checked_at TIMESTAMP, rule_id STRING, table_name STRING, row_key STRING, "
                         "row_json STRING")
-DQ_FRESHNESS = _schema("check_run_id STRING, checked_at TIMESTAMP, table_name STRING, layer STRING, "
+DQ_FRESHNESS = ("check_run_id STRING, checked_at TIMESTAMP, table_name STRING, layer STRING, "
                        "last_data_change TIMESTAMP, age_hours DOUBLE, max_hours DOUBLE, stale BOOLEAN, error STRING")
-DQ_RULES = _schema("rule_id STRING, table_name STRING, rule_type STRING, column_name STRING, severity STRING, "
+DQ_RULES = ("rule_id STRING, table_name STRING, rule_type STRING, column_name STRING, severity STRING, "
                    "tolerance DOUBLE, description STRING, origin STRING, definition STRING")
-ONTOLOGY_NODES = _schema("node_id STRING, node_type STRING, parent_id STRING, domain_id STRING, subdomain_id STRING, "
+ONTOLOGY_NODES = ("node_id STRING, node_type STRING, parent_id STRING, domain_id STRING, subdomain_id STRING, "
                          "name STRING, description STRING, owner STRING, path STRING, source STRING")
-PAGE_OBJECTS = _schema("page_id STRING, subdomain_id STRING, domain_id STRING, object_full_name STRING, "
+PAGE_OBJECTS = ("page_id STRING, subdomain_id STRING, domain_id STRING, object_full_name STRING, "
                        "object_kind STRING, layer STRING, placed_by STRING, confidence DOUBLE")
-GLOSSARY = _schema("term STRING, definition STRING, synonyms ARRAY<STRING>, page_id STRING, linked_object STRING, "
+GLOSSARY = ("term STRING, definition STRING, synonyms ARRAY<STRING>, page_id STRING, linked_object STRING, "
                    "linked_field STRING, source STRING")
-ASSET_INVENTORY = _schema("layer STRING, full_name STRING, kind STRING, column_count INT, row_count BIGINT, "
+ASSET_INVENTORY = ("layer STRING, full_name STRING, kind STRING, column_count INT, row_count BIGINT, "
                           "last_updated TIMESTAMP, has_comment BOOLEAN, readable BOOLEAN, error STRING")
-EVAL_RUNS = _schema("run_id STRING, run_at TIMESTAMP, target STRING, questions INT, correct INT, pass_rate DOUBLE, "
+EVAL_RUNS = ("run_id STRING, run_at TIMESTAMP, target STRING, questions INT, correct INT, pass_rate DOUBLE, "
                     "threshold DOUBLE, passed BOOLEAN")
