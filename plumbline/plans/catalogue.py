@@ -1,7 +1,7 @@
 """Every registered plan."""
 from __future__ import annotations
 
-from . import kpis, marts  # noqa: F401
+from . import checks, kpis, marts  # noqa: F401
 from .registry import ORACLES, PLANS, on_folder
 
 
