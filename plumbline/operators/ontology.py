@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from .textjoin import contains_pairs
 
 HIT = ("match_type", "matched", "definition", "domain", "subdomain", "page", "page_name", "object_full_name",
@@ -202,7 +203,8 @@ def lookup_all(terms: DataFrame, nodes_: DataFrame, objects: DataFrame, glossary
         F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>"))), F.lower))).alias("text"))
     folded_objects = objects.withColumn("text", F.lower(F.substring_index("object_full_name", ".", -1)))
     every_text = words.select("text").unionByName(folded_nodes.select("text")).unionByName(folded_objects.select("text"))
-    pairs = contains_pairs(asked, "needle", every_text, "text")
+    # Three kinds of hits read the pairs; written once, they are not found three times.
+    pairs = written(contains_pairs(asked, "needle", every_text, "text"), "pairs")
 
     exact = F.col("needle") == F.col("text")
     matched_words = (pairs.join(words, "text").groupBy("needle", "_id").agg(F.max(exact).alias("exact")))
@@ -232,10 +234,14 @@ def lookup_failures(probes: DataFrame, hits: DataFrame) -> DataFrame:
 
     A term needs a glossary hit of its own name, on its page if it has one; a page needs any hit on it.
     """
-    named = hits.where(F.col("match_type") == "glossary").where(F.lower("matched") == F.lower("term"))
-    answers = (named.select("term", "page", F.lit("term").alias("kind"))
-               .unionByName(named.select("term", F.lit(None).cast("string").alias("page"), F.lit("term").alias("kind")))
-               .unionByName(hits.select("term", "page", F.lit("page").alias("kind"))).distinct())
-    answers = answers.select(F.col("kind").alias("_kind"), F.col("term").alias("_term"), F.col("page").alias("_page"))
+    named = (F.col("match_type") == "glossary") & (F.lower("matched") == F.lower("term"))
+    nowhere = F.lit(None).cast("string")
+
+    def answer(kind, page):
+        return F.struct(F.lit(kind).alias("_kind"), F.col("term").alias("_term"), page.alias("_page"))
+
+    found = F.when(named, F.array(answer("page", F.col("page")), answer("term", F.col("page")), answer("term", nowhere))).otherwise(
+        F.array(answer("page", F.col("page"))))
+    answers = hits.select(F.inline(found)).distinct()
     same = ((F.col("kind") == F.col("_kind")) & (F.col("term") == F.col("_term")) & F.col("page").eqNullSafe(F.col("_page")))
     return probes.join(answers, same, "left_anti")
