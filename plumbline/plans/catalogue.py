@@ -1,7 +1,7 @@
 """Every registered plan."""
 from __future__ import annotations
 
-from . import access, checks, kpis, marts, meaning  # noqa: F401
+from . import access, checks, kpis, marts, meaning, state  # noqa: F401
 from .registry import ORACLES, PLANS, on_folder
 
 
