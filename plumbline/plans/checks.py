@@ -16,19 +16,19 @@ RULES = (
     Rule("main.customer", "not_null", ("c_custkey",), severity="critical", origin="key"),
     Rule("main.part", "not_null", ("p_size",)),
     Rule("main.customer", "unique", ("c_custkey",), severity="critical", origin="key"),
-    Rule("main.shipment", "unique", ("l_orderkey", "l_linenumber")),
+    Rule("main.lineitem", "unique", ("l_orderkey", "l_linenumber")),
     Rule("main.part", "unique", ("p_size", "p_brand")),
     Rule("main.orders", "accepted_values", ("o_orderstatus",), values=("F", "O", "P"), severity="critical"),
     Rule("main.orders", "accepted_values", ("o_orderpriority",), values=("1-URGENT", "2-HIGH")),
     Rule("main.part", "accepted_values", ("p_size",), values=(2, 3, 4)),
-    Rule("main.shipment", "range", ("l_quantity",), min=1, max=50, severity="critical"),
+    Rule("main.lineitem", "range", ("l_quantity",), min=1, max=50, severity="critical"),
     Rule("main.customer", "range", ("c_acctbal",), min=0),
     Rule("main.part", "range", ("p_size",), max=40, tolerance="0.29"),
     Rule("main.shipment", "expression", name="shipped after order", expression="l_shipdate >= o_orderdate"),
     Rule("main.part", "expression", name="size known", expression="p_size > 0"),
     Rule("main.customer", "expression", name="balance stated", expression="c_acctbal IS NOT NULL", severity="critical"),
-    Rule("main.shipment", "references", ("l_orderkey",), to="main.orders.o_orderkey", origin="key"),
-    Rule("main.shipment", "references", ("l_partkey",), to="main.small_part.p_partkey"),
+    Rule("main.lineitem", "references", ("l_orderkey",), to="main.orders.o_orderkey", origin="key"),
+    Rule("main.lineitem", "references", ("l_partkey",), to="main.small_part.p_partkey"),
     Rule("main.part", "references", ("p_size",), to="main.small_part.p_size", name="size in use", tolerance="0.6"),
     Rule("main.orders", "row_count", min=1, severity="critical"),
     Rule("main.region", "row_count", min=1, max=4),
@@ -39,7 +39,7 @@ def tables(t):
     """The tables rules are about. Some sizes are null, and parents above size 25 are missing, so rules can fail."""
     part = t.part.withColumn("p_size", F.nullif("p_size", F.lit(1)))
     shipment = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return {"main.customer": t.customer, "main.orders": t.orders, "main.part": part, "main.region": t.region,
+    return {"main.customer": t.customer, "main.orders": t.orders, "main.part": part, "main.region": t.region, "main.lineitem": t.lineitem,
             "main.shipment": shipment, "main.small_part": part.where("p_size <= 25")}
 
 
@@ -68,8 +68,8 @@ _ORACLE = {
         _sql("main.part.not_null_p_size", "not_null", "p_size", "warning", _PART, _where("p_size IS NULL"))),
     "unique": (
         _sql("main.customer.unique_c_custkey", "unique", "c_custkey", "critical", _twice("customer", "c_custkey"), _where("twice")),
-        _sql("main.shipment.unique_l_orderkey_l_linenumber", "unique", "l_orderkey, l_linenumber", "warning",
-             _twice(_SHIP, "l_orderkey", "l_linenumber"), _where("twice")),
+        _sql("main.lineitem.unique_l_orderkey_l_linenumber", "unique", "l_orderkey, l_linenumber", "warning",
+             _twice("lineitem", "l_orderkey", "l_linenumber"), _where("twice")),
         _sql("main.part.unique_p_size_p_brand", "unique", "p_size, p_brand", "warning", _twice(_PART, "p_size", "p_brand"), _where("twice"))),
     "accepted_values": (
         _sql("main.orders.accepted_values_o_orderstatus", "accepted_values", "o_orderstatus", "critical", "orders",
@@ -78,7 +78,7 @@ _ORACLE = {
              _where("o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")),
         _sql("main.part.accepted_values_p_size", "accepted_values", "p_size", "warning", _PART, _where("p_size IS NOT NULL AND p_size NOT IN (2, 3, 4)"))),
     "range": (
-        _sql("main.shipment.range_l_quantity", "range", "l_quantity", "critical", _SHIP, _where("l_quantity < 1 OR l_quantity > 50")),
+        _sql("main.lineitem.range_l_quantity", "range", "l_quantity", "critical", "lineitem", _where("l_quantity < 1 OR l_quantity > 50")),
         _sql("main.customer.range_c_acctbal", "range", "c_acctbal", "warning", "customer", _where("c_acctbal < 0")),
         _sql("main.part.range_p_size", "range", "p_size", "warning", _PART, _where("p_size > 40"), "failed_rows <= floor(total_rows * 0.29)")),
     "expression": (
@@ -86,8 +86,8 @@ _ORACLE = {
         _sql("main.part.size_known", "expression", None, "warning", _PART, _where("p_size IS NULL OR p_size <= 0")),
         _sql("main.customer.balance_stated", "expression", None, "critical", "customer", _where("c_acctbal IS NULL"))),
     "references": (
-        _sql("main.shipment.references_l_orderkey", "references", "l_orderkey", "warning", _SHIP, _where("l_orderkey NOT IN (SELECT o_orderkey FROM orders)")),
-        _sql("main.shipment.references_l_partkey", "references", "l_partkey", "warning", _SHIP,
+        _sql("main.lineitem.references_l_orderkey", "references", "l_orderkey", "warning", "lineitem", _where("l_orderkey NOT IN (SELECT o_orderkey FROM orders)")),
+        _sql("main.lineitem.references_l_partkey", "references", "l_partkey", "warning", "lineitem",
              _where("l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size BETWEEN 2 AND 25)")),
         _sql("main.part.size_in_use", "references", "p_size", "warning", _PART,
              _where("p_size IS NOT NULL AND p_size NOT IN (SELECT p_size FROM part WHERE p_size BETWEEN 2 AND 25)"),
@@ -347,7 +347,7 @@ def rule_set(t):
 
 
 # ---------------------------------------------------------------- streams
-STREAM_RULES = tuple(r for r in RULES if r.table == "main.shipment" and r.type in ("range", "references"))
+STREAM_RULES = tuple(r for r in RULES if r.table == "main.lineitem" and r.type in ("range", "references"))
 
 
 @query("stream_quality", " UNION ALL ".join(f"SELECT rule_id, total_rows, failed_rows FROM ({_ORACLE[k][i]})" for k, i in (("range", 0), ("references", 0), ("references", 1))))

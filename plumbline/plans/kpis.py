@@ -145,18 +145,6 @@ def metric_revenue_by_month(t):
     return doubles(ask(t, SALES, ["order_month"], ["revenue"]), "revenue")
 
 
-@query("view_problems", """SELECT view, CAST(n AS BIGINT) AS n FROM (VALUES ('bad_join', 1), ('bad_expr', 1), ('sales', 0)) v(view, n)
-  WHERE (SELECT COUNT(*) FROM lineitem) > 0""")
-def view_problems(t):
-    """Definitions checked against the tables' schemas: one good, one with an unknown source, one that does not resolve."""
-    src = sources(t)
-    bad_join = MetricView("bad_join", "orders", (), (Field("n", "COUNT(1)"),), (Join("c", "nobody", {"customer_id": "x"}),))
-    bad_expr = MetricView("bad_expr", "orders", (), (Field("n", "SUM(no_such_column)"),))
-    found = {"bad_join": bad_join, "bad_expr": bad_expr, "sales": SALES}
-    pairs = F.array(*[F.struct(F.lit(n).alias("view"), F.lit(len(metrics.view_problems(v, src))).cast("bigint").alias("n")) for n, v in found.items()])
-    return t.lineitem.agg(F.count(F.lit(1)).alias("rows")).where("rows > 0").select(F.inline(pairs))
-
-
 # ---------------------------------------------------------------- reconciliation
 _REFERENCE = f"""SELECT r_name AS region, SUM({b.AMOUNT}) AS value
   FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
@@ -413,6 +401,71 @@ def q_segment_trend(t):
     return doubles(ask(t, CUSTOMERS, ["order_month"], ["revenue"], lambda d: (d["segment"] == "MACHINERY") & when(d)), "revenue")
 
 
+@query("q_units_ordered_shipped", f"""SELECT CAST(SUM(units_ordered) AS BIGINT) AS units_ordered, CAST(SUM(units_shipped) AS BIGINT) AS units_shipped FROM ({b.FILL_SQL})
+  WHERE ship_date BETWEEN DATE '1997-08-01' AND DATE '1997-08-31'""")
+def q_units_ordered_shipped(t):
+    return ask(t, FULFILMENT, (), ["units_ordered", "units_shipped"], between("ship_date", "1997-08-01", "1997-08-31"))
+
+
+@query("q_fill_rate", f"""SELECT CAST(SUM(units_shipped) AS BIGINT) / CAST(SUM(units_ordered) AS BIGINT) AS fill_rate FROM ({b.FILL_SQL})
+  WHERE ship_date BETWEEN DATE '1997-07-01' AND DATE '1997-09-30'""")
+def q_fill_rate(t):
+    return ask(t, FULFILMENT, (), ["fill_rate"], between("ship_date", "1997-07-01", "1997-09-30"))
+
+
+@query("q_fill_rate_by_region", f"""SELECT region_name AS region, CAST(SUM(units_shipped) AS BIGINT) / CAST(SUM(units_ordered) AS BIGINT) AS fill_rate FROM ({b.FILL_SQL})
+  WHERE ship_date BETWEEN DATE '1997-07-01' AND DATE '1997-07-31' GROUP BY 1""")
+def q_fill_rate_by_region(t):
+    return ask(t, FULFILMENT, ["region"], ["fill_rate"], between("ship_date", "1997-07-01", "1997-07-31"))
+
+
+@query("q_returns_by_reason", f"""SELECT reason, CAST(SUM(returns) AS BIGINT) AS returns FROM ({b.RETURNS_SQL})
+  WHERE return_date BETWEEN DATE '1997-08-01' AND DATE '1997-08-31' GROUP BY 1""")
+def q_returns_by_reason(t):
+    return ask(t, RETURNS, ["reason"], ["returns"], between("return_date", "1997-08-01", "1997-08-31"))
+
+
+@query("q_returned_value", f"""SELECT CAST(SUM(returned_value) AS DOUBLE) AS returned_value FROM ({b.RETURNS_SQL})
+  WHERE return_date BETWEEN DATE '1997-09-01' AND DATE '1997-09-30'""")
+def q_returned_value(t):
+    return doubles(ask(t, RETURNS, (), ["returned_value"], between("return_date", "1997-09-01", "1997-09-30")), "returned_value")
+
+
+@query("q_units_returned", f"""SELECT CAST(SUM(units_returned) AS BIGINT) AS units_returned FROM ({b.RETURNS_SQL})
+  WHERE reason = '1-URGENT' AND return_date BETWEEN DATE '1997-07-01' AND DATE '1997-07-31'""")
+def q_units_returned(t):
+    when = between("return_date", "1997-07-01", "1997-07-31")
+    return ask(t, RETURNS, (), ["units_returned"], lambda d: (d["reason"] == "1-URGENT") & when(d))
+
+
+@query("q_top_segment", f"""SELECT segment, CAST(SUM(amount) AS DOUBLE) AS revenue FROM ({_ORDERS}) WHERE order_month = DATE '1997-09-01'
+  GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""")
+def q_top_segment(t):
+    month = ask(t, CUSTOMERS, ["segment"], ["revenue"], lambda d: d["order_month"] == F.lit("1997-09-01").cast("date"))
+    return doubles(month.orderBy(F.desc("revenue"), "segment").limit(1), "revenue")
+
+
+@query("q_category_in_region", f"SELECT CAST(SUM(revenue) AS DOUBLE) AS revenue FROM {_S} WHERE category = 'PROMO' AND region_name = 'AMERICA' AND {_Q3}")
+def q_category_in_region(t):
+    return doubles(ask(t, SALES, (), ["revenue"], lambda d: (d["category"] == "PROMO") & (d["region"] == "AMERICA") & Q3(d)), "revenue")
+
+
+@query("q_top_category", f"SELECT category, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM {_S} WHERE {_Q3} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def q_top_category(t):
+    return doubles(ask(t, SALES, ["category"], ["revenue"], Q3).orderBy(F.desc("revenue"), "category").limit(1), "revenue")
+
+
+@query("q_aov_per_month", f"""SELECT {_MONTH.format('order_date')} AS order_month, CAST(SUM(revenue) AS DOUBLE) / CAST(SUM(orders) AS BIGINT) AS avg_order_value FROM {_S}
+  WHERE order_date BETWEEN DATE '1997-06-01' AND DATE '1997-09-30' GROUP BY 1""")
+def q_aov_per_month(t):
+    return ask(t, SALES, ["order_month"], ["avg_order_value"], between("order_date", "1997-06-01", "1997-09-30"))
+
+
+@query("q_orders_in_month", f"SELECT CAST(SUM(orders) AS BIGINT) AS orders FROM {_S} WHERE order_date BETWEEN DATE '1997-07-01' AND DATE '1997-07-31'")
+def q_orders_in_month(t):
+    return ask(t, SALES, (), ["orders"], between("order_date", "1997-07-01", "1997-07-31"))
+
+
 TRUTH = {"q_total": q_total, "q_by_region": q_by_region, "q_top_region": q_top_region, "q_product_trend": q_product_trend,
          "q_segment_active": q_segment_active, "q_top3": q_top3, "tile_series": tile_series, "q_customers_per_region": q_customers_per_region}
 

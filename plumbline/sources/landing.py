@@ -1,9 +1,14 @@
 """Landed CSV files: read as strings with their origin, skip what was loaded, log per file, check pending files."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..specs import INGESTION_LOG
+from .sinks import append_widening, table_at
+
 ORIGIN = ("_source_file", "_ingest_ts", "_batch_id")
 
 
@@ -14,9 +19,10 @@ def with_origin(df: DataFrame, batch_id: str | Column) -> DataFrame:
             .withColumn("_batch_id", batch))
 
 
-def read_landing(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
-    """Every column a string; file path, ingest time and batch id added."""
-    return with_origin(spark.read.option("header", True).option("inferSchema", False).csv(path), batch_id)
+def read_landing(spark: SparkSession, path: str | list[str], batch_id: str) -> DataFrame:
+    """Every column a string; file path, ingest time and batch id added. Files with other headers are refused."""
+    reader = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+    return with_origin(reader.csv(path), batch_id)
 
 
 def unloaded(landed: DataFrame, log: DataFrame) -> DataFrame:
@@ -32,52 +38,69 @@ def log_files(loaded: DataFrame, source: str, run_id: str) -> DataFrame:
             .select(F.lit(run_id).alias("run_id"), F.lit(source).alias("source"), "source_file", "rows_loaded", "loaded_at"))
 
 
+def new_files(spark: SparkSession, path: str, log: DataFrame) -> DataFrame:
+    """path, _source_file of the landed files the log does not name; the files themselves are not opened."""
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("_source_file"))
+    return unloaded(listed, log)
+
+
+def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """_source_file, header, rows: the first line of each file and the number of lines after it.
+
+    One aggregate that is folded in the tasks, however large the files are.
+    """
+    lines = (spark.read.text(paths)
+             .select("value", F.col("_metadata.file_path").alias("_source_file"),
+                     F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+             .where(F.col("value") != ""))
+    return lines.groupBy("_source_file").agg(F.min_by("value", "at").alias("header"), (F.count(F.lit(1)) - 1).alias("rows"))
+
+
+def read_new(spark: SparkSession, files: DataFrame, batch_id: str) -> DataFrame | None:
+    """The rows of the listed files, or None without files. Files are read together where their headers agree, and the
+    groups are united by column name. Only file names come to the driver."""
+    paths = {r["_source_file"]: r["path"] for r in files.collect()}
+    if not paths:
+        return None
+    by_header = file_headers(spark, list(paths.values())).groupBy("header").agg(F.collect_list("_source_file").alias("files"))
+    parts = [read_landing(spark, [paths[f] for f in r["files"]], batch_id) for r in by_header.orderBy("header").collect()]
+    return reduce(append_widening, parts) if parts else None
+
+
 def load_new_files(spark: SparkSession, path: str, source: str, table_path: str, log_path: str, run_id: str) -> DataFrame:
-    """Append the files not yet logged, then log them; returns the log rows of this run.
+    """Store the rows of files not yet logged, then log the files; returns the log rows of this run.
 
-    The log is read back from what was written under this run, so its counts are those of the stored rows. A run that
-    dies between the two writes is repaired by the next: rows of files missing from the log are dropped by
-    :func:`bronze` until their file is logged.
+    A run owns one folder of the table and one of the log and overwrites them; what it loaded before does not count as
+    loaded when it is repeated, so a repeat stores the same rows once. The log counts the stored rows. Rows of a run
+    that died before its log are not read by :func:`bronze`, and their files are loaded by the next run.
     """
-    new = unloaded(read_landing(spark, path, run_id), read_log(spark, log_path))
-    new.write.mode("append").partitionBy("_batch_id").parquet(table_path)
-    stored = spark.read.option("mergeSchema", True).parquet(table_path).where(F.col("_batch_id") == run_id)
-    entries = log_files(stored, source, run_id)
-    entries.write.mode("append").parquet(log_path)
-    return read_log(spark, log_path).where((F.col("run_id") == run_id) & (F.col("source") == source))
+    mine = (F.col("run_id") == run_id) & (F.col("source") == source)
+    new = read_new(spark, new_files(spark, path, read_log(spark, log_path).where(~mine)), run_id)
+    if new is not None:
+        folder = f"{table_path}/load=r-{run_id}"
+        new.write.mode("overwrite").parquet(folder)
+        log_files(spark.read.parquet(folder), source, run_id).write.mode("overwrite").parquet(f"{log_path}/load=r-{run_id}-{source}")
+    return read_log(spark, log_path).where(mine)
 
 
 def bronze(spark: SparkSession, table_path: str, log_path: str) -> DataFrame:
-    """Loaded rows whose file and run are logged, with columns of all loads (missing ones are null)."""
-    rows = spark.read.option("mergeSchema", True).parquet(table_path)
+    """Loaded rows whose file and run are logged, with the columns of all loads (missing ones are null)."""
+    rows = spark.read.option("mergeSchema", True).parquet(table_path).drop("load")
     logged = read_log(spark, log_path).select(F.col("run_id").alias("_batch_id"), F.col("source_file").alias("_source_file"))
     return rows.join(logged, ["_batch_id", "_source_file"], "left_semi")
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    from ..specs import INGESTION_LOG
-    from .sinks import exists
-    if not exists(spark, log_path):
-        return spark.createDataFrame([], INGESTION_LOG)
-    return spark.read.schema(INGESTION_LOG).parquet(log_path)
+    log = table_at(spark, log_path, INGESTION_LOG)
+    return spark.createDataFrame([], INGESTION_LOG) if log is None else log.drop("load")
 
 
 def pending_files(spark: SparkSession, path: str, table_columns: list[str], log: DataFrame) -> DataFrame:
-    """Per file not yet loaded: rows, columns the table has and the file lacks, and the other way round.
-
-    The header is the first line of each file, found with one partial aggregate over all lines.
-    """
-    lines = (spark.read.text(path)
-             .select("value", F.col("_metadata.file_path").alias("_source_file"),
-                     F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
-             .where(F.col("value") != ""))
+    """Per file not yet loaded: rows, columns the table has and the file lacks, and the other way round."""
     have = F.array(*[F.lit(c) for c in table_columns if not c.startswith("_")])
     names = F.transform(F.split(F.col("header"), ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
-    return (unloaded(lines, log)
-            .groupBy(F.col("_source_file").alias("source_file"))
-            .agg(F.min_by("value", "at").alias("header"), (F.count(F.lit(1)) - 1).alias("rows"))
-            .withColumn("names", names)
-            .select("source_file", "rows",
+    return (unloaded(file_headers(spark, path), log).withColumn("names", names)
+            .select(F.col("_source_file").alias("source_file"), "rows",
                     F.array_except(have, "names").alias("missing_columns"),
                     F.array_except("names", have).alias("new_columns"))
             .withColumn("blocked", F.size("missing_columns") > 0))

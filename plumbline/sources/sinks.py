@@ -1,6 +1,7 @@
 """Writes: append with new columns, overwrite, copy of one project's rows, additive schema differences."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +10,15 @@ TYPE_ALIASES = {"LONG": "BIGINT", "INTEGER": "INT", "SHORT": "SMALLINT", "BYTE":
                 "DEC": "DECIMAL", "NUMERIC": "DECIMAL", "VARCHAR": "STRING", "CHAR": "STRING", "BOOL": "BOOLEAN"}
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+def table_at(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame | None:
+    """The parquet table at a path, or None where nothing was written yet."""
+    reader = spark.read.options(**options)
+    try:
+        return (reader.schema(schema) if schema else reader).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def append_widening(existing: DataFrame, new: DataFrame) -> DataFrame:
