@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diff, freshness, keys, medallion, profile
-from ..session import scratch
+from ..session import scratch, written
 from ..sources import catalog, landing, sinks
 from . import binding as b
 from .registry import doubles, query, text_list
@@ -433,7 +433,7 @@ def key_resolution(t):
 @query("fk_discovery", f"""SELECT *, orphans = 0 AS verified FROM ({_ORPHAN_SQL}) WHERE parent_table NOT IN ('small_part')
   AND NOT (child_table = 'customer' AND parent_table = 'supplier')""")
 def fk_discovery(t):
-    found = _orphans(t)
+    found = written(_orphans(t), "orphans")
     return keys.resolve_foreign_keys(found.drop("orphans"), _resolved(t), found.drop("parent_column"))
 
 

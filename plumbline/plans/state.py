@@ -119,8 +119,8 @@ def eval_failures(t):
 
 
 @query("eval_version", """WITH last AS (SELECT user_id, arg_max(event_type, row(ts, event_id)) AS d, arg_min(event_type, row(ts, event_id)) AS a, COUNT(*) AS n FROM events GROUP BY 1),
-  stored AS (SELECT event_type AS d, COUNT(*) AS n FROM events GROUP BY 1), want AS (SELECT user_id, 'view' AS d, 'click' AS a, CASE WHEN n > 60 THEN 1 ELSE (SELECT n FROM stored WHERE d = 'view') END AS n FROM last)
-  SELECT last.user_id AS target, p AS problem FROM last JOIN want USING (user_id), LATERAL (SELECT unnest([CASE WHEN last.d <> 'view' THEN 'other dataset version evaluated' END,
+  stored AS (SELECT event_type AS d, COUNT(*) AS n FROM events GROUP BY 1), want AS (SELECT user_id, CASE WHEN n > 70 THEN 'click' ELSE 'view' END AS d, 'click' AS a, CASE WHEN n > 60 THEN 1 ELSE (SELECT n FROM stored WHERE d = 'view') END AS n FROM last)
+  SELECT last.user_id AS target, p AS problem FROM last JOIN want USING (user_id), LATERAL (SELECT unnest([CASE WHEN last.d <> want.d THEN 'other dataset version evaluated' END,
     CASE WHEN last.a <> 'click' THEN 'other agent version evaluated' END, CASE WHEN want.n = 1 THEN 'stored dataset has another size' END]) AS p) WHERE p IS NOT NULL""")
 def eval_version(t):
     """Users as targets: their last event is the dataset version they were evaluated on, their first the agent version."""
@@ -129,7 +129,7 @@ def eval_version(t):
                                                                   F.count(F.lit(1)).alias("n"))
     stored = t.events.select(F.col("event_type").alias("dataset_version"))
     views = t.events.where("event_type = 'view'").agg(F.count(F.lit(1))).scalar()
-    approved = last.select("target", F.lit("view").alias("dataset_version"), F.lit("click").alias("agent_version"), F.when(F.col("n") > 60, 1).otherwise(views).alias("questions"))
+    approved = last.select("target", F.when(F.col("n") > 70, "click").otherwise("view").alias("dataset_version"), F.lit("click").alias("agent_version"), F.when(F.col("n") > 60, 1).otherwise(views).alias("questions"))
     return evaluate.version_gaps(last.drop("n"), approved, stored)
 
 
