@@ -76,6 +76,13 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], stamp: Col
     return untouched.unionByName(incoming.select(*untouched.columns))
 
 
+def silver_rows(raw: DataFrame, entity: str) -> DataFrame:
+    """Typed rows of one declared entity, the newest per key; the source file breaks ties in ingest time."""
+    _, key, columns = SILVER[entity]
+    rows = typed(raw, columns, keep=["_ingest_ts", "_source_file"])
+    return latest_per_key(rows, [key], "_ingest_ts", ["_source_file", *[c for c in columns if c != key]]).drop("_ingest_ts", "_source_file")
+
+
 # ---------------------------------------------------------------- gold
 def sales_mart(orders: DataFrame, product: DataFrame, region: DataFrame, amount: str = "quantity * unit_price",
                cancelled: str = CANCELLED) -> DataFrame:

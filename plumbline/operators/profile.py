@@ -47,7 +47,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, hidden: Sequenc
     nulls = [F.col("_rows") - F.col(f"n{i}") for i in range(len(columns))]
     rows = F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.col("_rows").alias("rows"), nulls[i].alias("nulls"),
-        F.when(F.col("_rows") > 0, F.round(nulls[i] / F.col("_rows"), 4)).alias("null_fraction"),
+        F.when(F.col("_rows") > 0, F.round(1 - F.col(f"n{i}") / F.col("_rows"), 4)).alias("null_fraction"),
         part(f"d{i}", "bigint").alias("distinct"), part(f"lo{i}", "string").alias("min"),
         part(f"hi{i}", "string").alias("max")) for i, c in enumerate(columns)])
     long = one.select(F.inline(rows))

@@ -1,6 +1,8 @@
 """Quality rules, their log, alerts and reports; quality and landing as streams."""
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import quality
@@ -9,6 +11,7 @@ from ..specs import Rule
 from ..streaming import landing as landing_stream
 from ..streaming import quality as quality_stream
 from . import binding as b
+from . import build
 from .marts import CHANGE_OPERATIONS, FRESH_SQL, user_changes, user_freshness, user_limits  # noqa: F401
 from .registry import query
 
@@ -381,3 +384,20 @@ def stream_bronze(t):
         F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(12,2)")).cast("double").alias("balance"),
         F.count_if(F.col("_source_file").isNull()).alias("unnamed"))
 
+
+
+# ---------------------------------------------------------------- a whole run, written
+@query("dq_check_run", f"SELECT '2024-01-31' AS check_run_id, rule_id, total_rows, failed_rows, passed, CASE WHEN rule_id IN (SELECT rule_id FROM ({QUARANTINE_SQL})) THEN n ELSE 0 END AS quarantined "
+       f"FROM ({RESULTS_SQL}) LEFT JOIN (SELECT rule_id, COUNT(*) AS n FROM ({QUARANTINE_SQL}) GROUP BY 1) USING (rule_id) WHERE rule_id IN ({', '.join(repr(r) for r in _QUARANTINED)})")
+def dq_check_run(t):
+    """Two runs of the check job into written logs, the second one repeated; the latest results with their quarantine."""
+    root = scratch(t.spark, "dq")
+    rules = [r for r in RULES if r.id in _QUARANTINED]
+    for run in ("2024-01-30", "2024-01-31", "2024-01-31"):
+        build.check_run(t.spark, root, run, dt.datetime.fromisoformat(run), tables(t), rules, KEYS, HIDDEN, user_changes(t), user_limits(t))
+    build.drop_old(t.spark, root, 30, dt.datetime(2024, 2, 1))
+    results = quality.latest(build.read_log(t.spark, root, "dq_results"), build.read_log(t.spark, root, "dq_runs"))
+    stored = (quality.latest(build.read_log(t.spark, root, "dq_quarantine"), build.read_log(t.spark, root, "dq_runs"))
+              .groupBy("rule_id").agg(F.count(F.lit(1)).alias("quarantined")))
+    return (results.join(stored, "rule_id", "left").na.fill(0, ["quarantined"])
+            .select("check_run_id", "rule_id", "total_rows", "failed_rows", "passed", "quarantined"))

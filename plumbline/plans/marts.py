@@ -72,6 +72,18 @@ def upsert(t):
     return medallion.upsert(target, changed.unionByName(added), ["c_custkey"], F.lit("second"), "batch")
 
 
+@query("silver_merge", """SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'second' ELSE 'first' END AS _updated_at FROM customer""")
+def silver_merge(t):
+    """A written table merged twice: all customers, then the changed ones, the second merge repeated."""
+    path = scratch(t.spark, "silver")
+    rows = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+    changed = rows.where("c_mktsegment = 'BUILDING'").withColumn("c_acctbal", F.col("c_acctbal") + 100)
+    for batch, stamp in ((rows, "first"), (changed, "second"), (changed, "second")):
+        sinks.merge_into(t.spark, path, batch, ["c_custkey"], F.lit(stamp), buckets=4)
+    return t.spark.read.parquet(path).drop("_bucket")
+
+
 # ---------------------------------------------------------------- landing
 @query("append_widening", """SELECT event_id, event_type, CAST(NULL AS DOUBLE) AS value FROM events WHERE event_type = 'error'
   UNION ALL SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'""")

@@ -83,9 +83,13 @@ def load_new_files(spark: SparkSession, path: str, source: str, table_path: str,
     return read_log(spark, log_path).where(mine)
 
 
-def bronze(spark: SparkSession, table_path: str, log_path: str) -> DataFrame:
-    """Loaded rows whose file and run are logged, with the columns of all loads (missing ones are null)."""
-    rows = spark.read.option("mergeSchema", True).parquet(table_path).drop("load")
+def bronze(spark: SparkSession, table_path: str, log_path: str, run_id: str | None = None) -> DataFrame:
+    """Loaded rows whose file and run are logged, with the columns of all loads (missing ones are null); or the rows of
+    one run, read from its folder alone."""
+    if run_id is None:
+        rows = spark.read.option("mergeSchema", True).parquet(table_path).drop("load")
+    else:
+        rows = spark.read.parquet(f"{table_path}/load=r-{run_id}")
     logged = read_log(spark, log_path).select(F.col("run_id").alias("_batch_id"), F.col("source_file").alias("_source_file"))
     return rows.join(logged, ["_batch_id", "_source_file"], "left_semi")
 

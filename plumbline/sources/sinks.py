@@ -1,10 +1,15 @@
 """Writes: append with new columns, overwrite, copy of one project's rows, additive schema differences."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.medallion import upsert
+from ..session import written
+
 # Names that mean the same base type.
 TYPE_ALIASES = {"LONG": "BIGINT", "INTEGER": "INT", "SHORT": "SMALLINT", "BYTE": "TINYINT", "REAL": "FLOAT",
                 "DEC": "DECIMAL", "NUMERIC": "DECIMAL", "VARCHAR": "STRING", "CHAR": "STRING", "BOOL": "BOOLEAN"}
@@ -31,6 +36,24 @@ def overwrite(df: DataFrame, path: str, schema=None) -> None:
     (df if schema is None else df.to(schema)).write.mode("overwrite").parquet(path)
 
 
+def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], stamp: Column | None = None,
+               buckets: int = 64) -> None:
+    """Upsert into a parquet table that is split into key buckets: only buckets the source touches are read and rewritten.
+
+    Source keys must be unique. The merged buckets are written to the work folder before they replace the old ones, so
+    a rerun after a failure merges the same rows again, to the same result. ``buckets`` stays the same for a table's life.
+    """
+    incoming = source.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(buckets)))
+    if stamp is not None:
+        incoming = incoming.withColumn("_updated_at", stamp)
+    target = table_at(spark, path)
+    if target is not None:
+        touched = [r["_bucket"] for r in incoming.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+        incoming = written(upsert(target.where(F.col("_bucket").isin(touched)), incoming, keys), "merge")
+    (incoming.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_bucket").parquet(path))
+
+
 def save_table(df: DataFrame, name: str, *, bucket_by: str | None = None, buckets: int = 64) -> None:
     """Create or replace a managed table, bucketed when later joins share the key."""
     writer = df.write.mode("overwrite").format("parquet")
