@@ -87,36 +87,38 @@ def low_confidence(placed: DataFrame, floor: float = 0.6) -> DataFrame:
 
 # ---------------------------------------------------------------- glossary
 def merge_glossary(user: DataFrame, measures: DataFrame, placed: DataFrame) -> DataFrame:
-    """term, definition, synonyms, links, page, source: one row per term, names compared without case.
+    """The glossary table: term, definition, synonyms, page_id, linked_object, linked_field, source, one row per link.
 
     ``user``: term, definition, synonyms, links (array of struct object, field). ``measures``: view, measure,
-    display_name, comment, synonyms. A user term keeps its definition and synonyms; the links of both are united.
-    Synonyms of measures that share a name are united. The page is that of the first link that is placed.
+    display_name, comment, synonyms. Names are compared without case. A user term keeps its definition and synonyms; the
+    links of both are united, a term without any keeps one row. Synonyms of measures that share a name are united. The
+    page is that of the first link that is placed, the user's links first.
     """
     name = F.coalesce("display_name", "measure")
+    link = F.struct(F.col("view").alias("object"), F.col("measure").alias("field"))
     auto = measures.select(F.lower(name).alias("key"), name.alias("term"), F.coalesce("comment", name).alias("definition"),
-                           F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"),
-                           F.struct(F.col("view").alias("object"), F.col("measure").alias("field")).alias("link"))
-    first = auto.groupBy("key").agg(F.min_by(F.struct("term", "definition"), F.struct("link", "term")).alias("head"))
-    # Synonyms and links are made distinct row by row before they are gathered into the term's arrays.
+                           F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"), link.alias("link"))
+    heads = auto.groupBy("key").agg(F.min_by(F.struct("term", "definition"), F.struct("link", "term")).alias("head"))
+    # Words are made distinct before they are gathered: what is gathered are the synonyms of one name, as people wrote them.
     words = (auto.select("key", F.explode("synonyms").alias("word")).distinct()
              .groupBy("key").agg(F.array_sort(F.collect_list("word")).alias("words")))
-    links = (auto.select("key", "link").distinct().groupBy("key").agg(F.array_sort(F.collect_list("link")).alias("auto_links")))
-    made = first.join(words, "key", "left").join(links, "key")
-    no_links = F.array().cast("array<struct<object:string,field:string>>")
-    mine = user.select(F.lower("term").alias("key"), F.struct("term", "definition", "synonyms").alias("own"),
-                       F.coalesce("links", no_links).alias("own_links"))
-    both = made.join(mine, "key", "full_outer")
+    mine = user.select(F.lower("term").alias("key"), F.struct("term", "definition", "synonyms").alias("own"))
     declared = F.col("own").isNotNull()
-    terms = both.select(
+    terms = heads.join(words, "key", "left").join(mine, "key", "full_outer").select(
         "key", F.when(declared, F.col("own.term")).otherwise(F.col("head.term")).alias("term"),
         F.when(declared, F.col("own.definition")).otherwise(F.col("head.definition")).alias("definition"),
         F.coalesce(F.when(declared, F.col("own.synonyms")).otherwise(F.col("words")), F.array().cast("array<string>")).alias("synonyms"),
-        F.array_union(F.coalesce("own_links", no_links), F.coalesce("auto_links", no_links)).alias("links"),
         F.when(declared, "user").otherwise("metric_view").alias("source"))
-    homes = (terms.select("key", F.posexplode("links").alias("at", "link")).select("key", "at", F.col("link.object").alias("asset"))
-             .join(placed.select("asset", "page"), "asset").groupBy("key").agg(F.min_by("page", "at").alias("page")))
-    return terms.join(homes, "key", "left").drop("key")
+    # Links stay rows; a link both sides have counts at its place among the user's.
+    given = user.select(F.lower("term").alias("key"), F.posexplode("links").alias("at", "link"))
+    links = (given.select("key", "link", F.struct(F.lit(0).alias("rank"), "at").alias("order"))
+             .unionByName(auto.select("key", "link", F.struct(F.lit(1).alias("rank"), F.lit(0).alias("at")).alias("order")))
+             .groupBy("key", "link").agg(F.min("order").alias("order")))
+    homes = (links.select("key", "order", "link", F.col("link.object").alias("asset"))
+             .join(placed.select("asset", "page"), "asset").groupBy("key").agg(F.min_by("page", F.struct("order", "link")).alias("page_id")))
+    return (terms.join(homes, "key", "left").join(links.select("key", "link"), "key", "left")
+            .select("term", "definition", "synonyms", "page_id", F.col("link.object").alias("linked_object"),
+                    F.col("link.field").alias("linked_field"), "source"))
 
 
 def explode_links(glossary: DataFrame) -> DataFrame:

@@ -39,30 +39,30 @@ def run_minutes(runs: DataFrame) -> DataFrame:
 
 
 def validity(goals: DataFrame, certifications: DataFrame, prerequisites: DataFrame, now: Column) -> DataFrame:
-    """goal_id, valid, reasons: certified and not expired, unchanged, and not older than its prerequisites.
+    """goal_id, valid, reason: certified and not expired, unchanged, and not older than its prerequisites.
 
     ``goals``: goal_id, config_hash, status. ``certifications``: goal_id, config_hash, certified_at, expires_at.
-    ``prerequisites``: goal_id, prerequisite. Goals without a certification are not listed.
+    ``prerequisites``: goal_id, prerequisite. A stale goal has one row per reason, so that a goal with very many
+    prerequisites is not gathered; a valid one has one row; goals without a certification have none.
     """
     order = F.struct("certified_at", "expires_at", "config_hash")
     last = certifications.groupBy("goal_id").agg(F.max_by(order, order).alias("cert"))
-    base = last.join(goals.select("goal_id", F.col("config_hash").alias("now_hash")), "goal_id", "left")
-    theirs = (last.select(F.col("goal_id").alias("prerequisite"), F.col("cert.certified_at").alias("their_time"))
-              .join(goals.select(F.col("goal_id").alias("prerequisite"), F.col("status").alias("their_status")), "prerequisite", "full_outer"))
-    needs = (prerequisites.join(last, "goal_id").join(theirs, "prerequisite", "left")
-             .withColumn("reason", F.when(F.col("their_time") > F.col("cert.certified_at"),
-                                          F.concat(F.lit("prerequisite "), F.col("prerequisite"), F.lit(" re-certified")))
-                         .when(~F.col("their_status").eqNullSafe(F.lit("certified")),
-                               F.concat(F.lit("prerequisite "), F.col("prerequisite"), F.lit(" is "),
-                                        F.coalesce("their_status", F.lit("unknown")))))
-             .where(F.col("reason").isNotNull())
-             .groupBy("goal_id").agg(F.array_sort(F.collect_set("reason")).alias("upstream")))
     own = F.array_compact(F.array(
         F.when(F.col("cert.expires_at") < now, "certification expired"),
         F.when(F.col("now_hash") != F.col("cert.config_hash"), "configuration changed since certification")))
-    reasons = F.concat(own, F.coalesce("upstream", F.array().cast("array<string>")))
-    return (base.join(needs, "goal_id", "left").withColumn("_reasons", reasons)
-            .select("goal_id", (F.size("_reasons") == 0).alias("valid"), F.array_join("_reasons", "; ").alias("reasons")))
+    mine = (last.join(goals.select("goal_id", F.col("config_hash").alias("now_hash")), "goal_id", "left")
+            .select("goal_id", F.explode(own).alias("reason")))
+    theirs = (last.select(F.col("goal_id").alias("prerequisite"), F.col("cert.certified_at").alias("their_time"))
+              .join(goals.select(F.col("goal_id").alias("prerequisite"), F.col("status").alias("their_status")), "prerequisite", "full_outer"))
+    named = F.concat(F.lit("prerequisite "), F.col("prerequisite").cast("string"))
+    newer = F.col("their_time") > F.col("cert.certified_at")
+    stale = (F.when(newer, F.concat(named, F.lit(" re-certified")))
+             .when(~F.col("their_status").eqNullSafe(F.lit("certified")),
+                   F.concat(named, F.lit(" is "), F.coalesce("their_status", F.lit("unknown")))))
+    upstream = (prerequisites.join(last, "goal_id").join(theirs, "prerequisite", "left")
+                .select("goal_id", stale.alias("reason")).where(F.col("reason").isNotNull()).distinct())
+    return (last.select("goal_id").join(mine.unionByName(upstream), "goal_id", "left")
+            .select("goal_id", F.col("reason").isNull().alias("valid"), "reason"))
 
 
 def required_goals(name: str, milestones: Mapping = MILESTONES) -> list[str]:

@@ -368,7 +368,7 @@ def stream_quality_split(t):
     out = scratch(t.spark, "quality")
     stream = (t.spark.readStream.schema(t.lineitem.schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder))
     quality_stream.stream_quality(stream, STREAM_RULES, out, scratch(t.spark, "checkpoint"), tables(t))
-    parts = [t.spark.read.parquet(f"{out}/{p}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n") for p in ("good", "quarantine")]
+    parts = [quality_stream.stored_rows(t.spark, out, p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n") for p in ("good", "quarantine")]
     return parts[0].unionByName(parts[1])
 
 

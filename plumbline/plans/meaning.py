@@ -125,41 +125,41 @@ GLOSSARY_SQL = f"""SELECT term, coalesce(red_definition, term) AS definition, sy
   'page_' || substr(list_filter(views, lambda v: v < 'v_Brand#3')[1], 3) AS page FROM ({_GLOSSARY})"""
 
 
-@query("glossary_merge", f"""SELECT term, definition, array_to_string(synonyms, ',') AS synonyms, array_to_string(list_transform(views, lambda v: v || '.' || field), ',') AS links, source, page
-  FROM ({GLOSSARY_SQL})""")
+_ROWS = """SELECT term, definition, synonyms, page AS page_id, v AS linked_object, field AS linked_field, source
+  FROM (SELECT *, unnest(views) AS v FROM ({g}))"""
+
+
+@query("glossary_merge", f"SELECT * REPLACE (array_to_string(synonyms, ',') AS synonyms) FROM ({_ROWS.format(g=GLOSSARY_SQL)})")
 def glossary_merge(t):
-    links = F.array_join(F.transform("links", lambda x: F.concat_ws(".", x["object"], x["field"])), ",")
-    return glossary(t).withColumn("links", links).withColumn("synonyms", text_list("synonyms"))
+    return glossary(t).withColumn("synonyms", text_list("synonyms"))
 
 
-@query("glossary_links", f"""SELECT term, definition, page AS page_id, v AS linked_object, field AS linked_field, source FROM (SELECT *, unnest(views) AS v FROM ({GLOSSARY_SQL}))
-  UNION ALL SELECT DISTINCT p_type, 'unlinked', NULL, NULL, NULL, 'user' FROM part""")
+@query("glossary_links", """SELECT DISTINCT upper(p_name) AS term, 'Red goods: ' || split_part(p_name, ' ', 2) AS definition, CAST(NULL AS VARCHAR) AS page_id,
+  CASE WHEN p_name <> 'red bolt' THEN 'v_Brand#9' END AS linked_object, CASE WHEN p_name <> 'red bolt' THEN replace(p_name, ' ', '_') END AS linked_field, 'user' AS source
+  FROM part WHERE p_name LIKE 'red %'""")
 def glossary_links(t):
-    """One row per link; terms without a link, here the part types, keep one row."""
-    loose = t.part.select(F.col("p_type").alias("term")).distinct().select(
-        "term", F.lit("unlinked").alias("definition"), F.array().cast("array<string>").alias("synonyms"), F.lit(None).cast("array<struct<object:string,field:string>>").alias("links"),
-        F.lit("user").alias("source"), F.lit(None).cast("string").alias("page"))
-    return ontology.explode_links(glossary(t).select(*loose.columns).unionByName(loose)).drop("synonyms")
+    """One row per link of the declared terms; the term without a link keeps one row."""
+    declared = user_terms(t).withColumn("page", F.lit(None).cast("string")).withColumn("source", F.lit("user"))
+    return ontology.explode_links(declared).drop("synonyms")
 
 
 @query("glossary_terms", f"SELECT term, definition, page AS page_id FROM ({GLOSSARY_SQL})")
 def glossary_terms(t):
-    return ontology.one_definition(ontology.explode_links(glossary(t)))
+    return ontology.one_definition(glossary(t))
 
 
 # ---------------------------------------------------------------- lookup
 def registry(t):
     """The three registry tables a lookup reads, as written tables."""
-    return (written(taxonomy(t), "nodes"), written(objects(t), "objects"), written(ontology.explode_links(glossary(t)), "glossary"))
+    return (written(taxonomy(t), "nodes"), written(objects(t), "objects"), written(glossary(t), "glossary"))
 
 
 _NULL = "CAST(NULL AS VARCHAR)"
-_ROWS = f"SELECT term, definition, synonyms, page AS page_id, v AS linked_object, field AS linked_field FROM (SELECT *, unnest(views) AS v FROM ({GLOSSARY_SQL}))"
 
 
 def _lookup_sql(terms: str) -> str:
     """Every term compared with every name: fine for a check on small tables."""
-    return f"""WITH ask AS (SELECT DISTINCT term, lower(trim(term)) AS n FROM ({terms}) WHERE trim(term) <> ''), o AS ({_OBJECTS}), nd AS ({_NODES}), g AS ({_ROWS}),
+    return f"""WITH ask AS (SELECT DISTINCT term, lower(trim(term)) AS n FROM ({terms}) WHERE trim(term) <> ''), o AS ({_OBJECTS}), nd AS ({_NODES}), g AS ({_ROWS.format(g=GLOSSARY_SQL)}),
   hits AS (SELECT ask.term AS asked, CASE WHEN lower(g.term) = n OR list_contains(list_transform(synonyms, lambda s: lower(s)), n) THEN 1 ELSE 3 END AS rank, 'glossary' AS match_type,
       g.term AS matched, definition, page_id AS page, linked_object AS object_full_name, linked_field AS field
     FROM ask JOIN g ON contains(lower(g.term), n) OR len(list_filter(synonyms, lambda s: contains(lower(s), n))) > 0

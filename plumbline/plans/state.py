@@ -210,11 +210,11 @@ def run_minutes(t):
   goal AS (SELECT c_custkey AS g, c_nationkey AS nk, CASE WHEN c_mktsegment = 'BUILDING' THEN '1-URGENT' END AS h, CASE WHEN c_acctbal > 8000 THEN 'failed' ELSE 'certified' END AS st FROM customer),
   need AS (SELECT c_custkey AS g, min(c_custkey) OVER (PARTITION BY c_nationkey) AS p FROM customer),
   up AS (SELECT need.g, CASE WHEN pc.c[1] > cert.c[1] THEN 'prerequisite ' || p || ' re-certified' WHEN goal.st <> 'certified' THEN 'prerequisite ' || p || ' is ' || goal.st END AS r
-    FROM need JOIN cert USING (g) LEFT JOIN cert pc ON pc.g = p JOIN goal ON goal.g = p WHERE p <> need.g)
-  SELECT cert.g AS goal_id, concat_ws('; ', CASE WHEN cert.c[1] + INTERVAL 400 DAYS < TIMESTAMP '2001-06-01' THEN 'certification expired' END,
-      CASE WHEN h <> cert.c[2] THEN 'configuration changed since certification' END, up.r) AS reasons,
-    NOT (cert.c[1] + INTERVAL 400 DAYS < TIMESTAMP '2001-06-01' OR (h IS NOT NULL AND h <> cert.c[2]) OR up.r IS NOT NULL) AS valid
-  FROM cert JOIN goal ON goal.g = cert.g LEFT JOIN up ON up.g = cert.g""")
+    FROM need JOIN cert USING (g) LEFT JOIN cert pc ON pc.g = p JOIN goal ON goal.g = p WHERE p <> need.g),
+  own AS (SELECT cert.g, unnest([CASE WHEN cert.c[1] + INTERVAL 400 DAYS < TIMESTAMP '2001-06-01' THEN 'certification expired' END,
+      CASE WHEN h <> cert.c[2] THEN 'configuration changed since certification' END]) AS r FROM cert JOIN goal ON goal.g = cert.g),
+  bad AS (SELECT g, r FROM own WHERE r IS NOT NULL UNION ALL SELECT g, r FROM up WHERE r IS NOT NULL)
+  SELECT cert.g AS goal_id, bad.r IS NULL AS valid, bad.r AS reason FROM cert LEFT JOIN bad ON bad.g = cert.g""")
 def cert_validity(t):
     """Customers as goals, orders as their certifications, the first customer of a nation as prerequisite of the others."""
     certs = t.orders.select(F.col("o_custkey").alias("goal_id"), F.col("o_orderpriority").alias("config_hash"), F.col("o_orderdate").alias("certified_at"),

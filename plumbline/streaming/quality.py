@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import bad
+from ..sources.sinks import table_at
 from ..specs import ROW_RULES, Rule
 
 
@@ -30,29 +31,35 @@ def flagged(df: DataFrame, rules: Sequence[Rule], tables: Mapping[str, DataFrame
 
 def stream_quality(stream: DataFrame, rules: Sequence[Rule], out: str, checkpoint: str,
                    tables: Mapping[str, DataFrame] | None = None) -> None:
-    """Split a stream into ``out/good``, ``out/quarantine`` and ``out/results``, then stop when all input is read.
+    """Store a stream's rows under ``out/rows`` in the parts ``good`` and ``quarantine`` and its counts under
+    ``out/results``, then stop when all input is read.
 
-    Each batch overwrites its own folder, so a batch repeated after a failure leaves no second copy.
+    A batch is computed and written once, and counted from what was written. It overwrites its own folders, so a batch
+    repeated after a failure leaves no second copy.
     """
     def split(batch: DataFrame, batch_id: int) -> None:
-        rows = flagged(batch, rules, tables).persist()
-        try:
-            part = f"batch={batch_id}"
-            failing = F.size("_failed") > 0
-            rows.where(~failing).drop("_failed").write.mode("overwrite").parquet(f"{out}/good/{part}")
-            rows.where(failing).write.mode("overwrite").parquet(f"{out}/quarantine/{part}")
-            counts = rows.agg(F.count(F.lit(1)).alias("total"),
-                              *[F.count_if(F.array_contains("_failed", r.id)).alias(f"f{i}") for i, r in enumerate(rules)])
-            long = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col("total").alias("total_rows"),
-                                      F.col(f"f{i}").alias("failed_rows")) for i, r in enumerate(rules)])
-            counts.select(F.inline(long)).write.mode("overwrite").parquet(f"{out}/results/{part}")
-        finally:
-            rows.unpersist()
+        folder = f"batch={batch_id}"
+        part = F.when(F.size("_failed") > 0, "quarantine").otherwise("good")
+        (flagged(batch, rules, tables).withColumn("part", part)
+         .write.mode("overwrite").partitionBy("part").parquet(f"{out}/rows/{folder}"))
+        stored = table_at(batch.sparkSession, f"{out}/rows/{folder}")
+        if stored is None:
+            return
+        counts = stored.agg(F.count(F.lit(1)).alias("total"),
+                            *[F.count_if(F.array_contains("_failed", r.id)).alias(f"f{i}") for i, r in enumerate(rules)])
+        long = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col("total").alias("total_rows"),
+                                  F.col(f"f{i}").alias("failed_rows")) for i, r in enumerate(rules)])
+        counts.select(F.inline(long)).write.mode("overwrite").parquet(f"{out}/results/{folder}")
 
     (stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
+def stored_rows(spark: SparkSession, out: str, part: str) -> DataFrame:
+    """Rows of all batches so far, ``good`` or ``quarantine``, with the rules they break."""
+    return spark.read.parquet(f"{out}/rows").where(F.col("part") == part).drop("batch", "part")
+
+
 def results(spark: SparkSession, out: str) -> DataFrame:
     """Counts per rule over all batches so far."""
     return (spark.read.parquet(f"{out}/results").groupBy("rule_id")

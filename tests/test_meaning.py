@@ -196,6 +196,21 @@ def test_placement_order(spark, rows):
     assert rows(got) == [("a", "p1", "user", 1.0, 0), ("b", "p2", "certified", 0.5, 1), ("c", "p3", "agent", 0.7, 1), ("d", None, "pending", None, 2), ("e", None, "pending", None, 0)]
 
 
+def test_glossary_unites_links_and_the_user_wins(spark, rows):
+    measures = spark.createDataFrame([("v1", "rev", "Revenue", "c1", ["sales"]), ("v2", "rev", "revenue", "c2", ["turnover", "sales"]), ("v3", "aov", None, None, None)],
+                                     "view STRING, measure STRING, display_name STRING, comment STRING, synonyms ARRAY<STRING>")
+    user = spark.createDataFrame([("REVENUE", "mine", ["cash"], [("v9", "x"), ("v2", "rev")]), ("Churn", "lost", None, None)],
+                                 "term STRING, definition STRING, synonyms ARRAY<STRING>, links ARRAY<STRUCT<object: STRING, field: STRING>>")
+    placed = spark.createDataFrame([("v1", "p1"), ("v2", "p2")], "asset STRING, page STRING")
+    got = ontology.merge_glossary(user, measures, placed)
+    assert rows(got.withColumn("synonyms", F.array_join("synonyms", ","))) == [
+        ("Churn", "lost", "", None, None, None, "user"), ("REVENUE", "mine", "cash", "p2", "v1", "rev", "user"), ("REVENUE", "mine", "cash", "p2", "v2", "rev", "user"),
+        ("REVENUE", "mine", "cash", "p2", "v9", "x", "user"), ("aov", "aov", "", None, "v3", "aov", "metric_view")]
+    auto = ontology.merge_glossary(user.where("false"), measures, placed)
+    assert rows(auto.withColumn("synonyms", F.array_join("synonyms", ",")), "term", "synonyms", "page_id", "linked_object") == [
+        ("Revenue", "sales,turnover", "p1", "v1"), ("Revenue", "sales,turnover", "p1", "v2"), ("aov", "", None, "v3")]
+
+
 # ---------------------------------------------------------------- evaluation
 def test_truth_needs_one_to_fifty_rows(spark, rows):
     got = evaluate.truth({"none": spark.range(0), "some": spark.range(50), "many": spark.range(500)})
@@ -248,14 +263,14 @@ def test_milestones_build_on_each_other(spark):
     assert got == {("x", "A"): (1, 1, True), ("x", "B"): (2, 2, False), ("y", "A"): (0, 1, False), ("y", "B"): (0, 1, False)}
 
 
-def test_validity_reasons(spark):
+def test_validity_reasons(spark, rows):
     d = lambda n: dt.datetime(2024, 1, n)
     goals = spark.createDataFrame([("g0", "h", "certified"), ("g1", "h2", "certified"), ("g2", "h", "ready")], "goal_id STRING, config_hash STRING, status STRING")
     certs = spark.createDataFrame([("g0", "h", d(5), d(20)), ("g1", "h", d(2), d(8)), ("g1", "h", d(1), d(30))], "goal_id STRING, config_hash STRING, certified_at TIMESTAMP, expires_at TIMESTAMP")
     needs = spark.createDataFrame([("g1", "g0"), ("g1", "g2"), ("g1", "g9")], "goal_id STRING, prerequisite STRING")
-    got = {r.goal_id: (r.valid, r.reasons) for r in ops.validity(goals, certs, needs, F.lit(d(10))).collect()}
-    assert got == {"g0": (True, ""), "g1": (False, "certification expired; configuration changed since certification; prerequisite g0 re-certified; "
-                                                   "prerequisite g2 is ready; prerequisite g9 is unknown")}
+    assert rows(ops.validity(goals, certs, needs, F.lit(d(10)))) == [
+        ("g0", True, None), ("g1", False, "certification expired"), ("g1", False, "configuration changed since certification"),
+        ("g1", False, "prerequisite g0 re-certified"), ("g1", False, "prerequisite g2 is ready"), ("g1", False, "prerequisite g9 is unknown")]
 
 
 def test_doc_headings(spark, rows):
