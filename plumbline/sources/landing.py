@@ -62,8 +62,10 @@ def read_new(spark: SparkSession, files: DataFrame, batch_id: str) -> DataFrame
     paths = {r["_source_file"]: r["path"] for r in files.collect()}
     if not paths:
         return None
-    by_header = file_headers(spark, list(paths.values())).groupBy("header").agg(F.collect_list("_source_file").alias("files"))
-    parts = [read_landing(spark, [paths[f] for f in r["files"]], batch_id) for r in by_header.orderBy("header").collect()]
+    groups: dict[str, list[str]] = {}
+    for r in file_headers(spark, list(paths.values())).select("_source_file", "header").collect():
+        groups.setdefault(r["header"], []).append(paths[r["_source_file"]])
+    parts = [read_landing(spark, sorted(files), batch_id) for _, files in sorted(groups.items())]
     return reduce(append_widening, parts) if parts else None
 
 
