@@ -47,20 +47,35 @@ def key_candidates(table: str, columns: Sequence[str], patterns: Sequence[str] =
     return sorted(likely, key=lambda c: stem not in c.lower())
 
 
+def possible_keys(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """The candidates one cheap scan does not rule out: none is null, and whole numbers span at least as many values as
+    there are rows. Only the counts and bounds come to the driver."""
+    whole = [c for c in names if dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint")]
+    bounds = [x for c in whole for x in (F.min(c).cast("decimal(20,0)").alias(f"lo_{c}"), F.max(c).cast("decimal(20,0)").alias(f"hi_{c}"))]
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{c}") for c in names], *bounds).first()
+
+    def possible(c):
+        if seen["rows"] == 0 or seen[f"n_{c}"] < seen["rows"]:
+            return False
+        return c not in whole or seen[f"hi_{c}"] - seen[f"lo_{c}"] + 1 >= seen["rows"]
+
+    return [c for c in names if possible(c)]
+
+
 def infer_key(df: DataFrame, table: str, patterns: Sequence[str] = KEY_PATTERNS) -> DataFrame:
     """table_name, key_column: the first candidate that holds; no row when none does.
 
-    All candidates are tested from one scan: values of every candidate are counted in one shuffle.
+    Candidates that a scan of counts and bounds rules out are not counted; the values of the others are, in one shuffle.
     """
-    names = key_candidates(table, df.columns, patterns)
+    candidates = key_candidates(table, df.columns, patterns)
+    names = possible_keys(df, candidates) if candidates else []
     if not names:
         return df.sparkSession.createDataFrame([], "table_name STRING, key_column STRING")
     pairs = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(c).alias("key_column"), F.col(c).cast("string").alias("value"))
                       for i, c in enumerate(names)])
     counted = (df.select(F.inline(pairs)).groupBy("rank", "key_column", "value").agg(F.count(F.lit(1)).alias("n"))
-               .groupBy("rank", "key_column")
-               .agg(F.max("n").alias("most"), F.count_if(F.col("value").isNull()).alias("null_values")))
-    return (counted.where((F.col("most") == 1) & (F.col("null_values") == 0))
+               .groupBy("rank", "key_column").agg(F.max("n").alias("most")))
+    return (counted.where(F.col("most") == 1)
             .agg(F.min_by("key_column", "rank").alias("key_column"))
             .where(F.col("key_column").isNotNull())
             .select(F.lit(table).alias("table_name"), "key_column"))

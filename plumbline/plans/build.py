@@ -92,4 +92,4 @@ def drop_old(spark: SparkSession, root: str, days: int, now: dt.datetime) -> Non
         found = sinks.table_at(spark, f"{root}/{name}", LOGS.get(name, DQ_RUNS))
         if found is not None:
             kept = written(quality.retain(found, time, days, F.lit(now)), name)
-            kept.repartition("run").write.mode("overwrite").partitionBy("run").parquet(f"{root}/{name}")
+            kept.hint("rebalance", "run").write.mode("overwrite").partitionBy("run").parquet(f"{root}/{name}")

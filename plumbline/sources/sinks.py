@@ -50,7 +50,8 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
     if target is not None:
         touched = [r["_bucket"] for r in incoming.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
         incoming = written(upsert(target.where(F.col("_bucket").isin(touched)), incoming, keys), "merge")
-    (incoming.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # Rows of a bucket are brought together, and adaptive execution splits a bucket that is too large for one task.
+    (incoming.hint("rebalance", "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_bucket").parquet(path))
 
 

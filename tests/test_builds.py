@@ -148,6 +148,14 @@ def test_infer_key_tries_the_tables_own_name_first(spark, rows):
     assert keys.infer_key(df.toDF("a", "b"), "main.orders").count() == 0
 
 
+def test_bounds_and_nulls_rule_keys_out(spark):
+    df = spark.createDataFrame([(1, "a", -5, 1), (2, "a", 9, None), (1, "b", 0, 3)], "a_id INT, b_id STRING, c_id INT, d_id INT")
+    names = ["a_id", "b_id", "c_id", "d_id"]
+    assert keys.possible_keys(df, names) == ["b_id", "c_id"]  # two numbers cannot hold three rows; text is not judged by bounds
+    assert keys.possible_keys(df.where("false"), names) == []
+    assert keys.infer_key(df, "main.t").first().key_column == "c_id"
+
+
 def test_orphans_ignore_null_keys(spark):
     child = spark.createDataFrame([(1,), (2,), (2,), (None,)], "c INT")
     parent = spark.createDataFrame([(1,), (None,)], "p INT")
