@@ -7,24 +7,25 @@ import sys
 BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups")
 
 
-def scan(spark, plans, folder, threshold="-1"):
+def found_in(df):
+    """Names of the operators in a plan that would not hold on large tables."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    found = [b for b in BAD if b in text]
+    if re.search(r"Window \[.*\], \[\]", text) or re.search(r"windowspecdefinition\((?!\w+#)", text):
+        found.append("window over everything")
+    if re.search(r"Sort \[.*\], true", text) and "TakeOrdered" not in text:
+        found.append("sort of everything")
+    return found
+
+
+def scan(spark, plans, folder):
     """name -> operators found, with automatic broadcasts off, so that plans are those of large tables."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    out = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for name, plan in plans.items():
-            text = plan(spark, folder)._jdf.queryExecution().executedPlan().toString()
-            found = [b for b in BAD if b in text]
-            # A ranking over a single partition, unless its input is already limited per task.
-            if re.search(r"Window \[.*\], \[\]", text) or re.search(r"windowspecdefinition\((?!\w+#)", text):
-                found.append("global window")
-            if re.search(r"Sort \[.*\], true", text) and "TakeOrdered" not in text:
-                found.append("global sort")
-            if found:
-                out[name] = found
+        found = {name: found_in(plan(spark, folder)) for name, plan in plans.items()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    return out
+    return {name: f for name, f in found.items() if f}
 
 
 if __name__ == "__main__":

