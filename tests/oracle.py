@@ -1,10 +1,6 @@
 """Runs a registered query on Spark and its SQL on DuckDB, and compares names, types and values."""
 from __future__ import annotations
 
-import datetime
-import decimal
-import math
-
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -17,16 +13,6 @@ def connect(folder):
     return con
 
 
-def _kind(v):
-    if v is None or isinstance(v, (bool, str, datetime.date)):
-        return type(v).__name__
-    if isinstance(v, int):
-        return "int"
-    if isinstance(v, float):
-        return "float"
-    return type(v).__name__
-
-
 def _key(row):
     return tuple((v is not None, str(type(v)), v if not isinstance(v, float) else round(v, 6)) if not isinstance(v, (list, dict)) else (True, "l", str(v)) for v in row)
 
