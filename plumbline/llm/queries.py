@@ -4,14 +4,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch
+from .line_dedup import LINE_SQL, line_dedup
+from .mixing import MIX_SQL, mixed
 from .packing import packed
+from .quality_rules import judged
 from .tables import BYTES, WORDS, table, vocabulary
 from .token_counts import token_counts
 from .token_files import token_digest, write_token_files
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("row")
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "token-files")
     write_token_files(table(spark, folder, "documents"), path, vocabulary(WORDS), end_id=1)
@@ -22,14 +30,23 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), vocabulary(WORDS), end_id=1)
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup(table(spark, folder, "documents"), shortest=40, least=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(table(spark, folder, "documents")).drop("key")
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary(BYTES), limit=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op4_token_files, op7_packing, op10_token_counts)
+    every = (op2_quality_rules, op4_token_files, op7_packing, op8_line_dedup, op9_mixing, op10_token_counts)
     return {q.__name__: q for q in every}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
