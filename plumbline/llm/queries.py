@@ -7,15 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
+from .language_id import language
 from .line_dedup import LINE_SQL, line_dedup
 from .mixing import MIX_SQL, mixed
 from .packing import packed
+from .quality_classifier import quality_scores
 from .quality_rules import judged
 from .tables import BYTES, WORDS, table, vocabulary
 from .token_counts import token_counts
 from .token_files import token_digest, write_token_files
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("row")
 
@@ -26,6 +32,10 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(spark, path)
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), vocabulary(WORDS), end_id=1)
 
@@ -44,7 +54,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_quality_rules, op4_token_files, op7_packing, op8_line_dedup, op9_mixing, op10_token_counts)
+    every = (op1_quality_classifier, op2_quality_rules, op4_token_files, op6_language_id, op7_packing, op8_line_dedup, op9_mixing, op10_token_counts)
     return {q.__name__: q for q in every}
 
 
