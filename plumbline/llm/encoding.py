@@ -15,7 +15,7 @@ import re
 
 from .batches import of_bytes
 
-KEPT = 1_000_000  # words remembered in a worker
+KEPT = 600_000  # words, and parts of words, remembered in a worker
 CALL_BYTES = 1 << 19  # of text in one call of the library
 SPACED = -(1 << 60)
 PART = 1 << 14  # characters after which a long text may be cut
@@ -57,10 +57,14 @@ class Encoder:
             self.kind, self.size, self.model = self._rules(json.loads(tok.to_str())), tok.get_vocab_size(True), tok.model
             self._ids_of = lambda ts: [e.ids for e in tok.encode_batch_fast(ts, add_special_tokens=False)]
         self.code = "H" if self.size <= 1 << 16 else "I"
-        self.parts: dict[str, list[int]] = {}
-        self.known = Known(lambda w: self._plain(w, ""), lambda i: array.array(self.code, i).tobytes(), b"")
-        self.first = Known(lambda w: self._plain(w, ""), len, 0)
-        self.later = Known(lambda w: self._plain(w, " "), len, 0)
+        self.width = array.array(self.code).itemsize
+        self.parts: dict[str, bytes] = {}
+        self.known = Known(lambda w: self._plain(w, ""), b"")
+        self.first = Known(lambda w: (i := self._plain(w, "")) and len(i) // self.width, 0)
+        self.later = Known(lambda w: (i := self._plain(w, " ")) and len(i) // self.width, 0)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array.array(self.code, ids).tobytes()
 
     @staticmethod
     def _rules(config: dict) -> str:
@@ -78,14 +82,14 @@ class Encoder:
             return "dropped"
         return "whole"
 
-    def _merge(self, part: str) -> list[int]:
+    def _merge(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             letters = part if part.isascii() and part[0] != " " else part.encode().decode("latin-1").translate(_LETTERS)
-            self.parts[part] = ids = [t.id for t in self.model.tokenize(letters)]
+            self.parts[part] = ids = self._packed([t.id for t in self.model.tokenize(letters)])
         return ids
 
-    def _plain(self, word: str, lead: str) -> list[int] | None:
+    def _plain(self, word: str, lead: str) -> bytes | None:
         """Ids of a plain word; ``lead`` is the space before it where white space is encoded. None for other words."""
         m = PLAIN.fullmatch(word)
         if not m or not word:
@@ -111,7 +115,7 @@ class Encoder:
         """Encodes the words that were met and are not plain, in batches."""
         words, store.open = list(store.open), {}
         for w, ids in zip(words, self._library([lead + w for w in words])):
-            store[w] = store.keep(ids)
+            store[w] = self._packed(ids) if store is self.known else len(ids)
 
     def _room(self, *stores: dict) -> None:
         for store in (*stores, self.parts):
@@ -121,7 +125,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as packed little-endian integers, two bytes wide where the vocabulary allows."""
         if self.kind != "dropped":
-            return [array.array(self.code, i).tobytes() for i in self._library(texts)]
+            return [self._packed(i) for i in self._library(texts)]
         known, out, again = self.known, [], []
         self._room(known)
         for n, text in enumerate(texts):
@@ -137,8 +141,7 @@ class Encoder:
     def counts(self, texts: list[str]) -> list[int]:
         """For each text its number of ids."""
         if self.kind == "dropped":
-            width = array.array(self.code).itemsize
-            return [len(i) // width for i in self.ids(texts)]
+            return [len(i) // self.width for i in self.ids(texts)]
         if self.kind == "whole":
             return [len(i) for i in self._library(texts)]
         first, later, out, again = self.first, self.later, [], []
@@ -176,17 +179,17 @@ class Encoder:
 class Known(dict):
     """Word -> answer. A plain word is encoded when first asked for; another gets ``none`` until its batch is encoded."""
 
-    def __init__(self, plain, keep, none):
+    def __init__(self, plain, none):
         super().__init__()
-        self.plain, self.keep, self.none, self.open, self.missed = plain, keep, none, {}, 0
+        self.plain, self.none, self.open, self.missed = plain, none, {}, 0
 
     def __missing__(self, word: str):
-        ids = self.plain(word)
-        if ids is None:
+        answer = self.plain(word)
+        if answer is None:
             self.open[word] = None
             self.missed += 1
             return self.none
-        self[word] = answer = self.keep(ids)
+        self[word] = answer
         return answer
 
 
