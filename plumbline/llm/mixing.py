@@ -118,6 +118,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
             .select("key", "doc_id", "size", "source_size", "target", "taken"))
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mixed`` takes its words, to the nearest whole number of times.
+
+    Only where a source's target ends is a document taken in part, so rounding moves one document of a source. Rows that share doc_id,
+    source and size are taken equally often. Rows without words are not taken.
+    """
+    key = F.struct(_source_key("source").alias("a"), F.col("doc_id").cast("long").alias("b"), n_words("text").alias("c"))
+    taken = mixed(docs, **options).where("size > 0").groupBy(F.struct(F.col("key").alias("a"), F.col("doc_id").alias("b"), F.col("size").alias("c")).alias("mix_key"))
+    taken = taken.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).where("times > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("mix_key"))
+    return rows.join(taken, "mix_key").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
 MIX_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [3, 1, 2][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS weight, 2 * source_size AS cap FROM s),

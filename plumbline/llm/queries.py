@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
+from .jaccard_join import JACCARD_SQL, jaccard_classes
 from .language_id import language
 from .line_dedup import LINE_SQL, line_dedup
 from .mixing import MIX_SQL, mixed
+from .nearest import nearest
 from .packing import packed
 from .quality_classifier import quality_scores
 from .quality_rules import judged
@@ -26,12 +28,20 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("row")
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_classes(table(spark, folder, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "token-files")
     write_token_files(table(spark, folder, "documents"), path, vocabulary(WORDS), end_id=1)
     return token_digest(spark, path)
 
 
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language(table(spark, folder, "documents"))
 
@@ -54,9 +64,9 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_classifier, op2_quality_rules, op4_token_files, op6_language_id, op7_packing, op8_line_dedup, op9_mixing, op10_token_counts)
+    every = (op1_quality_classifier, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_nearest, op6_language_id, op7_packing, op8_line_dedup, op9_mixing, op10_token_counts)
     return {q.__name__: q for q in every}
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
+    return {"op3_jaccard_join": JACCARD_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
