@@ -5,8 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Texts that stand for a missing description.
-PLACEHOLDER = (r"(?i)(\b(todo|tbd|lorem ipsum|placeholder|description here|to be (filled|added|defined))\b"
-               r"|^\s*n/a\s*$)")
+PLACEHOLDER = r"(?i)(\b(todo|tbd|lorem ipsum|placeholder|description here|to be (filled|added|defined))\b|^\s*n/a\s*$)"
 # Fixed value: a number with optional thousands commas and decimals, not inside a word.
 NUMBER = r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?"
 

@@ -24,11 +24,6 @@ def truth(queries: Mapping[str, DataFrame], most: int = TRUTH_ROWS) -> DataFrame
     return reduce(DataFrame.unionByName, parts).withColumn("problem", problem)
 
 
-def truth_rows(df: DataFrame, most: int = TRUTH_ROWS) -> DataFrame:
-    """The rows an answer is judged by."""
-    return df.limit(most)
-
-
 def measure_coverage(measures: DataFrame, questions: DataFrame, sql: str = "sql") -> DataFrame:
     """view, measure no question asks about: its view or its name is in no question's SQL (any case)."""
     wanted = measures.select("view", "measure", F.lower(last_part(F.col("view"))).alias("v"), F.lower("measure").alias("m"))

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Silver entities, their raw source, key and typed columns (name: (expression, type)).
@@ -66,14 +67,22 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest: str, ties: Sequen
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], stamp: Column | None = None,
-           stamp_column: str = "_updated_at") -> DataFrame:
-    """Source rows replace target rows with the same key; the rest of both stays. Source keys must be unique.
+           stamp_column: str = "_updated_at", newest: str | None = None) -> DataFrame:
+    """Source rows replace target rows with the same key; the rest of both stays, and so do columns only one side has.
 
-    Only the source is stamped. With a small source the target is filtered in place and never shuffled.
+    A source that repeats a key is folded to its row with the greatest ``newest``; without that order the merge fails when it
+    runs. Only the source is stamped. With a small source the target is filtered in place and never shuffled.
     """
+    if newest is not None:
+        source = latest_per_key(source, keys, newest, [c for c in source.columns if c not in (*keys, newest)])
+    else:
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        once = F.when(whole & (F.col("_copies") > 1), F.raise_error(F.lit("the source of a merge repeats a key")).cast("boolean")).otherwise(True)
+        source = source.withColumn("_copies", copies).where(once).drop("_copies")
     untouched = target.join(source.select(*keys), list(keys), "left_anti")
     incoming = source if stamp is None else source.withColumn(stamp_column, stamp)
-    return untouched.unionByName(incoming.select(*untouched.columns))
+    return untouched.unionByName(incoming, allowMissingColumns=True)
 
 
 def silver_rows(raw: DataFrame, entity: str) -> DataFrame:

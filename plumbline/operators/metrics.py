@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,6 +146,7 @@ def reconcile(view_rows: DataFrame, reference: DataFrame, by: Sequence[str], tol
     both = side_by_side(numbers(view_rows), numbers(reference), by, ["value"])
     a, b = F.col("left.value"), F.col("right.value")
     problem = (F.when((F.col("n_left") == 0) | (F.col("n_right") == 0), "group only on one side")
+               .when((F.col("n_left") > 1) | (F.col("n_right") > 1), "group repeated")
                .when(~close_relative(a, b, tolerance), "values differ"))
     return both.select(*by, a.alias("view_value"), b.alias("reference_value"), problem.alias("problem"),
                        relative_difference(a, b).alias("difference"), (F.col("n_right") > 0).alias("in_reference"))
@@ -174,7 +176,8 @@ def compare_keyed(got: DataFrame, want: DataFrame, keys: Sequence[str], values:
         same = a.eqNullSafe(b) if text else close_to_truth(a.cast("double"), b.cast("double"))
         problem_of.append(F.struct(F.lit(v).alias("column"), a.cast("string").alias("got"), b.cast("string").alias("want"),
                                    F.when(~same, "differs").alias("problem")))
-    missing = F.when(F.col("n_left") == 0, "missing from the result").when(F.col("n_right") == 0, "not in the matching rows")
+    missing = (F.when(F.col("n_left") == 0, "missing from the result").when(F.col("n_right") == 0, "not in the matching rows")
+               .when((F.col("n_left") > 1) | (F.col("n_right") > 1), "group repeated"))
     nothing = F.lit(None).cast("string")
     whole = F.array(F.struct(nothing.alias("column"), nothing.alias("got"), nothing.alias("want"), missing.alias("problem")))
     return (both.select(*keys, F.inline(F.when(missing.isNotNull(), whole).otherwise(F.array(*problem_of))))
@@ -194,24 +197,38 @@ def shape_problems(got: DataFrame, columns: Sequence[str] = (), min_rows: int |
 
 
 # ---------------------------------------------------------------- tiles
+@dataclass(frozen=True)
+class Shape:
+    """What a kind of tile shows: how many measures, whether along a dimension, of time, and whether split into series."""
+
+    measures: range
+    along: bool
+    of_time: bool = False
+    series: bool = False
+
+
+MANY = 1_000
+SHAPES = {"counter": Shape(range(1, 2), along=False), "line": Shape(range(1, 4), along=True, of_time=True, series=True),
+          "bar": Shape(range(1, 4), along=True, series=True), "table": Shape(range(0, MANY), along=True)}
+
+
 def tile_problem(tile: Tile, view: MetricView) -> str | None:
-    """Why a tile cannot be drawn on a view."""
-    measures = {m.name for m in view.measures}
-    dims = {d.name: d for d in view.dimensions}
-    used = [d for d in (tile.dimension, tile.series) if d]
-    checks = (
-        (any(m not in measures for m in tile.measures), "unknown measure"),
-        (any(d not in dims for d in used), "unknown dimension"),
-        (tile.kind == "counter" and len(tile.measures) != 1, "a counter shows one measure"),
-        (tile.kind in ("line", "bar") and len(tile.measures) > 3, "at most three measures"),
-        (bool(tile.series) and len(tile.measures) > 1, "a series needs a single measure"),
-        (tile.kind == "counter" and bool(used), "a counter has no dimension"),
-        (tile.kind in ("line", "bar", "table") and not tile.dimension, "needs a dimension"),
-        (tile.kind == "line" and tile.dimension in dims and not dims[tile.dimension].temporal, "needs a temporal dimension"),
-        (tile.kind == "table" and bool(tile.series), "a table has no series"),
-        (bool(tile.series) and tile.series == tile.dimension, "series equals dimension"),
-    )
-    return next((text for broken, text in checks if broken), None)
+    """How a tile departs from the shape of its kind, or from the fields of its view; null when it can be drawn."""
+    shape, wrong = SHAPES[tile.kind], []
+    fields = {d.name: d for d in view.dimensions} | {m.name: m for m in view.measures}
+    shown = {"measure": tile.measures, "dimension": (tile.dimension,) if tile.dimension else (), "series": (tile.series,) if tile.series else ()}
+    wrong += [f"{view.name} has no {part} {name}" for part, names in shown.items() for name in names
+              if fields.get(name) not in (view.measures if part == "measure" else view.dimensions)]
+    room = shape.measures if not tile.series else range(shape.measures.start, 2)
+    if len(tile.measures) not in room:
+        wrong.append(f"a {tile.kind} shows {room.start} to {room.stop - 1} measures here")
+    if bool(tile.dimension) is not shape.along:
+        wrong.append(f"a {tile.kind} is drawn {'along' if shape.along else 'without'} a dimension")
+    elif shape.of_time and not getattr(fields.get(tile.dimension), "temporal", False):
+        wrong.append(f"a {tile.kind} is drawn along time")
+    if tile.series and (not shape.series or tile.series == tile.dimension):
+        wrong.append(f"a {tile.kind} is not split by {tile.series}")
+    return "; ".join(wrong) or None
 
 
 def tile(spec: Tile, view: MetricView, sources: Mapping[str, DataFrame],

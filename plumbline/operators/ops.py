@@ -142,7 +142,7 @@ def job_problems(jobs: DataFrame, tasks: DataFrame, notified: DataFrame, notify:
 
 def recent_failures(runs: DataFrame, days: int, now: Column) -> DataFrame:
     """job_id, failures among the runs of the last ``days``."""
-    lately = seconds(F.col("started_at")) >= seconds(now) - days * 86400
+    lately = F.col("started_at") >= now - F.make_dt_interval(F.lit(days))
     return runs.where(lately & (F.col("state") != "SUCCESS")).groupBy("job_id").agg(F.count(F.lit(1)).alias("failures"))
 
 

@@ -70,11 +70,13 @@ def _low(counts: DataFrame, most: int) -> DataFrame:
 def value_lists(df: DataFrame, columns: Sequence[str], most: int = 12, shown: int = 50) -> DataFrame:
     """column_name, distinct, values: the sorted values, as JSON, of columns with at most ``most`` of them.
 
-    Values are gathered only after the count proved that there are few.
+    Values are gathered only after the count proved that there are few. ``most`` may not exceed ``shown``, so a list is never cut.
     """
+    if most > shown:
+        raise ValueError(f"lists of up to {most} values do not fit into {shown}")
     return (_low(value_counts(df, columns), most).groupBy("column_name")
             .agg(F.max("distinct").alias("distinct"), F.array_sort(F.collect_list("value")).alias("_values"))
-            .select("column_name", "distinct", F.to_json(F.slice("_values", 1, shown)).alias("values")))
+            .select("column_name", "distinct", F.to_json("_values").alias("values")))
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, hidden: Sequence[str] = (), most: int = 25) -> DataFrame:

@@ -11,9 +11,6 @@ from ..functions.compare import seconds
 from ..specs import DQ_RULES, ROW_RULES, RULE_TYPES, Rule
 from .profile import QUALITY_COMPARABLE
 
-# Spark keeps per-task row limits for ranking filters up to this size.
-RANK_LIMIT = 1000
-
 
 def bad(rule: Rule) -> Column:
     """True for a row that breaks a row rule. Null passes values and range, and fails an expression."""
@@ -116,7 +113,10 @@ def bad_rows(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
     raise ValueError("row_count has no failing rows")
 
 
-def _json(columns: Sequence[str]) -> Column:
+GROUPS = 256  # in which the failing rows of a rule are ranked first
+
+
+def _json(columns: Sequence[str | Column]) -> Column:
     return F.to_json(F.struct(*columns)) if columns else F.lit(None).cast("string")
 
 
@@ -124,9 +124,9 @@ def quarantine(tables: Mapping[str, DataFrame], rules: Sequence[Rule], keys: Map
                hidden: Mapping[str, Sequence[str]] | None = None, rows: int = 100) -> DataFrame:
     """Up to ``rows`` failing rows per rule: rule_id, table_name, row_key, row_json.
 
-    Hidden columns are dropped before the JSON is built. Rows are chosen by key, then by content, so reruns agree.
-    The row rules of a table share one scan; tasks keep their first rows per rule, so a rule most rows break does not
-    gather them.
+    Rows are chosen by key, then by a hash of their shown content, so reruns agree. The row rules of a table share one scan. Failing
+    rows are ranked within groups of a rule first and the first of every group then within the rule, so a rule that most
+    rows break does not gather them in one task; JSON is built for the rows that are left, without the hidden columns.
     """
     hidden = hidden or {}
     parts = []
@@ -137,19 +137,26 @@ def quarantine(tables: Mapping[str, DataFrame], rules: Sequence[Rule], keys: Map
         own = [r for r in rules if r.table == table and r.type != "row_count"]
 
         def entry(frame, rule_id):
-            return frame.select(rule_id.alias("rule_id"), F.lit(table).alias("table_name"), *key_copies,
-                                _json(key).alias("row_key"), _json(shown).alias("row_json"))
+            return frame.select(rule_id.alias("_rule"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(key)],
+                                F.xxhash64(*shown).alias("_content") if shown else F.lit(0).cast("bigint").alias("_content"),
+                                F.struct(*shown).alias("_row") if shown else F.struct(F.lit(1).alias("_")).alias("_row"))
 
-        key_copies = [F.col(c).alias(f"_o{i}") for i, c in enumerate(key)]
-        order = [F.col(f"_o{i}") for i in range(len(key))] + [F.col("row_json")]
         single = [r for r in own if r.type in ROW_RULES]
-        if single and rows <= RANK_LIMIT:
-            failing = F.array_compact(F.array(*[F.when(bad(r), F.lit(r.id)) for r in single]))
-            marked = df.withColumn("_rule", F.explode(failing))
-            rank = F.row_number().over(Window.partitionBy("rule_id").orderBy(*order))
-            parts.append(entry(marked, F.col("_rule")).withColumn("_rank", rank).where(F.col("_rank") <= rows).drop("_rank"))
-            own = [r for r in own if r not in single]
-        parts += [entry(bad_rows(tables, r), F.lit(r.id)).orderBy(*order).limit(rows) for r in own]
+        failing = [entry(bad_rows(tables, r), F.lit(r.id)) for r in own if r not in single]
+        if single:
+            broken = F.array_compact(F.array(*[F.when(bad(r), F.lit(r.id)) for r in single]))
+            failing.append(entry(df.withColumn("_broken", F.explode(broken)), F.col("_broken")))
+        if not failing:
+            continue
+        order = [*[F.col(f"_o{i}") for i in range(len(key))], F.col("_content")]
+        every = reduce(DataFrame.unionByName, failing).withColumn("_group", F.pmod("_content", F.lit(GROUPS)))
+        for by in (["_rule", "_group"], ["_rule"]):
+            every = every.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= rows)
+        parts.append(every.select(F.col("_rule").alias("rule_id"), F.lit(table).alias("table_name"),
+                                  _json([F.col(f"_row.{c}").alias(c) for c in key]).alias("row_key"),
+                                  _json([F.col(f"_row.{c}").alias(c) for c in shown]).alias("row_json")))
+    if not parts:
+        raise ValueError("no rule has failing rows to keep")
     columns = ["rule_id", "table_name", "row_key", "row_json"]
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
 
@@ -174,10 +181,14 @@ def rule_problems(rules: DataFrame, columns: DataFrame) -> DataFrame:
     ``rules``: rule_id, table_name, rule_type, column_name, n_values, min, max, name, expression, target.
     ``columns``: table_name, column_name, data_type of the known tables.
     """
-    known = columns.select("table_name", "column_name", "data_type")
+    known = columns.select("table_name", F.col("column_name").alias("_part"), "data_type")
     tables = columns.select(F.col("table_name").alias("_target")).distinct().withColumn("_target_known", F.lit(True))
     target = F.substring_index("target", ".", -1)
-    joined = (rules.join(known, ["table_name", "column_name"], "left")
+    parts = rules.select("rule_id", "table_name", F.explode_outer(F.split("column_name", r"\s*,\s*")).alias("_part")).distinct()
+    types = (parts.join(known, ["table_name", "_part"], "left").groupBy("rule_id")
+             .agg(F.max("data_type").alias("data_type"),
+                  F.array_sort(F.collect_set(F.when(F.col("data_type").isNull(), F.col("_part")))).alias("_lacking")))
+    joined = (rules.join(types, "rule_id", "left")
               .withColumn("_target", F.when(F.col("target").contains("."),
                                             F.expr("left(target, length(target) - length(substring_index(target, '.', -1)) - 1)")))
               .join(tables, "_target", "left"))
@@ -187,7 +198,8 @@ def rule_problems(rules: DataFrame, columns: DataFrame) -> DataFrame:
     about_columns = kind.isin("not_null", "accepted_values", "range", "references", "unique")
     problem = (F.when(~kind.isin(*RULE_TYPES), "unknown rule type")
                .when(about_columns & column.isNull(), "needs a column")
-               .when(column.isNotNull() & F.col("data_type").isNull(), "no such column")
+               .when(column.isNotNull() & (F.size("_lacking") > 0), F.concat(F.lit("no such column"), F.when(column.contains(","), F.concat(
+                   F.lit(": "), F.array_join("_lacking", ", "))).otherwise("")))
                .when((kind == "accepted_values") & (F.coalesce("n_values", F.lit(0)) == 0), "needs values")
                .when((kind == "range") & unbounded, "needs min or max")
                .when((kind == "range") & ~base.isin(*QUALITY_COMPARABLE), "not a comparable column")

@@ -4,8 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 3
-
 
 def grams(text: Column, size: int) -> Column:
     """Distinct substrings of one length; empty when the text is shorter."""
@@ -16,20 +14,12 @@ def grams(text: Column, size: int) -> Column:
 def contains_pairs(needles: DataFrame, needle: str, texts: DataFrame, text: str) -> DataFrame:
     """Distinct (needle, text) pairs where the text contains the needle.
 
-    Texts are indexed by their substrings of up to three characters. A needle is looked up by the one of its own
-    substrings that the fewest texts have, and each hit is then verified, so the result is exact.
+    A text gives its substrings of the lengths that needles have, and these are joined with the needles by equality. Nothing is
+    compared that does not match, so names of one form cost no more than others: the rows are the texts' characters times the
+    number of different lengths, and only those lengths pass the driver.
     """
-    wanted = needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct()
-    size = F.least(F.lit(GRAM), F.length("_needle"))
-    starts = F.sequence(F.lit(1), F.length("_needle") - size + 1)
-    asked = wanted.select("_needle", F.explode(F.array_distinct(
-        F.transform(starts, lambda i: F.substring(F.col("_needle"), i, size)))).alias("_gram"))
-    index = (texts.select(F.col(text).alias("_text")).where(F.length("_text") > 0).distinct()
-             .select("_text", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("_text"), n) for n in range(1, GRAM + 1)])))).alias("_gram"))
-             .join(asked.select("_gram").distinct(), "_gram", "left_semi"))
-    spread = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
-    # A needle one of whose substrings no text has is contained nowhere; the left join keeps that zero as the rarest.
-    rarest = (asked.join(spread, "_gram", "left")
-              .groupBy("_needle").agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram")))
-    return (rarest.join(index, "_gram").where(F.contains("_text", "_needle"))
-            .select(F.col("_needle").alias("needle"), F.col("_text").alias("text")))
+    wanted = needles.select(F.col(needle).alias("needle")).where(F.length("needle") > 0).distinct()
+    sizes = sorted(r["n"] for r in wanted.select(F.length("needle").alias("n")).distinct().collect())
+    every = texts.select(F.col(text).alias("text")).where(F.length("text") > 0).distinct()
+    parts = F.array_distinct(F.flatten(F.array(*[grams(F.col("text"), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    return wanted.join(every.select("text", F.explode(parts).alias("needle")), "needle").select("needle", "text")

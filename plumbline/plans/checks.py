@@ -353,11 +353,16 @@ def rule_set(t):
 STREAM_RULES = tuple(r for r in RULES if r.table == "main.lineitem" and r.type in ("range", "references"))
 
 
+def table_path(t, name):
+    """A table for a stream, whether it is a file or a folder of files: as a pattern, since a stream takes a plain path for a folder."""
+    return f"{t.folder}/{name}.parque[t]"
+
+
 @query("stream_quality", " UNION ALL ".join(f"SELECT rule_id, total_rows, failed_rows FROM ({_ORACLE[k][i]})" for k, i in (("range", 0), ("references", 0), ("references", 1))))
 def stream_quality(t):
     """Order lines arriving as a stream, split by the rules; counts are read from the result log."""
     out = scratch(t.spark, "quality")
-    stream = (t.spark.readStream.schema(t.lineitem.schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder))
+    stream = (t.spark.readStream.schema(t.lineitem.schema).parquet(table_path(t, "lineitem")))
     quality_stream.stream_quality(stream, STREAM_RULES, out, scratch(t.spark, "checkpoint"), tables(t))
     return quality_stream.results(t.spark, out)
 
@@ -366,7 +371,7 @@ def stream_quality(t):
   UNION ALL SELECT 'quarantine', COUNT(*) FILTER (WHERE p_size NOT BETWEEN 2 AND 25) FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def stream_quality_split(t):
     out = scratch(t.spark, "quality")
-    stream = (t.spark.readStream.schema(t.lineitem.schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder))
+    stream = (t.spark.readStream.schema(t.lineitem.schema).parquet(table_path(t, "lineitem")))
     quality_stream.stream_quality(stream, STREAM_RULES, out, scratch(t.spark, "checkpoint"), tables(t))
     parts = [quality_stream.stored_rows(t.spark, out, p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n") for p in ("good", "quarantine")]
     return parts[0].unionByName(parts[1])
@@ -385,6 +390,18 @@ def stream_bronze(t):
         F.count_if(F.col("_source_file").isNull()).alias("unnamed"))
 
 
+@query("stream_bronze_headers", """SELECT c_mktsegment, COUNT(*) AS n, CAST(SUM(CAST(c_acctbal AS DECIMAL(12,2))) AS DOUBLE) AS balance,
+  COUNT(*) FILTER (WHERE c_acctbal >= 0) AS notes FROM customer GROUP BY 1""")
+def stream_bronze_headers(t):
+    """Files whose headers list the columns in two orders, some with a column that was not declared."""
+    root = scratch(t.spark, "landing")
+    columns = ["c_custkey", "c_mktsegment", "c_acctbal"]
+    t.customer.where("c_acctbal < 0").select(*columns).write.option("header", True).csv(f"{root}/landing")
+    t.customer.where("c_acctbal >= 0").select("c_acctbal", F.lit("seen").alias("note"), "c_mktsegment", "c_custkey").write.mode("append").option("header", True).csv(f"{root}/landing")
+    landing_stream.stream_bronze(t.spark, f"{root}/landing", f"{root}/bronze", f"{root}/checkpoint", columns, "run")
+    return t.spark.read.option("mergeSchema", True).parquet(f"{root}/bronze").groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(12,2)")).cast("double").alias("balance"), F.count("note").alias("notes"))
+
 
 # ---------------------------------------------------------------- a whole run, written
 @query("dq_check_run", f"SELECT '2024-01-31' AS check_run_id, rule_id, total_rows, failed_rows, passed, CASE WHEN rule_id IN (SELECT rule_id FROM ({QUARANTINE_SQL})) THEN n ELSE 0 END AS quarantined "

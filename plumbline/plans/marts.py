@@ -84,7 +84,41 @@ def silver_merge(t):
     return t.spark.read.parquet(path).drop("_bucket")
 
 
+@query("merge_new_column", """SELECT c_custkey, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN lower(c_mktsegment) END AS note FROM customer""")
+def merge_new_column(t):
+    """A merge that brings a column the table lacks: kept for the merged rows, null for the others."""
+    path = scratch(t.spark, "silver")
+    rows = t.customer.select("c_custkey", "c_acctbal")
+    sinks.merge_into(t.spark, path, rows, ["c_custkey"], buckets=4)
+    noted = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_acctbal", F.lower("c_mktsegment").alias("note"))
+    sinks.merge_into(t.spark, path, noted, ["c_custkey"], buckets=4)
+    return t.spark.read.option("mergeSchema", True).parquet(path).drop("_bucket")
+
+
+@query("merge_repeated_key", """SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def merge_repeated_key(t):
+    """A source with many rows per key, folded to the newest by the merge itself."""
+    target = t.events.where("user_id % 2 = 0").groupBy("user_id").agg(F.min("ts").alias("ts"), F.min("event_id").alias("event_id"), F.lit(0.0).alias("value"))
+    return medallion.upsert(target, t.events.select("user_id", "ts", "event_id", "value"), ["user_id"], newest="ts").drop("ts")
+
+
 # ---------------------------------------------------------------- landing
+@query("load_blocked", "SELECT COUNT(*) AS n, 0::BIGINT AS stored_before FROM customer")
+def load_blocked(t):
+    """A load that meets a file without a column of its table stores nothing; once the file is gone from the folder it loads the rest."""
+    root = scratch(t.spark, "blocked")
+    t.customer.write.option("header", True).csv(f"{root}/landing/good")
+    t.customer.drop("c_acctbal").limit(1).write.option("header", True).csv(f"{root}/landing/bad")
+    stored = 0
+    try:
+        landing.load_new_files(t.spark, f"{root}/landing/*", "customers", f"{root}/table", f"{root}/log", "first", t.customer.columns)
+        stored = 1
+    except landing.BlockedFiles:
+        stored = landing.read_log(t.spark, f"{root}/log").count()
+    landing.load_new_files(t.spark, f"{root}/landing/good", "customers", f"{root}/table", f"{root}/log", "second", t.customer.columns)
+    return landing.bronze(t.spark, f"{root}/table", f"{root}/log").agg(F.count(F.lit(1)).alias("n"), F.lit(stored).cast("bigint").alias("stored_before"))
+
+
 @query("append_widening", """SELECT event_id, event_type, CAST(NULL AS DOUBLE) AS value FROM events WHERE event_type = 'error'
   UNION ALL SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'""")
 def append_widening(t):

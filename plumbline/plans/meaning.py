@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import weak
+from ..functions.text import PLACEHOLDER, weak
 from ..operators import classify, ontology
 from ..session import written
 from .registry import query, text_list
@@ -26,11 +26,16 @@ def taxonomy(t):
     return ontology.nodes(domains, subdomains, pages)
 
 
-def objects(t):
-    return homes(t).where("c_acctbal >= 7000").select("page_id", "subdomain_id", "domain_id", full_name().alias("object_full_name"),
+def objects(t, least=None):
+    """Customers as objects: all, or those with at least some balance."""
+    rows = homes(t) if least is None else homes(t).where(F.col("c_acctbal") >= least)
+    return rows.select("page_id", "subdomain_id", "domain_id", full_name().alias("object_full_name"),
                                                       F.lit("table").alias("object_kind"))
 
 
+RICH = 7000
+
+
 def full_name():
     return F.concat_ws(".", F.col("domain_id"), F.col("subdomain_id"), F.lower("c_name"))
 
@@ -43,7 +48,8 @@ _NODES = f"""SELECT lower(r_name) AS node_id, 'domain' AS node_type, CAST(NULL A
     r_name AS name, r_name AS path FROM region
   UNION ALL SELECT lower(n_name), 'subdomain', lower(r_name), lower(r_name), lower(n_name), n_name, r_name || ' > ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT DISTINCT page_id, 'page', subdomain_id, domain_id, subdomain_id, {_PAGE_NAME}, r_name || ' > ' || n_name || ' > ' || {_PAGE_NAME} FROM ({_HOME})"""
-_OBJECTS = f"SELECT page_id, subdomain_id, domain_id, object_full_name, 'table' AS object_kind FROM ({_HOME}) WHERE c_acctbal >= 7000"
+_OBJECTS = f"SELECT page_id, subdomain_id, domain_id, object_full_name, 'table' AS object_kind FROM ({_HOME})"
+_RICH_OBJECTS = f"SELECT * FROM ({_OBJECTS}) WHERE object_full_name IN (SELECT object_full_name FROM ({_HOME}) WHERE c_acctbal >= 7000)"
 
 
 @query("taxonomy_nodes", _NODES)
@@ -80,9 +86,9 @@ def one_page_per_asset(t):
     return ontology.placement_problems(h, placed.unionByName(twice).unionByName(strangers), pages)
 
 
-@query("empty_pages", f"SELECT DISTINCT page_id AS page FROM ({_HOME}) WHERE page_id NOT IN (SELECT page_id FROM ({_OBJECTS}))")
+@query("empty_pages", f"SELECT DISTINCT page_id AS page FROM ({_HOME}) WHERE page_id NOT IN (SELECT page_id FROM ({_RICH_OBJECTS}))")
 def empty_pages(t):
-    return ontology.empty_pages(homes(t).select(F.col("page_id").alias("page")).distinct(), objects(t).select(F.col("page_id").alias("page")))
+    return ontology.empty_pages(homes(t).select(F.col("page_id").alias("page")).distinct(), objects(t, RICH).select(F.col("page_id").alias("page")))
 
 
 @query("low_confidence", "SELECT l_partkey AS asset, l_orderkey AS page, l_discount AS confidence FROM lineitem WHERE l_returnflag = 'A' AND l_discount < 0.06")
@@ -149,27 +155,28 @@ def glossary_terms(t):
 
 
 # ---------------------------------------------------------------- lookup
-def registry(t):
+def registry(t, least=None):
     """The three registry tables a lookup reads, as written tables."""
-    return (written(taxonomy(t), "nodes"), written(objects(t), "objects"), written(glossary(t), "glossary"))
+    return (written(taxonomy(t), "nodes"), written(objects(t, least), "objects"), written(glossary(t), "glossary"))
 
 
 _NULL = "CAST(NULL AS VARCHAR)"
 
 
-def _lookup_sql(terms: str) -> str:
-    """Every term compared with every name: fine for a check on small tables."""
-    return f"""WITH ask AS (SELECT DISTINCT term, lower(trim(term)) AS n FROM ({terms}) WHERE trim(term) <> ''), o AS ({_OBJECTS}), nd AS ({_NODES}), g AS ({_ROWS.format(g=GLOSSARY_SQL)}),
-  hits AS (SELECT ask.term AS asked, CASE WHEN lower(g.term) = n OR list_contains(list_transform(synonyms, lambda s: lower(s)), n) THEN 1 ELSE 3 END AS rank, 'glossary' AS match_type,
-      g.term AS matched, definition, page_id AS page, linked_object AS object_full_name, linked_field AS field
-    FROM ask JOIN g ON contains(lower(g.term), n) OR len(list_filter(synonyms, lambda s: contains(lower(s), n))) > 0
-    UNION ALL SELECT ask.term, CASE WHEN lower(nd.name) = n OR nd.node_id = n THEN 1 ELSE 3 END, nd.node_type, nd.name, {_NULL}, o.page_id, o.object_full_name, {_NULL}
-    FROM ask JOIN nd ON contains(lower(nd.name), n) OR nd.node_id = n JOIN o ON nd.node_id IN (o.page_id, o.subdomain_id, o.domain_id)
-    UNION ALL SELECT ask.term, CASE WHEN split_part(o.object_full_name, '.', 3) = n THEN 2 ELSE 4 END, 'object', o.object_full_name, {_NULL}, o.page_id, o.object_full_name, {_NULL}
-    FROM ask JOIN o ON contains(split_part(o.object_full_name, '.', 3), n))
-  SELECT h.asked AS term, h.rank, h.match_type, h.matched, h.definition, p.domain_id AS domain, p.subdomain_id AS subdomain, h.page, p.name AS page_name,
-    h.object_full_name, ob.object_kind, h.field
-  FROM hits h LEFT JOIN nd p ON p.node_type = 'page' AND p.node_id = h.page LEFT JOIN o ob ON ob.object_full_name = h.object_full_name"""
+def _lookup_sql(terms: str, objects: str = "") -> str:
+    """One relation of names, by what they name, and one join; an object's name ranks behind the others."""
+    return f"""WITH o AS ({objects or _OBJECTS}), nd AS ({_NODES}), g AS ({_ROWS.format(g=GLOSSARY_SQL)}),
+  named AS (SELECT 'glossary' AS match_type, unnest(list_prepend(term, coalesce(synonyms, []))) AS word, FALSE AS whole, term AS matched, definition,
+      page_id AS page, linked_object AS object_full_name, linked_field AS field FROM g
+    UNION ALL SELECT nd.node_type, unnest([nd.name, nd.node_id]), unnest([FALSE, TRUE]), nd.name, {_NULL}, o.page_id, o.object_full_name, {_NULL}
+      FROM (SELECT *, unnest([page_id, subdomain_id, domain_id]) AS belongs FROM o) o JOIN nd ON nd.node_id = o.belongs
+    UNION ALL SELECT 'object', split_part(object_full_name, '.', 3), FALSE, object_full_name, {_NULL}, page_id, object_full_name, {_NULL} FROM o),
+  hit AS (SELECT asked.term, min(CASE WHEN lower(word) = lower(trim(asked.term)) THEN 1 ELSE 3 END + CASE match_type WHEN 'object' THEN 1 ELSE 0 END) AS rank,
+      match_type, matched, definition, page, object_full_name, field
+    FROM (SELECT DISTINCT term FROM ({terms}) WHERE trim(term) <> '') asked JOIN named
+      ON CASE WHEN whole THEN word = lower(trim(asked.term)) ELSE contains(lower(word), lower(trim(asked.term))) END GROUP BY ALL)
+  SELECT hit.*, home.domain_id AS domain, home.subdomain_id AS subdomain, home.name AS page_name, o.object_kind
+  FROM hit LEFT JOIN (SELECT * FROM nd WHERE node_type = 'page') home ON home.node_id = hit.page LEFT JOIN o USING (object_full_name)"""
 
 
 def _single(name, term):
@@ -202,11 +209,11 @@ def ontology_lookup_bulk(t):
     return ontology.lookup_all(search_terms(t), *registry(t))
 
 
-@query("lookup_failures", f"""SELECT 'page' AS kind, name AS term, node_id AS page FROM ({_NODES}) WHERE node_type = 'page' AND node_id NOT IN (SELECT page_id FROM ({_OBJECTS}))
+@query("lookup_failures", f"""SELECT 'page' AS kind, name AS term, node_id AS page FROM ({_NODES}) WHERE node_type = 'page' AND node_id NOT IN (SELECT page_id FROM ({_RICH_OBJECTS}))
   UNION ALL SELECT 'term', term || '!', page FROM ({GLOSSARY_SQL}) WHERE source = 'user'""")
 def lookup_failures(t):
     """Page names and terms as probes; pages without objects and misspelt terms stay unanswered."""
-    nodes, placed, words = registry(t)
+    nodes, placed, words = registry(t, RICH)
     pages = nodes.where("node_type = 'page'").select(F.lit("page").alias("kind"), F.col("name").alias("term"), F.col("node_id").alias("page"))
     terms = words.select(F.lit("term").alias("kind"), "term", F.col("page_id").alias("page"), "source").distinct()
     wrong = terms.where("source = 'user'").withColumn("term", F.concat("term", F.lit("!")))
@@ -242,11 +249,10 @@ def sensitivity_consistent(t):
 
 
 _FOLDED = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
-_PLACEHOLDER = r"(?i)(\b(todo|tbd|lorem ipsum|placeholder|description here|to be (filled|added|defined))\b|^\s*n/a\s*$)"
 _WEAK = f"""CASE WHEN text IS NULL OR regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 'missing'
   WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < {{n}} THEN 'short'
   WHEN {_FOLDED.format('text')} IN ({_FOLDED.format('name')}, {_FOLDED.format('name')} || 's') THEN 'restates the name'
-  WHEN regexp_matches(text, '{_PLACEHOLDER}') THEN 'placeholder' END"""
+  WHEN regexp_matches(text, '{PLACEHOLDER}') THEN 'placeholder' END"""
 
 
 @query("weak_text", f"SELECT lang, {_WEAK.format(n=150)} AS reason, COUNT(*) AS n FROM (SELECT lang, text, source AS name FROM documents) GROUP BY ALL")

@@ -79,7 +79,7 @@ def inventory(frames: Mapping[str, DataFrame], layers: Mapping[str, str], commen
 def unreadable(spark: SparkSession, layer: str, name: str, error: str) -> DataFrame:
     """Inventory row of an asset whose read failed; union it with :func:`inventory`."""
     return spark.createDataFrame(
-        [(layer, name, 0, None, False, False, error[:300])],
+        [(layer, name, 0, None, False, False, error)],
         "layer STRING, full_name STRING, column_count INT, row_count BIGINT, has_comment BOOLEAN, readable BOOLEAN, error STRING")
 
 

@@ -69,14 +69,26 @@ def read_new(spark: SparkSession, files: DataFrame, batch_id: str) -> DataFrame
     return reduce(append_widening, parts) if parts else None
 
 
-def load_new_files(spark: SparkSession, path: str, source: str, table_path: str, log_path: str, run_id: str) -> DataFrame:
+class BlockedFiles(ValueError):
+    """Files that lack columns of their table."""
+
+
+def load_new_files(spark: SparkSession, path: str, source: str, table_path: str, log_path: str, run_id: str,
+                   columns: list[str] | None = None) -> DataFrame:
     """Store the rows of files not yet logged, then log the files; returns the log rows of this run.
 
+    With the table's ``columns``, a pending file that lacks one of them ends the load before anything is stored.
+
     A run owns one folder of the table and one of the log and overwrites them; what it loaded before does not count as
     loaded when it is repeated, so a repeat stores the same rows once. The log counts the stored rows. Rows of a run
     that died before its log are not read by :func:`bronze`, and their files are loaded by the next run.
     """
     mine = (F.col("run_id") == run_id) & (F.col("source") == source)
+    if columns is not None:
+        blocked = pending_files(spark, path, columns, read_log(spark, log_path).where(~mine)).where("blocked")
+        first = blocked.select("source_file", "missing_columns").orderBy("source_file").first()
+        if first is not None:
+            raise BlockedFiles(f"{first['source_file']} lacks {', '.join(first['missing_columns'])}")
     new = read_new(spark, new_files(spark, path, read_log(spark, log_path).where(~mine)), run_id)
     if new is not None:
         folder = f"{table_path}/load=r-{run_id}"

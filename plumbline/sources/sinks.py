@@ -37,19 +37,20 @@ def overwrite(df: DataFrame, path: str, schema=None) -> None:
 
 
 def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], stamp: Column | None = None,
-               buckets: int = 64) -> None:
+               buckets: int = 64, newest: str | None = None) -> None:
     """Upsert into a parquet table that is split into key buckets: only buckets the source touches are read and rewritten.
 
-    Source keys must be unique. The merged buckets are written to the work folder before they replace the old ones, so
+    A repeated source key is folded by ``newest`` or refused, also when the table is new. The merged buckets are written to the work folder before they replace the old ones, so
     a rerun after a failure merges the same rows again, to the same result. ``buckets`` stays the same for a table's life.
     """
     incoming = source.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(buckets)))
     if stamp is not None:
         incoming = incoming.withColumn("_updated_at", stamp)
-    target = table_at(spark, path)
-    if target is not None:
-        touched = [r["_bucket"] for r in incoming.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
-        incoming = written(upsert(target.where(F.col("_bucket").isin(touched)), incoming, keys), "merge")
+    target = table_at(spark, path, mergeSchema="true")  # earlier merges may have brought columns
+    if target is None:
+        target = incoming.limit(0)
+    touched = [r["_bucket"] for r in incoming.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+    incoming = written(upsert(target.where(F.col("_bucket").isin(touched)), incoming, keys, newest=newest), "merge")
     # Rows of a bucket are brought together, and adaptive execution splits a bucket that is too large for one task.
     (incoming.hint("rebalance", "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_bucket").parquet(path))

@@ -64,11 +64,13 @@ def test_quarantine_hides_before_json_and_is_ordered(tables, rows):
     assert rows(got, "rule_id", "row_key", "row_json") == [("m.t.range_n", '{"id":2}', '{"id":2,"n":15}'), ("m.t.unique_id", "{}", '{"n":-1}')]
 
 
-def test_quarantine_without_ranking_limit(tables, rows, monkeypatch):
-    rules = [Rule("m.t", "range", ("n",), max=6), Rule("m.t", "not_null", ("id",))]
-    ranked = rows(quality.quarantine(tables, rules, {"m.t": ("id",)}, rows=1))
-    monkeypatch.setattr(quality, "RANK_LIMIT", 0)
-    assert rows(quality.quarantine(tables, rules, {"m.t": ("id",)}, rows=1)) == ranked
+def test_quarantine_ranks_in_groups(spark, rows, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 1500).alias("id"), F.col("id").alias("v"))
+    rules = [Rule("m.t", "range", ("v",), max=9), Rule("m.t", "not_null", ("id",))]
+    many = rows(quality.quarantine({"m.t": df}, rules, {"m.t": ("id",)}, rows=1200), "row_key")
+    assert len(many) == 1200 and len(set(many)) == 605  # two rows of a key, but for the ten that pass
+    monkeypatch.setattr(quality, "GROUPS", 1)
+    assert rows(quality.quarantine({"m.t": df}, rules, {"m.t": ("id",)}, rows=1200), "row_key") == many
 
 
 def test_a_run_that_never_finished(spark, rows):
