@@ -5,9 +5,9 @@ those of the first region, a fifth of all hashes, go by how many classes hold th
 share one of the first few n-grams of each: the prefix. The order is cut into fragments; the overlap of a candidate pair is counted
 in each fragment on its own and summed per pair.
 
-A group of many near copies is not expanded into all pairs. Each n-gram's classes are first compared with its smallest and its
-largest class, and the links found are joined into components; then only classes that share a prefix n-gram and still lie in
-different components are compared. That finds the same components as comparing all pairs.
+A group of many near copies is not expanded into all pairs. Each prefix n-gram's classes are first compared with two of them, the
+one that has it earliest and the last one, and the links found are joined into components; then only classes that share a prefix
+n-gram and still lie in different components are compared. That finds the same components as comparing all pairs.
 """
 from __future__ import annotations
 
@@ -46,9 +46,13 @@ def _prefix(n: Column, percent: int) -> Column:
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of rows (cid, n, other, m) whose sizes allow the similarity, the smaller first, once."""
+    """(x, y) of rows (cid, n, pos, other, m, at) that can be similar, once. Both hold an n-gram, at ``pos`` and ``at`` of their orders.
+
+    The sizes must allow it, and so must what is left of both from their first shared n-gram on.
+    """
     fit = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("cid") != F.col("other"))
-    return rows.where(fit).select(F.least("cid", "other").alias("x"), F.greatest("cid", "other").alias("y")).distinct()
+    rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    return rows.where(fit & rest).select(F.least("cid", "other").alias("x"), F.greatest("cid", "other").alias("y")).distinct()
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -102,15 +106,21 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     held = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = grams.join(held, "gram").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("shared"))
     sizes = heads.select("cid", "n", "same", F.size("counted").alias("n_counted"), "more")
-    alone = F.col("n_counted") - F.size("shared")  # held by one class: first in the order, and linking nothing
+    alone = F.col("n_counted") - F.size("shared")  # held by one class: first in the order, linking nothing
     first = F.when(F.col("shared").isNotNull(), F.transform(F.slice("shared", 1, F.greatest(p - alone, F.lit(0)).cast("int")), lambda s: s["gram"]))
-    prefix = sizes.join(shared, "cid", "left").select("cid", "n", "same", F.concat(F.coalesce(first, F.array().cast("array<bigint>")), "more").alias("prefix"))
-    entries = prefix.select("cid", "n", "same", F.explode("prefix").alias("gram"))
-    several = entries.groupBy("gram").agg(F.min("cid").alias("low"), F.max("cid").alias("high"),
-                                          F.min(F.struct("cid", "n"))["n"].alias("low_n"), F.max(F.struct("cid", "n"))["n"].alias("high_n")).where("low < high")
-    entries = written(entries.join(several, "gram"), "ngram-prefixes")
-    pivots = F.explode(F.array(F.struct(F.col("low").alias("other"), F.col("low_n").alias("m")), F.struct(F.col("high").alias("other"), F.col("high_n").alias("m"))))
-    pairs = written(_pairs(entries.select("cid", "n", pivots.alias("pivot")).select("cid", "n", "pivot.other", "pivot.m"), percent), "ngram-pairs")
+    prefix = sizes.join(shared, "cid", "left").withColumn("first", F.coalesce(first, F.array().cast("array<bigint>")))
+    prefix = prefix.withColumn("alone", F.col("n_counted") - F.coalesce(F.size("shared"), F.lit(0)))
+    entries = prefix.select("cid", "n", "same", "alone", "n_counted", F.size("first").alias("k"), F.posexplode(F.concat("first", "more")).alias("at", "gram"))
+    at = F.when(F.col("at") < F.col("k"), F.col("alone") + F.col("at")).otherwise(F.col("n_counted") + F.col("at") - F.col("k"))
+    entries = entries.select("cid", "n", "same", "gram", at.alias("pos"))
+    # the smaller set of a pair shares an n-gram within a shorter prefix; an n-gram nobody has there finds nothing
+    early = (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
+    several = entries.groupBy("gram").agg(
+        F.count("*").alias("holders"), F.min(F.when(early, F.struct("pos", "cid", "n"))).alias("plain"),
+        F.max(F.when(early, F.struct("cid", "n", "pos"))).alias("last")).where("holders > 1 AND plain IS NOT NULL")
+    entries = written(entries.join(several.drop("holders"), "gram"), "ngram-prefixes")
+    pivots = F.explode(F.array(*[F.struct(F.col(f"{p}.cid").alias("other"), F.col(f"{p}.n").alias("m"), F.col(f"{p}.pos").alias("at")) for p in ("plain", "last")]))
+    pairs = written(_pairs(entries.select("cid", "n", "pos", pivots.alias("p")).select("cid", "n", "pos", "p.*"), percent), "ngram-pairs")
     chosen = written(entries.select("cid", "n", "same").distinct(), "ngram-chosen")
     keyed = classes.join(chosen.select("cid"), "cid", "left_semi").select("cid", "c1", "c2")
     near = _among(docs.select("doc_id", "text").withColumn("seen", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))),
@@ -122,11 +132,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     segments = written(found.select("cid", cut.alias("s")).select("cid", "s.fragment", "s.part"), "ngram-segments")
     links = written(_linked(pairs, segments, chosen, percent), "ngram-links")
     labels = components(links)
-    marked = entries.select("cid", "n", "gram").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    marked = entries.select("cid", "n", "pos", "gram").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     counted = marked.groupBy("gram", "component").agg(F.count("*").alias("k"))
     mixed = counted.groupBy("gram").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    marked = written(marked.join(mixed, "gram").select("gram", "cid", "n", "component", (F.col("component") != F.col("main")).alias("apart")), "ngram-mixed")
-    apart = marked.where("apart").select("gram", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("component").alias("others"))
+    marked = written(marked.join(mixed, "gram").select("gram", "cid", "n", "pos", "component", (F.col("component") != F.col("main")).alias("apart")), "ngram-mixed")
+    apart = marked.where("apart").select("gram", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("others"))
     rest = _pairs(marked.join(apart, "gram").where("component <> others"), percent).join(pairs, ["x", "y"], "left_anti")
     more = written(_linked(rest, segments, chosen, percent), "ngram-links")
     labels = components(links.unionByName(more))
@@ -160,7 +170,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 # Words are split and compared as text, all pairs that share a sequence are counted, and components grow by recursion.
 JACCARD_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM t),
 g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
