@@ -1,9 +1,10 @@
 """Operator 3, n-gram Jaccard join by vertical partitioning.
 
-Texts with the same set of n-grams form a class, and classes are compared. The global order of n-grams goes by hash, except that
-those of the first region, a fifth of all hashes, go by how many classes hold them, the rarest first. Two sets as similar as asked
-share one of the first few n-grams of each: the prefix. The order is cut into fragments; the overlap of a candidate pair is counted
-in each fragment on its own and summed per pair.
+Texts with the same set of n-grams form a class, and classes are compared. In a global order of n-grams, two sets as similar as asked
+share one of the first few n-grams of each: the prefix. A first order goes by hash, but for a fifth of all hashes by how many classes
+hold the n-gram, the rarest first; it chooses the classes that can be linked at all. A second order goes by how many of the chosen
+classes hold the n-gram, and gives the pairs. The n-grams are cut into fragments by ranges of their hash; the overlap of a
+candidate pair is counted in each fragment on its own and summed per pair.
 
 A group of many near copies is not expanded into all pairs. Each prefix n-gram's classes are first compared with two of them, the
 one that has it earliest and the last one, and the links found are joined into components; then only classes that share a prefix
@@ -55,6 +56,29 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where(fit & rest).select(F.least("cid", "other").alias("x"), F.greatest("cid", "other").alias("y")).distinct()
 
 
+def _entries(grams: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """cid, n, gram, pos of the prefix n-grams that several sets share, with two of their holders: ``plain`` and ``last``.
+
+    ``grams`` holds the n-grams whose holders are counted, and ``sizes`` (cid, n, known, more) how many a set has of them and
+    the n-grams that follow them in its prefix. Counted ones go first, the rarest before the others, so those that one set alone holds use the
+    prefix up first. The smaller set of a pair shares an n-gram within a shorter prefix, so an n-gram that nobody has there finds nothing.
+    """
+    p = _prefix(F.col("n"), percent)
+    held = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    shared = grams.join(held, "gram").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("shared"))
+    rows = sizes.join(shared, "cid", "left").withColumn("alone", F.col("known") - F.coalesce(F.size("shared"), F.lit(0)))
+    first = F.transform(F.slice("shared", 1, F.greatest(p - F.col("alone"), F.lit(0)).cast("int")), lambda s: s["gram"])
+    rows = rows.withColumn("first", F.coalesce(first, F.array().cast("array<bigint>")))
+    rows = rows.select("cid", "n", "alone", "known", F.size("first").alias("k"), F.posexplode(F.concat("first", "more")).alias("at", "gram"))
+    at = F.when(F.col("at") < F.col("k"), F.col("alone") + F.col("at")).otherwise(F.col("known") + F.col("at") - F.col("k"))
+    rows = rows.select("cid", "n", "gram", at.alias("pos"))
+    early = (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
+    several = rows.groupBy("gram").agg(
+        F.count("*").alias("holders"), F.min(F.when(early, F.struct("pos", "cid", "n"))).alias("plain"),
+        F.max(F.when(early, F.struct("cid", "n", "pos"))).alias("last")).where("holders > 1 AND plain IS NOT NULL")
+    return rows.join(several.drop("holders"), "gram")
+
+
 def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs similar enough: overlaps are counted by fragment and summed."""
     left = segments.select(F.col("cid").alias("x"), "fragment", F.col("part").alias("a"))
@@ -103,33 +127,21 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     able = classes.where(F.col("n") - 1 >= F.ceil(F.col("n") * percent / 100)).select("cid")
     heads = table.select("cid", "n", "counted", "more", "same").join(able, "cid", "left_semi")
     grams = heads.select("cid", F.explode("counted").alias("gram"))
-    held = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    shared = grams.join(held, "gram").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("shared"))
-    sizes = heads.select("cid", "n", "same", F.size("counted").alias("n_counted"), "more")
-    alone = F.col("n_counted") - F.size("shared")  # held by one class: first in the order, linking nothing
-    first = F.when(F.col("shared").isNotNull(), F.transform(F.slice("shared", 1, F.greatest(p - alone, F.lit(0)).cast("int")), lambda s: s["gram"]))
-    prefix = sizes.join(shared, "cid", "left").withColumn("first", F.coalesce(first, F.array().cast("array<bigint>")))
-    prefix = prefix.withColumn("alone", F.col("n_counted") - F.coalesce(F.size("shared"), F.lit(0)))
-    entries = prefix.select("cid", "n", "same", "alone", "n_counted", F.size("first").alias("k"), F.posexplode(F.concat("first", "more")).alias("at", "gram"))
-    at = F.when(F.col("at") < F.col("k"), F.col("alone") + F.col("at")).otherwise(F.col("n_counted") + F.col("at") - F.col("k"))
-    entries = entries.select("cid", "n", "same", "gram", at.alias("pos"))
-    # the smaller set of a pair shares an n-gram within a shorter prefix; an n-gram nobody has there finds nothing
-    early = (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
-    several = entries.groupBy("gram").agg(
-        F.count("*").alias("holders"), F.min(F.when(early, F.struct("pos", "cid", "n"))).alias("plain"),
-        F.max(F.when(early, F.struct("cid", "n", "pos"))).alias("last")).where("holders > 1 AND plain IS NOT NULL")
-    entries = written(entries.join(several.drop("holders"), "gram"), "ngram-prefixes")
-    pivots = F.explode(F.array(*[F.struct(F.col(f"{p}.cid").alias("other"), F.col(f"{p}.n").alias("m"), F.col(f"{p}.pos").alias("at")) for p in ("plain", "last")]))
-    pairs = written(_pairs(entries.select("cid", "n", "pos", pivots.alias("p")).select("cid", "n", "pos", "p.*"), percent), "ngram-pairs")
-    chosen = written(entries.select("cid", "n", "same").distinct(), "ngram-chosen")
+    sizes = heads.select("cid", "n", F.size("counted").alias("known"), "more")
+    chosen = written(_entries(grams, sizes, percent).select("cid", "n").distinct(), "ngram-chosen")
     keyed = classes.join(chosen.select("cid"), "cid", "left_semi").select("cid", "c1", "c2")
     near = _among(docs.select("doc_id", "text").withColumn("seen", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))),
-                  chosen.select(F.col("same").alias("seen")), "seen")
-    found = (_sets(near, width).select("grams", c1.alias("c1"), c2.alias("c2")).dropDuplicates(["c1", "c2"]).join(keyed, ["c1", "c2"]))
-    fragment = F.shiftright(F.col("gram"), 64 - FRAGMENT_BITS)
-    cut = F.explode(F.transform(F.sequence(F.lit(-(1 << FRAGMENT_BITS - 1)), F.lit((1 << FRAGMENT_BITS - 1) - 1)),
-                                lambda f: F.struct(f.alias("fragment"), F.filter("grams", lambda g: F.shiftright(g, 64 - FRAGMENT_BITS) == f).alias("part"))))
-    segments = written(found.select("cid", cut.alias("s")).select("cid", "s.fragment", "s.part"), "ngram-segments")
+                  heads.join(chosen.select("cid"), "cid", "left_semi").select(F.col("same").alias("seen")), "seen")
+    found = (_sets(near, width).select("grams", c1.alias("c1"), c2.alias("c2")).join(keyed, ["c1", "c2"])
+             .groupBy("cid").agg(F.first("grams").alias("grams")))
+    fragment = F.explode(F.transform(F.sequence(F.lit(-(1 << FRAGMENT_BITS - 1)), F.lit((1 << FRAGMENT_BITS - 1) - 1)),
+                                     lambda f: F.struct(f.alias("fragment"), F.filter("grams", lambda g: F.shiftright(g, 64 - FRAGMENT_BITS) == f).alias("part"))))
+    segments = written(found.select("cid", fragment.alias("s")).select("cid", "s.fragment", "s.part").where(F.size("part") > 0), "ngram-segments")
+    none = F.array().cast("array<bigint>")
+    entries = written(_entries(segments.select("cid", F.explode("part").alias("gram")), chosen.select("cid", "n", F.col("n").alias("known"), none.alias("more")), percent),
+                      "ngram-prefixes")
+    pivots = F.explode(F.array(*[F.struct(F.col(f"{p}.cid").alias("other"), F.col(f"{p}.n").alias("m"), F.col(f"{p}.pos").alias("at")) for p in ("plain", "last")]))
+    pairs = written(_pairs(entries.select("cid", "n", "pos", pivots.alias("p")).select("cid", "n", "pos", "p.*"), percent), "ngram-pairs")
     links = written(_linked(pairs, segments, chosen, percent), "ngram-links")
     labels = components(links)
     marked = entries.select("cid", "n", "pos", "gram").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -170,8 +182,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 # Words are split and compared as text, all pairs that share a sequence are counted, and components grow by recursion.
 JACCARD_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+'), lambda x: x <> '') AS w FROM documents),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM t),
 g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
