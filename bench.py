@@ -11,7 +11,8 @@ from plumbline.session import session
 HEADLINE = ("gold_sales_daily", "gold_fill_daily", "gold_customer_360", "gold_returns_daily", "metric_revenue_by_region",
             "metric_active_customers", "reconcile_measure", "dq_results", "dq_results_unfused", "dq_quarantine", "profile_columns",
             "pk_holds", "fk_orphans", "table_diff", "latest_per_key", "upsert", "fingerprint", "ontology_lookup_bulk", "grant_diff",
-            "judge_answers", "dedupe_text", "doc_problems", "tool_revenue_by_region", "stream_quality")
+            "judge_answers", "dedupe_text", "doc_problems", "tool_revenue_by_region", "stream_quality", "truth_questions", "lookup_failures",
+            "rules_from_keys", "fk_discovery", "latest_full_month", "dq_check_run", "profile_values")
 
 
 def main() -> None:

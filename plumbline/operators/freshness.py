@@ -20,18 +20,23 @@ def last_changes(changes: DataFrame, operations: Sequence[str] = DATA_OPERATIONS
             .groupBy("table_name").agg(F.max("changed_at").alias("last_data_change")))
 
 
-def freshness(changes: DataFrame, limits: DataFrame, now: Column, operations: Sequence[str] = DATA_OPERATIONS) -> DataFrame:
-    """table_name, layer, last_data_change, age_hours, max_hours, stale.
+def freshness(changes: DataFrame, limits: DataFrame, now: Column, operations: Sequence[str] = DATA_OPERATIONS,
+              errors: DataFrame | None = None) -> DataFrame:
+    """table_name, layer, last_data_change, age_hours, max_hours, stale, error.
 
     The age is rounded to a tenth before it meets the limit. Without a limit nothing is stale; with a limit, a table
-    that never changed is.
+    that never changed is, and so is one whose change log could not be read: ``errors`` (table_name, error).
     """
+    if errors is not None:
+        limits = limits.join(errors.select("table_name", "error"), "table_name", "left")
+    else:
+        limits = limits.withColumn("error", F.lit(None).cast("string"))
     age = tenth_hours(F.col("last_data_change"), now)
     stale = (F.when(F.col("max_hours").isNull(), False).when(F.col("last_data_change").isNull(), True)
              .otherwise(F.col("age_hours") > F.col("max_hours")))
     return (limits.join(last_changes(changes, operations), "table_name", "left").withColumn("age_hours", age)
             .select("table_name", "layer", "last_data_change", "age_hours", F.col("max_hours").cast("double").alias("max_hours"),
-                    stale.alias("stale")))
+                    stale.alias("stale"), "error"))
 
 
 def assess_layers(inventory: DataFrame, now: Column, minimum: int = 1, limits: Mapping[str, float] | None = None) -> DataFrame:

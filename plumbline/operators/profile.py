@@ -60,6 +60,14 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, hidden: Sequenc
                     F.coalesce("distinct", F.lit(0).cast("bigint")).alias("distinct"), "min", "max"))
 
 
+def _few_valued(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """The values of the columns that may have at most ``most`` of them, counted: one scan of sketches rules out those far above,
+    with a wide margin, so that columns of unique values are never shuffled."""
+    counts = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]).first() if columns else []
+    few = [c for c, n in zip(columns, counts) if n <= 2 * most + 8]
+    return value_counts(df.select(*few), few) if few else value_counts(df.where(F.lit(False)).withColumn("_", F.lit("")), ["_"])
+
+
 def _low(counts: DataFrame, most: int) -> DataFrame:
     present = counts.where(F.col("value").isNotNull())
     few = (present.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"))
@@ -74,7 +82,7 @@ def value_lists(df: DataFrame, columns: Sequence[str], most: int = 12, shown: in
     """
     if most > shown:
         raise ValueError(f"lists of up to {most} values do not fit into {shown}")
-    return (_low(value_counts(df, columns), most).groupBy("column_name")
+    return (_low(_few_valued(df, columns, most), most).groupBy("column_name")
             .agg(F.max("distinct").alias("distinct"), F.array_sort(F.collect_list("value")).alias("_values"))
             .select("column_name", "distinct", F.to_json("_values").alias("values")))
 
@@ -83,13 +91,13 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, hidden: Sequ
     """column_name, value, n of visible string columns with at most ``most`` values; hidden columns are never read."""
     types = dict(df.dtypes)
     shown = [c for c in (columns or df.columns) if c not in hidden and types[c] == "string"]
-    return _low(value_counts(df.select(*shown), shown), most).select("column_name", "value", "n")
+    return _low(_few_valued(df, shown, most), most).select("column_name", "value", "n")
 
 
-def samples(df: DataFrame, rows: int = 20, shown: int = 5, width: int = 60) -> DataFrame:
-    """column_name, samples: first distinct values of a small row sample, cut to ``width`` characters."""
-    few = df.limit(rows)
-    aggs = [F.slice(F.array_distinct(F.collect_list(F.substring(F.col(c).cast("string"), 1, width))), 1, shown).alias(c)
+def samples(df: DataFrame, key: Sequence[str], rows: int = 20, shown: int = 5, width: int = 60) -> DataFrame:
+    """column_name, samples: first distinct values of the first rows by ``key``, cut to ``width`` characters and sorted."""
+    few = df.orderBy(*key).limit(rows)
+    aggs = [F.slice(F.array_sort(F.collect_set(F.substring(F.col(c).cast("string"), 1, width))), 1, shown).alias(c)
             for c in df.columns]
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("samples")) for c in df.columns])
     return few.agg(*aggs).select(F.inline(pairs))

@@ -86,10 +86,11 @@ def check_run(spark: SparkSession, root: str, run_id: str, now: dt.datetime, tab
 
 
 def drop_old(spark: SparkSession, root: str, days: int, now: dt.datetime) -> None:
-    """Rewrite the logs without rows older than ``days``; each log is copied to the work folder before it is replaced."""
-    from ..session import written
+    """Remove the folders of runs older than ``days`` from the logs; the folders of other runs are not touched."""
     for name, time in (("dq_results", "checked_at"), ("dq_quarantine", "checked_at"), ("dq_freshness", "checked_at"), ("dq_runs", "started_at")):
-        found = sinks.table_at(spark, f"{root}/{name}", LOGS.get(name, DQ_RUNS))
+        found = sinks.table_at(spark, f"{root}/{name}")
         if found is not None:
-            kept = written(quality.retain(found, time, days, F.lit(now)), name)
-            kept.hint("rebalance", "run").write.mode("overwrite").partitionBy("run").parquet(f"{root}/{name}")
+            runs = found.groupBy("run").agg(F.max(time).alias("newest"))
+            kept = quality.retain(runs, "newest", days, F.lit(now)).select("run")
+            for row in runs.join(kept, "run", "left_anti").collect():  # names of old runs
+                sinks.remove(spark, f"{root}/{name}/run={row['run']}")

@@ -280,7 +280,7 @@ def dq_report_freshness(t):
 @query("stale_tables", f"""SELECT table_name, 'last changed ' || coalesce(CAST(age_hours AS VARCHAR), 'never') || ' hours ago (limit ' || max_hours || ')' AS problem
   FROM ({FRESH_SQL}) WHERE stale""")
 def stale_tables(t):
-    return quality.stale_tables(user_freshness(t).withColumn("error", F.lit(None).cast("string")))
+    return quality.stale_tables(user_freshness(t))
 
 
 @query("retention", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAYS")

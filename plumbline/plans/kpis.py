@@ -622,10 +622,16 @@ def query_log(t):
 
 
 @query("query_scan", """SELECT o_orderkey AS query_id, replace(lower(r_name), ' ', '_') || '.' || lower(n_name) || '.c_' || c_custkey AS object FROM orders
-  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal < 0""")
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal < 0
+  UNION ALL SELECT o_orderkey, CASE o_shippriority % 3 WHEN 1 THEN lower(o_orderstatus) || '.totals' ELSE 'payroll' END FROM (SELECT *, o_orderkey AS o_shippriority FROM orders) WHERE o_shippriority % 3 > 0""")
 def query_scan(t):
+    """Statements over customer tables, and others that name a table by one or two parts; names of their own WITH are no tables."""
     log = query_log(t)
-    return tools.outside_reads(log.select("query_id", "sql"), log.where("c_acctbal >= 0").select("full_name"))
+    key = F.col("o_orderkey")
+    short = F.when(key % 3 == 1, F.concat(F.lower("o_orderstatus"), F.lit(".totals"))).otherwise("payroll")
+    sql = F.concat(F.lit("WITH mine AS (SELECT EXTRACT(year FROM day) FROM "), short, F.lit(") SELECT * FROM mine JOIN mine m ON m.a IS NOT DISTINCT FROM b"))
+    other = t.orders.where(key % 3 > 0).select(key.alias("query_id"), sql.alias("sql"))
+    return tools.outside_reads(log.select("query_id", "sql").unionByName(other), log.where("c_acctbal >= 0").select("full_name"))
 
 
 @query("statement_problems", """SELECT o_orderkey AS query_id, 'not a SELECT' AS problem FROM orders WHERE o_orderstatus = 'P'

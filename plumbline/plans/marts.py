@@ -1,6 +1,8 @@
 """Landing, silver and gold."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import diff, freshness, keys, medallion, profile
@@ -165,6 +167,16 @@ def overwrite_sink(t):
     return t.spark.read.parquet(path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("saved_table_view", "SELECT c_mktsegment, COUNT(*) AS n FROM customer WHERE c_acctbal >= 0 GROUP BY 1")
+def saved_table_view(t):
+    """The customers as a bucketed table of the catalog, saved twice, and a view over it."""
+    name, path = f"customers_{uuid.uuid4().hex}", scratch(t.spark, "saved")
+    for _ in range(2):
+        sinks.save_table(t.customer, name, bucket_by="c_custkey", buckets=4, path=path)
+    sinks.save_view(t.spark, f"{name}_rich", f"SELECT * FROM {name} WHERE c_acctbal >= 0")
+    return t.spark.table(f"{name}_rich").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("overwrite_empty", "SELECT COUNT(*) AS n FROM customer WHERE c_acctbal < -100000")
 def overwrite_empty(t):
     path = scratch(t.spark, "overwrite")
@@ -226,6 +238,26 @@ def asset_scan(t):
     return catalog.select_assets(customer_assets(t), LAYERS).select("full_name", "layer")
 
 
+_SCANNED = ("customer", "orders", "lineitem", "events")
+
+
+@query("catalog_scan", f"""SELECT table_name, CASE table_name WHEN 'events' THEN 'view' ELSE 'table' END AS kind, table_name = 'orders' AS has_comment, COUNT(*) AS n_columns
+  FROM (SELECT DISTINCT table_name, column_name FROM information_schema.columns WHERE table_name IN {_SCANNED}) GROUP BY 1""")
+def catalog_scan(t):
+    """A schema of the session's catalog over the given tables: three tables, one with a comment, and a view."""
+    schema = f"scan_{uuid.uuid4().hex}"
+    t.spark.sql(f"CREATE DATABASE {schema}")
+    for name in _SCANNED[:-1]:
+        note = "COMMENT 'order headers'" if name == "orders" else ""
+        columns = ", ".join(f"`{c}` {k}" for c, k in getattr(t, name).dtypes)
+        t.spark.sql(f"CREATE TABLE {schema}.{name} ({columns}) USING parquet {note} LOCATION '{t.folder}/{name}.parquet'")
+    sinks.save_view(t.spark, f"{schema}.events", f"SELECT * FROM parquet.`{t.folder}/events.parquet`")
+    tables, columns = catalog.catalog_assets(t.spark, "spark_catalog", [schema])
+    t.spark.sql(f"DROP DATABASE {schema} CASCADE")  # names only: the tables' files are not the schema's
+    counted = columns.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"))
+    return tables.join(counted, "table_name").select("table_name", "kind", "has_comment", "n_columns")
+
+
 TABLE_LAYERS = {"region": "silver", "nation": "silver", "customer": "silver", "supplier": "silver", "part": "silver",
                 "orders": "silver", "lineitem": "silver", "events": "bronze", "documents": "bronze", "pages": "bronze",
                 "conversations": "bronze", "embeddings": "gold", "benchmark": "gold", "labels": "gold"}
@@ -234,10 +266,21 @@ _WIDTH = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "or
 
 
 @query("inventory", " UNION ALL ".join(
-    f"SELECT '{layer}' AS layer, '{name}' AS full_name, {_WIDTH[name]} AS column_count, COUNT(*) AS row_count, FALSE AS has_comment, TRUE AS readable FROM {name}"
+    f"SELECT '{layer}' AS layer, '{name}' AS full_name, {_WIDTH[name]} AS column_count, COUNT(*) AS row_count, FALSE AS has_comment, TRUE AS readable, 'table' AS kind, NULL::VARCHAR AS error FROM {name}"
     for name, layer in TABLE_LAYERS.items()))
 def inventory(t):
-    return catalog.inventory({name: getattr(t, name) for name in TABLE_LAYERS}, TABLE_LAYERS)
+    return catalog.inventory({name: getattr(t, name) for name in TABLE_LAYERS}, TABLE_LAYERS).drop("last_updated")
+
+
+@query("inventory_layers", """SELECT layer, COUNT(*) AS assets, FALSE AS below_minimum, 0::BIGINT AS unreadable, COUNT(*) FILTER (WHERE n = 0) AS empty,
+  COUNT(*) AS undocumented, CAST(max(updated) AS DATE) AS newest FROM (""" + " UNION ALL ".join(
+    f"SELECT '{layer}' AS layer, (SELECT COUNT(*) FROM {name}) AS n, {'(SELECT max(ts) FROM events)' if name == 'events' else 'NULL::TIMESTAMP'} AS updated"
+    for name, layer in TABLE_LAYERS.items()) + ") GROUP BY layer")
+def inventory_layers(t):
+    """The inventory as it is, assessed by layer; the event log's change is its newest event."""
+    changes = t.events.select(F.lit("events").alias("table_name"), F.lit("WRITE").alias("operation"), F.col("ts").alias("changed_at"))
+    found = catalog.inventory({name: getattr(t, name) for name in TABLE_LAYERS}, TABLE_LAYERS, changes=freshness.last_changes(changes))
+    return freshness.assess_layers(found, b.now()).select("layer", "assets", "below_minimum", "unreadable", "empty", "undocumented", F.to_date("newest_update").alias("newest"))
 
 
 def user_assets(t):
@@ -294,7 +337,7 @@ def user_freshness(t):
 
 @query("freshness", FRESH_SQL)
 def freshness_of_users(t):
-    return user_freshness(t).drop("last_data_change")
+    return user_freshness(t).drop("last_data_change", "error")
 
 
 @query("table_status", f"""SELECT u.layer, u.full_name, u.row_count, f.age_hours, f.max_hours, f.stale FROM ({_USERS}) u
@@ -334,12 +377,13 @@ def sensitive_columns(t):
 
 # ---------------------------------------------------------------- profiles
 def _profiled(t):
-    return {"customer": t.customer, "orders": t.orders, "part": t.part.withColumn("p_size", F.nullif("p_size", F.lit(1)))}
+    return {"customer": t.customer, "orders": t.orders, "lineitem": t.lineitem, "part": t.part.withColumn("p_size", F.nullif("p_size", F.lit(1)))}
 
 
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 _COLUMNS = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
             "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-            "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]}
+            "lineitem": LINE_COLUMNS, "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]}
 _PART = "(SELECT * REPLACE (nullif(p_size, 1) AS p_size) FROM part)"
 
 
@@ -375,22 +419,27 @@ def profile_approx(t):
     CAST(to_json(list_sort(list(DISTINCT o_orderstatus))) AS VARCHAR) AS values FROM orders
   UNION ALL SELECT 'orders', 'o_orderpriority', COUNT(DISTINCT o_orderpriority), CAST(to_json(list_sort(list(DISTINCT o_orderpriority))) AS VARCHAR) FROM orders
   UNION ALL SELECT 'customer', 'c_mktsegment', COUNT(DISTINCT c_mktsegment), CAST(to_json(list_sort(list(DISTINCT c_mktsegment))) AS VARCHAR) FROM customer
-  UNION ALL SELECT 'part', 'p_type', COUNT(DISTINCT p_type), CAST(to_json(list_sort(list(DISTINCT p_type))) AS VARCHAR) FROM part""")
+  UNION ALL SELECT 'part', 'p_type', COUNT(DISTINCT p_type), CAST(to_json(list_sort(list(DISTINCT p_type))) AS VARCHAR) FROM part
+  """ + " ".join(f"""UNION ALL SELECT 'lineitem', '{c}', COUNT(DISTINCT {c}), CAST(to_json(list_sort(list(DISTINCT CAST({c} AS VARCHAR)))) AS VARCHAR) FROM lineitem
+  HAVING COUNT(DISTINCT {c}) BETWEEN 1 AND 12""" for c in LINE_COLUMNS))
 def profile_values(t):
     return _union([profile.value_lists(df, df.columns).select(F.lit(n).alias("table_name"), "*") for n, df in _profiled(t).items()])
 
 
 @query("profile_top_values", """SELECT 'orders' AS table_name, 'o_orderstatus' AS column_name, o_orderstatus AS value, COUNT(*) AS n FROM orders GROUP BY 3
   UNION ALL SELECT 'customer', 'c_mktsegment', c_mktsegment, COUNT(*) FROM customer GROUP BY 3
-  UNION ALL SELECT 'part', 'p_type', p_type, COUNT(*) FROM part GROUP BY 3 UNION ALL SELECT 'part', 'p_brand', p_brand, COUNT(*) FROM part GROUP BY 3""")
+  UNION ALL SELECT 'part', 'p_type', p_type, COUNT(*) FROM part GROUP BY 3 UNION ALL SELECT 'part', 'p_brand', p_brand, COUNT(*) FROM part GROUP BY 3
+  UNION ALL SELECT 'lineitem', 'l_returnflag', l_returnflag, COUNT(*) FROM lineitem GROUP BY 3
+  UNION ALL SELECT 'lineitem', 'l_linestatus', l_linestatus, COUNT(*) FROM lineitem GROUP BY 3""")
 def profile_top_values(t):
-    hidden = {"orders": ["o_orderpriority"], "customer": [], "part": []}
+    hidden = {"orders": ["o_orderpriority"], "customer": [], "part": [], "lineitem": []}
     return _union([profile.top_values(df, hidden=hidden[n]).select(F.lit(n).alias("table_name"), "*") for n, df in _profiled(t).items()])
 
 
-@query("profile_samples")
+@query("profile_samples", " UNION ALL ".join(f"""SELECT '{c}' AS column_name, array_to_string(list_sort(list(DISTINCT left(CAST({c} AS VARCHAR), 60)))[:5], ',') AS samples
+  FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 20)""" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")))
 def profile_samples(t):
-    return profile.samples(t.part).withColumn("samples", text_list("samples"))
+    return profile.samples(t.part, ["p_partkey"]).withColumn("samples", text_list("samples"))
 
 
 # ---------------------------------------------------------------- keys

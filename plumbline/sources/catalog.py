@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..specs import ASSET_INVENTORY
+
 
 @dataclass(frozen=True)
 class Layer:
@@ -63,24 +65,31 @@ def catalog_assets(spark: SparkSession, catalog: str, schemas: Sequence[str]) ->
             spark.createDataFrame(columns, f"{base}, column_name STRING, data_type STRING"))
 
 
-def inventory(frames: Mapping[str, DataFrame], layers: Mapping[str, str], comments: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per asset: layer, columns, rows. Each count reads no column data."""
-    comments = comments or {}
+def inventory(frames: Mapping[str, DataFrame], layers: Mapping[str, str], comments: Mapping[str, str] | None = None,
+              kinds: Mapping[str, str] | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """One row per asset, in the columns of ASSET_INVENTORY; each count reads no column data.
+
+    ``kinds`` names the assets that are not tables, ``changes`` (table_name, last_data_change) dates them.
+    """
+    comments, kinds = comments or {}, kinds or {}
     rows = None
     for name, df in frames.items():
         one = df.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(layers.get(name)).alias("layer"), F.lit(name).alias("full_name"),
             F.lit(len(df.columns)).alias("column_count"), "row_count",
-            F.lit(bool(comments.get(name))).alias("has_comment"), F.lit(True).alias("readable"))
+            F.lit(bool(comments.get(name))).alias("has_comment"), F.lit(True).alias("readable"),
+            F.lit(kinds.get(name, "table")).alias("kind"), F.lit(None).cast("string").alias("error"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows
+    if changes is None:
+        return rows.withColumn("last_updated", F.lit(None).cast("timestamp"))
+    dated = changes.select(F.col("table_name").alias("full_name"), F.col("last_data_change").alias("last_updated"))
+    return rows.join(dated, "full_name", "left")
 
 
 def unreadable(spark: SparkSession, layer: str, name: str, error: str) -> DataFrame:
     """Inventory row of an asset whose read failed; union it with :func:`inventory`."""
     return spark.createDataFrame(
-        [(layer, name, 0, None, False, False, error)],
-        "layer STRING, full_name STRING, column_count INT, row_count BIGINT, has_comment BOOLEAN, readable BOOLEAN, error STRING")
+        [(layer, name, "table", 0, None, None, False, False, error)], ASSET_INVENTORY)
 
 
 def fk_edges(referential: DataFrame, usage: DataFrame) -> DataFrame:

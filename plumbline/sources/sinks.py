@@ -56,14 +56,27 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
      .partitionBy("_bucket").parquet(path))
 
 
-def save_table(df: DataFrame, name: str, *, bucket_by: str | None = None, buckets: int = 64) -> None:
-    """Create or replace a managed table, bucketed when later joins share the key."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def save_table(df: DataFrame, name: str, *, bucket_by: str | None = None, buckets: int = 64, path: str | None = None) -> None:
+    """Create or replace a table of the session's catalog, managed or at a path, bucketed when later joins share the key."""
     writer = df.write.mode("overwrite").format("parquet")
+    if path:
+        writer = writer.option("path", path)
     if bucket_by:
         writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     writer.saveAsTable(name)
 
 
+def save_view(spark: SparkSession, name: str, query: str) -> None:
+    """Create or replace a view of the session's catalog over its tables."""
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query}")
+
+
 def copy_history(source: DataFrame, target_columns: list[str], *, project: str | None = None,
                  runs: DataFrame | None = None) -> DataFrame:
     """Rows of one project, in the columns both tables have: by ``system``, else by the project's run ids."""

@@ -172,13 +172,5 @@ DQ_FRESHNESS = ("check_run_id STRING, checked_at TIMESTAMP, table_name STRING, l
     "last_data_change TIMESTAMP, age_hours DOUBLE, max_hours DOUBLE, stale BOOLEAN, error STRING")
 DQ_RULES = ("rule_id STRING, table_name STRING, rule_type STRING, column_name STRING, severity STRING, "
     "tolerance DOUBLE, description STRING, origin STRING, definition STRING")
-ONTOLOGY_NODES = ("node_id STRING, node_type STRING, parent_id STRING, domain_id STRING, subdomain_id STRING, "
-    "name STRING, description STRING, owner STRING, path STRING, source STRING")
-PAGE_OBJECTS = ("page_id STRING, subdomain_id STRING, domain_id STRING, object_full_name STRING, "
-    "object_kind STRING, layer STRING, placed_by STRING, confidence DOUBLE")
-GLOSSARY = ("term STRING, definition STRING, synonyms ARRAY<STRING>, page_id STRING, linked_object STRING, "
-    "linked_field STRING, source STRING")
 ASSET_INVENTORY = ("layer STRING, full_name STRING, kind STRING, column_count INT, row_count BIGINT, "
     "last_updated TIMESTAMP, has_comment BOOLEAN, readable BOOLEAN, error STRING")
-EVAL_RUNS = ("run_id STRING, run_at TIMESTAMP, target STRING, questions INT, correct INT, pass_rate DOUBLE, "
-    "threshold DOUBLE, passed BOOLEAN")
