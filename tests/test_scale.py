@@ -66,4 +66,4 @@ def test_hot_keys_give_whole_results(spark, hot):
 def test_quarantine_keeps_only_the_first_rows_of_each_task(hot):
     rules = [Rule("t", "range", ("k",), min=1), Rule("t", "expression", name="odd", expression="v % 2 = 1")]
     text = plan_of(quality.quarantine({"t": hot}, rules, {"t": ("v",)}))
-    assert text.count("WindowGroupLimit") == 2 and text.count("Range") == 1
+    assert text.count("WindowGroupLimit") >= 2 and text.count("Range (") == 1
