@@ -55,15 +55,14 @@ def test_base_counts(spark, folder):
 
 def test_rules_tell_good_from_bad(spark):
     labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
-    kept = {r.doc_id: r.kept for r in judged(table(spark, SF, "documents"), table(spark, SF, "labels")).where("NOT base_failed").select("doc_id", "kept").collect()} \
-        if False else {r.doc_id: (r.base_failed, r.kept) for r in judged(table(spark, SF, "documents"), table(spark, SF, "labels")).collect()}
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in judged(table(spark, SF, "documents"), table(spark, SF, "labels")).collect()}
     good = [k for d, (b, k) in kept.items() if labels.get(d) == 1 and not b]
     bad = [k for d, (_, k) in kept.items() if labels.get(d) == 0]
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
 def test_rules_without_trusted_documents(spark, folder):
-    docs = spark.createDataFrame([(1, "w%d " % i * 1, "x") for i in range(2)] + [(9, " ".join(f"w{i}" for i in range(80)), "x")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(1, "few words", "x"), (9, " ".join(f"w{i}" for i in range(80)), "x")], "doc_id long, text string, score string")
     none = table(spark, folder, "labels").limit(0)
     assert [r.doc_id for r in accepted(docs, none).collect()] == [9]
     assert accepted(docs.limit(0), none).count() == 0 and accepted(docs, none).columns == docs.columns

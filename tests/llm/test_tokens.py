@@ -1,5 +1,4 @@
 """Token counts, token files and packing against the tokenizers library on whole texts."""
-import random
 import zlib
 
 import numpy as np
@@ -68,8 +67,9 @@ def test_counts(spark, folder):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(vocabulary(BYTES))
     docs = table(spark, folder, "documents").unionByName(spark.createDataFrame(ROWS, SCHEMA).drop("n_tokens"), allowMissingColumns=True)
-    want = sorted((d or -1, len((t or "").encode()), n, n > 1024) for (d, t), n in zip(
-        rows := [(r.doc_id, r.text) for r in docs.collect()], map(len, library(tok, [t or "" for _, t in rows]))))
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    counts = map(len, library(tok, [t for _, t in rows]))
+    want = sorted((d or -1, len(t.encode()), n, n > 1024) for (d, t), n in zip(rows, counts))
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs, vocabulary(BYTES)).collect()) == want
     made = spark.createDataFrame(ROWS, SCHEMA)
     assert token_counts(made, vocabulary(BYTES)).count() == 6 and token_counts(made.limit(0), vocabulary(BYTES)).count() == 0
@@ -130,7 +130,9 @@ def test_packing(spark, folder, source):
     from tokenizers import Tokenizer
     made = spark.createDataFrame(ROWS, SCHEMA)
     docs = {"given": table(spark, folder, "documents"), "made": made.where("not (doc_id <=> 3)"), "empty": made.limit(0)}[source]
-    ids = {r.doc_id: i + [1] for r, i in zip(every := docs.collect(), library(Tokenizer.from_file(vocabulary(WORDS)), [r.text or "" for r in every]))}
+    tok = Tokenizer.from_file(vocabulary(WORDS))
+    every = docs.collect()
+    ids = {r.doc_id: i + [1] for r, i in zip(every, library(tok, [r.text or "" for r in every]))}
     rows = packed(docs, vocabulary(WORDS), bin_tokens=20_000).collect()
     assert all(r.ids_crc32 == crc(ids[r.doc_id][r.start:r.start + r.length]) and r.doc_tokens == len(ids[r.doc_id]) for r in rows)
     for key, at, end in (("doc_id", "start", lambda r: r.doc_tokens), ("sequence_id", "offset", lambda r: r.tier)):
@@ -142,6 +144,5 @@ def test_packing(spark, folder, source):
             assert [r[at] for r in group] == [0, *np.cumsum([r.length for r in group])][:len(group)]
             assert group[-1][at] + group[-1].length == end(group[0])
         assert key != "doc_id" or set(groups) == set(ids)
-    assert packed(made, vocabulary(WORDS)).where("doc_id = 3").agg(F.sum("length")).first()[0] == 2 * len(
-        library(Tokenizer.from_file(vocabulary(WORDS)), [ROWS[0][1]])[0]) + 2
-    random.seed(0)
+    twice = packed(made, vocabulary(WORDS)).where("doc_id = 3").agg(F.sum("length")).first()[0]
+    assert twice == 2 * (len(library(tok, [ROWS[0][1]])[0]) + 1)
