@@ -124,7 +124,7 @@ def quarantine(tables: Mapping[str, DataFrame], rules: Sequence[Rule], keys: Map
                hidden: Mapping[str, Sequence[str]] | None = None, rows: int = 100) -> DataFrame:
     """Up to ``rows`` failing rows per rule: rule_id, table_name, row_key, row_json.
 
-    Rows are chosen by key, then by a hash of their shown content, so reruns agree. The row rules of a table share one scan. Failing
+    Rows are chosen by key, then by their shown values, so reruns agree. The row rules of a table share one scan. Failing
     rows are ranked within groups of a rule first and the first of every group then within the rule, so a rule that most
     rows break does not gather them in one task; JSON is built for the rows that are left, without the hidden columns.
     """
@@ -148,7 +148,8 @@ def quarantine(tables: Mapping[str, DataFrame], rules: Sequence[Rule], keys: Map
             failing.append(entry(df.withColumn("_broken", F.explode(broken)), F.col("_broken")))
         if not failing:
             continue
-        order = [*[F.col(f"_o{i}") for i in range(len(key))], F.col("_content")]
+        plain = [c for c in shown if "map<" not in dict(df.dtypes)[c]]
+        order = [*[F.col(f"_o{i}") for i in range(len(key))], *[F.col(f"_row.{c}").asc_nulls_last() for c in plain], F.col("_content")]
         every = reduce(DataFrame.unionByName, failing).withColumn("_group", F.pmod("_content", F.lit(GROUPS)))
         for by in (["_rule", "_group"], ["_rule"]):
             every = every.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= rows)
