@@ -80,10 +80,14 @@ def inventory(frames: Mapping[str, DataFrame], layers: Mapping[str, str], commen
             F.lit(bool(comments.get(name))).alias("has_comment"), F.lit(True).alias("readable"),
             F.lit(kinds.get(name, "table")).alias("kind"), F.lit(None).cast("string").alias("error"))
         rows = one if rows is None else rows.unionByName(one)
+    rows = rows.withColumn("last_updated", F.lit(None).cast("timestamp"))
     if changes is None:
-        return rows.withColumn("last_updated", F.lit(None).cast("timestamp"))
-    dated = changes.select(F.col("table_name").alias("full_name"), F.col("last_data_change").alias("last_updated"))
-    return rows.join(dated, "full_name", "left")
+        return rows
+    # stacked and folded by name: the names of assets are constants, which a join would turn into a comparison of all pairs
+    dated = changes.select(F.col("table_name").alias("full_name"), F.col("last_data_change").cast("timestamp").alias("last_updated"))
+    every = rows.unionByName(dated, allowMissingColumns=True)
+    folded = every.groupBy("full_name").agg(*[F.max(c).alias(c) for c in rows.columns if c != "full_name"])
+    return folded.where(F.col("column_count").isNotNull())
 
 
 def unreadable(spark: SparkSession, layer: str, name: str, error: str) -> DataFrame:
