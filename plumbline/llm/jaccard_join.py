@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from ..sources.sinks import remove
 from .components import components
 from .line_dedup import LOWER, UPPER
 from .quality_rules import SPACE, words_of
@@ -104,6 +105,13 @@ def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
         F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {1 << bits}) % 64 AS int))")) != 0)
 
 
+def _drop(*tables: DataFrame) -> None:
+    """Deletes written tables, so that they take no disk beside what follows."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            remove(table.sparkSession, folder)
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, same (xxhash64 of the text), n_shingles, component (a number; null without words) and component_id of every row.
 
@@ -152,6 +160,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = _pairs(marked.join(apart, "gram").where("component <> others"), percent).join(pairs, ["x", "y"], "left_anti")
     more = written(_linked(rest, segments, chosen, percent), "ngram-links")
     labels = components(links.unionByName(more))
+    _drop(segments, entries, pairs, marked, chosen, links, more)  # labels are written; nothing below reads these
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     named = named.join(least, "component").select("c1", "c2", "component", "component_id")
