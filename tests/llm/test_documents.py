@@ -277,7 +277,7 @@ def test_pipeline(spark, folder):
             rows = [(r.doc_id, r.text) for r in before.collect()]
             assert sorted(r.doc_id for r in docs.collect()) == sorted({c for _, _, c in brute(rows, 5, 80)})
         if name == "mixing":
-            want = Counter({r.doc_id: round(r.taken / r["size"]) for r in mixed(before).where("size > 0").collect()})
+            want = Counter({r.doc_id: int(r.taken / r["size"] + 0.5) for r in mixed(before).where("size > 0").collect()})
             assert Counter(r.doc_id for r in docs.collect()) == +want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "jaccard_join", "mixing", "packing"]
     assert counts[1] < counts[0] and counts[3] < counts[2]
