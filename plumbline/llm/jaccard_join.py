@@ -131,8 +131,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                                 F.slice("grams", F.size("counted") + 1, F.col("more")).alias("more")), "ngram-sets")
     classes = written(table.where("n > 0").groupBy("c1", "c2").agg(F.min("cid").alias("cid"), F.min("doc_id").alias("least_doc"), F.min("n").alias("n")),
                       "ngram-classes")
-    # sets too small to differ in one n-gram link only when equal
-    able = classes.where(F.col("n") - 1 >= F.ceil(F.col("n") * percent / 100)).select("cid")
+    # sets too small to lack one n-gram of a set one larger link only when equal; a set that can link with a smaller one passes too
+    able = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("cid")
     heads = table.select("cid", "n", "counted", "more", "same").join(able, "cid", "left_semi")
     grams = heads.select("cid", F.explode("counted").alias("gram"))
     sizes = heads.select("cid", "n", F.size("counted").alias("known"), "more")

@@ -220,6 +220,14 @@ def test_classes(spark, width, percent, seed):
     assert jaccard_classes(docs.limit(0), width, percent).count() == 0
 
 
+@pytest.mark.parametrize("width,percent,words", [(3, 90, 11), (5, 80, 8)])
+def test_small_sets_link_with_a_larger_one(spark, width, percent, words):
+    text = [f"w{i}" for i in range(words)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text, "more"])), (3, " ".join(["less", *text])), (4, " ".join(text[:-1])), (5, " ".join([*text[:-1], "x"]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()}
+    assert got == {i: (n, c) for i, n, c in ((int(i), n, c) for i, n, c in brute(rows, width, percent))} and got[2][1] == 1
+
+
 def test_one_of_each(spark):
     docs = spark.createDataFrame([(2, "one two three four five six", 1), (1, "one two three four five six", 2), (1, "one two three four five six", 2),
                                   (None, "one two three four five six", 3), (None, "alone", 4), (5, "", 5), (6, None, 6), (6, None, 6)], "doc_id long, text string, component int")
