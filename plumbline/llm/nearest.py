@@ -89,7 +89,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     ``is_query`` tells queries by their vec_id. Rows whose vector or id is missing, whose vector is zero, holds null or non-finite
     components or has another dimension than most, take no part. Equal vectors are one class: it is indexed once, with its ``k + 1``
     smallest ids, and a query asks once for all its equals, so a vector that a third of all rows hold costs as much as any other.
-    Repeated rows count once. Axes with many vectors or queries are searched in blocks of ``block`` by ``block``, so no task holds an axis.
+    Repeated rows count once. Queries that found fewer than ``k`` and than all other ids are compared with every class. Axes with many vectors or queries are searched in blocks of ``block`` by ``block``, so no task holds an axis.
     """
     importable(vectors.sparkSession)
     good = usable(vectors)
@@ -140,11 +140,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
             out.append((np.repeat(asks[a + q], n), lists[np.repeat(starts[v], n) + inside], np.repeat(exact, n)))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], ["query", "vec_id", "score"])
 
-    found = (asked.select(*key, "class", "vector").groupBy(*key)
-             .cogroup(index.select(*key, "class", "vector", "ids").groupBy(*key)).applyInArrow(search, _FOUND))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= 2 * k + 1)
-    best = best.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-    answers = asking.join(best.withColumnRenamed("query", "class"), "class").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answers(queries: DataFrame, asked: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
+        found = (asked.select(*key, "class", "vector").groupBy(*key)
+                 .cogroup(index.select(*key, "class", "vector", "ids").groupBy(*key)).applyInArrow(search, _FOUND))
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        best = found.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= 2 * k + 1)
+        best = best.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+        rows = queries.join(best.withColumnRenamed("query", "class"), "class").where("vec_id <> query_id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    probed = written(answers(asking, asked, index, key), "ann-answers")
+    owed = min(k, classes.select(F.explode("ids").alias("id")).distinct().limit(k + 1).count() - 1)
+    enough = probed.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= owed) if owed > 0 else asking
+    short = written(asking.join(enough.select("query_id"), "query_id", "left_anti"), "ann-short")
+    i, q = (max(1, -(-n // block)) for n in (classes.count(), short.select("class").distinct().count()))
+    if short.isEmpty():
+        return probed
+    every = classes.withColumn("i_block", F.pmod(F.xxhash64("class"), F.lit(i))).withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))))
+    asked = written(classes.select("class", "vector").join(short.select("class").distinct(), "class", "left_semi"), "ann-short-vectors")
+    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("class"), F.lit(q)))
+    asked = asked.withColumn("i_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(i - 1).cast("long"))))
+    exact = answers(short, asked, every, ["i_block", "q_block"])
+    return probed.join(short.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(exact)

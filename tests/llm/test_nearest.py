@@ -56,3 +56,13 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], "x"), (1, [0.5, 0.5], "x")], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 0.5)]
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0 and nearest(df.limit(1), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_few_vectors_of_many_dimensions(spark, block):
+    r = np.random.default_rng(3)
+    rows = [(20 * i, [float(x) for x in r.normal(size=64)], "x") for i in range(21)]
+    assert compare(spark.createDataFrame(rows, SCHEMA), block=block) == 1
+    hot = [float(x) for x in r.normal(size=64)]
+    rows = rows[:8] + [(1000 + i, hot, "x") for i in range(300)]
+    assert compare(spark.createDataFrame(rows, SCHEMA), block=block) >= 0.9
