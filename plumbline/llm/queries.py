@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the pipeline, and the SQL some of them are checked with."""
+"""The registered queries of the operators for training data and the pipeline, and the SQL some of them are checked with."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
+from .best_fit import best_fit_packed
 from .jaccard_join import JACCARD_SQL, jaccard_classes
 from .language_id import language
 from .line_dedup import LINE_SQL, line_dedup
+from .merkle import MERKLE_SQL, manifest, tampered
 from .mixing import MIX_SQL, mixed
 from .nearest import nearest
 from .packing import packed
 from .quality_classifier import quality_scores
 from .quality_rules import judged
+from .ranked_search import SEARCH_SQL, ranked_search
 from .tables import BYTES, WORDS, table, vocabulary
 from .token_counts import token_counts
 from .token_files import token_digest, write_token_files
@@ -63,10 +66,25 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary(BYTES), limit=1024)
 
 
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit_packed(table(spark, folder, "documents"), vocabulary(BYTES), end_id=2, window=1024).drop("ids")
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    stored = manifest(table(spark, folder, "documents"), scratch(spark, "merkle"), tampered())
+    return stored.verified().withColumnRenamed("name", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_classifier, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_nearest, op6_language_id, op7_packing, op8_line_dedup, op9_mixing, op10_token_counts)
+    every = (op1_quality_classifier, op2_quality_rules, op3_jaccard_join, op4_token_files, op5_nearest, op6_language_id, op7_packing, op8_line_dedup, op9_mixing, op10_token_counts,
+             op11_best_fit_packing, op12_ranked_search, op13_merkle_manifest)
     return {q.__name__: q for q in every}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_jaccard_join": JACCARD_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL}
+    return {"op3_jaccard_join": JACCARD_SQL, "op8_line_dedup": LINE_SQL, "op9_mixing": MIX_SQL,
+            "op12_ranked_search": SEARCH_SQL, "op13_merkle_manifest": MERKLE_SQL}
