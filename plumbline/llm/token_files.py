@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .batches import TEXT_BYTES, slices, texts
+from .batches import TEXT_BYTES, slices
 from .encoding import encoder
+from .units import units
 from .workers import arrow_map
 
 BLOCK = 1 << 18  # ids after which a block is closed
@@ -30,11 +31,11 @@ _SHARDS = "shard int, block int, shard_start long, doc_ids array<long>, lengths
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     """doc_id and ids (packed, as wide as the encoder packs them) of every row; ``end_id`` closes each document."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], enc.code).tobytes()
+        of = units(tokenizer)
+        end = b"" if end_id is None else np.array([end_id], of.enc.code).tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = pa.array([i + end for i in enc.ids(texts(part))], pa.binary())
+            for part in slices(batch, "text", 2 * TEXT_BYTES):
+                ids = pa.array([i + end for i in of.ids(part["text"])], pa.binary())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], ids], ["doc_id", "ids"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), encode, IDS)
