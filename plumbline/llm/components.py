@@ -5,6 +5,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from ..sources.sinks import remove
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables, so that they take no disk beside what follows."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            remove(table.sparkSession, folder)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,6 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         above = labels.select(F.col("node").alias("least"), F.col("component").alias("above"))
         step = written(least.join(above, "least").select("node", F.least("least", "above").alias("component"),
                                                          (F.least("least", "above") != F.col("was")).alias("changed")), "labels")
+        drop(labels)
         labels = step.select("node", "component")
         if step.where("changed").isEmpty():
+            drop(edges)
             return labels

@@ -4,7 +4,7 @@ Texts with the same set of n-grams form a class, and classes are compared. In a
 share one of the first few n-grams of each: the prefix. A first order goes by hash, but for a fifth of all hashes by how many classes
 hold the n-gram, the rarest first; it chooses the classes that can be linked at all. A second order goes by how many of the chosen
 classes hold the n-gram, and gives the pairs. The n-grams are cut into fragments by ranges of their hash; the overlap of a
-candidate pair is counted in each fragment on its own and summed per pair.
+candidate pair is counted in each fragment on its own and summed per pair; the first fragments already end most pairs that share little.
 
 A group of many near copies is not expanded into all pairs. Each prefix n-gram's classes are first compared with two of them, the
 one that has it earliest and the last one, and the links found are joined into components; then only classes that share a prefix
@@ -12,18 +12,17 @@ n-gram and still lie in different components are compared. That finds the same c
 """
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
-from ..sources.sinks import remove
-from .components import components
+from ..session import shuffles_removed, written
+from .components import components, drop
 from .line_dedup import LOWER, UPPER
 from .quality_rules import SPACE, words_of
 
 REGION = -(1 << 63) + (1 << 64) // 5  # hashes below are counted
 FRAGMENT_BITS = 3
+FIRST = 2  # fragments that are counted before the others
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -80,36 +79,31 @@ def _entries(grams: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return rows.join(several.drop("holders"), "gram")
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs similar enough: overlaps are counted by fragment and summed."""
+def _shared(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """x, y and shared: the n-grams that pairs share in the given segments, counted by fragment and summed. Pairs that share none are left out."""
     left = segments.select(F.col("cid").alias("x"), "fragment", F.col("part").alias("a"))
     right = segments.select(F.col("cid").alias("y"), "fragment", F.col("part").alias("b"))
-    counted = (pairs.join(left, "x").join(right, ["y", "fragment"]).select("x", "y", F.size(F.array_intersect("a", "b")).alias("shared"))
-               .groupBy("x", "y").agg(F.sum("shared").alias("shared")))
-    size = sizes.select("cid", "n")
-    return (counted.join(size.toDF("x", "nx"), "x").join(size.toDF("y", "ny"), "y")
-            .where(F.col("shared") * 100 >= (F.col("nx") + F.col("ny") - F.col("shared")) * percent).select("x", "y"))
-
-
-def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows that may be among the ``ids``, by a bit map of hashes: of bounded size, and no row of the ids is lost."""
-    n = ids.count()
-    bits = min(26, max(16, (16 * n).bit_length()))
-    slot = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    words = {r.word: r.bits for r in ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")).collect()}  # at most 2^20 numbers
-    table = np.zeros(1 << (bits - 6), np.int64)
-    for word, value in words.items():
-        table[word] = value
-    return rows.where(F.get(F.lit(table), F.shiftright(slot, 6).cast("int")).bitwiseAND(
-        F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {1 << bits}) % 64 AS int))")) != 0)
-
-
-def _drop(*tables: DataFrame) -> None:
-    """Deletes written tables, so that they take no disk beside what follows."""
-    for table in tables:
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            remove(table.sparkSession, folder)
+    return (pairs.join(left, "x").join(right, ["y", "fragment"]).select("x", "y", F.size(F.array_intersect("a", "b")).alias("shared"))
+            .groupBy("x", "y").agg(F.sum("shared").alias("shared")))
+
+
+def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of (x, y) similar enough: overlaps are counted by fragment and summed.
+
+    ``sizes`` holds n and head, a set's n-grams in the first fragments. These are counted first. Where the sum would not do
+    even if all the other n-grams of the smaller rest were shared, the pair does not meet the other fragments.
+    """
+    def enough(shared: Column) -> Column:
+        return shared * 100 >= (F.col("nx") + F.col("ny") - shared) * percent
+
+    sized = pairs.join(sizes.toDF("x", "nx", "hx"), "x").join(sizes.toDF("y", "ny", "hy"), "y")
+    first = F.col("fragment") < FIRST
+    sized = sized.join(_shared(pairs, segments.where(first)), ["x", "y"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    remaining = written(sized.where(enough(F.col("shared") + F.least(F.col("nx") - F.col("hx"), F.col("ny") - F.col("hy")))), "ngram-open")
+    rest = _shared(remaining.select("x", "y"), segments.where(~first)).withColumnRenamed("shared", "more")
+    links = written(remaining.join(rest, ["x", "y"], "left").where(enough(F.col("shared") + F.coalesce("more", F.lit(0)))).select("x", "y"), "ngram-links")
+    drop(remaining)
+    return links
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -120,6 +114,15 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component are null. A null or empty text has no n-grams, links with nothing and keeps its own doc_id. An empty table gives an
     empty one, and other columns are not read.
     """
+    with shuffles_removed(docs.sparkSession):
+        return _classes(docs, width, percent)
+
+
+def _text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     p = _prefix(F.col("n"), percent)
     c1, c2 = F.xxhash64("grams"), F.xxhash64(F.lit(3), F.col("grams"))
     rows = (_sets(docs, width).withColumn("n", F.size("grams"))
@@ -133,34 +136,37 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                       "ngram-classes")
     # sets too small to lack one n-gram of a set one larger link only when equal; a set that can link with a smaller one passes too
     able = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("cid")
-    heads = table.select("cid", "n", "counted", "more", "same").join(able, "cid", "left_semi")
+    heads = table.join(able, "cid", "left_semi")
     grams = heads.select("cid", F.explode("counted").alias("gram"))
     sizes = heads.select("cid", "n", F.size("counted").alias("known"), "more")
     chosen = written(_entries(grams, sizes, percent).select("cid", "n").distinct(), "ngram-chosen")
-    keyed = classes.join(chosen.select("cid"), "cid", "left_semi").select("cid", "c1", "c2")
-    near = _among(docs.select("doc_id", "text").withColumn("seen", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))),
-                  heads.join(chosen.select("cid"), "cid", "left_semi").select(F.col("same").alias("seen")), "seen")
-    found = (_sets(near, width).select("grams", c1.alias("c1"), c2.alias("c2")).join(keyed, ["c1", "c2"])
-             .groupBy("cid").agg(F.first("grams").alias("grams")))
-    fragment = F.explode(F.transform(F.sequence(F.lit(-(1 << FRAGMENT_BITS - 1)), F.lit((1 << FRAGMENT_BITS - 1) - 1)),
-                                     lambda f: F.struct(f.alias("fragment"), F.filter("grams", lambda g: F.shiftright(g, 64 - FRAGMENT_BITS) == f).alias("part"))))
-    segments = written(found.select("cid", fragment.alias("s")).select("cid", "s.fragment", "s.part").where(F.size("part") > 0), "ngram-segments")
+    # one row of each chosen class is read again, by its doc_id and text
+    key = [F.xxhash64("doc_id", "same").alias("k1"), F.xxhash64(F.lit(3), F.col("doc_id"), F.col("same")).alias("k2")]
+    wanted = table.select("cid", "doc_id", "same").join(chosen.select("cid"), "cid", "left_semi").select("cid", *key)
+    texts = _text(docs).withColumn("same", F.xxhash64("text")).select("text", *key).join(wanted, ["k1", "k2"])
+    texts = texts.groupBy("k1", "k2").agg(F.first("cid").alias("doc_id"), F.first("text").alias("text"))
+    fragment = F.explode(F.transform(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1)), lambda f: F.struct(
+        f.alias("fragment"), F.filter("grams", lambda g: F.shiftright(g, 64 - FRAGMENT_BITS) + (1 << FRAGMENT_BITS - 1) == f).alias("part"))))
+    segments = written(_sets(texts, width).select(F.col("doc_id").alias("cid"), fragment.alias("s")).select("cid", "s.fragment", "s.part")
+                       .where(F.size("part") > 0), "ngram-segments")
+    first = segments.where(F.col("fragment") < FIRST).groupBy("cid").agg(F.sum(F.size("part")).alias("head"))
+    sized = written(chosen.join(first, "cid", "left").select("cid", "n", F.coalesce("head", F.lit(0)).alias("head")), "ngram-sizes")
     none = F.array().cast("array<bigint>")
     entries = written(_entries(segments.select("cid", F.explode("part").alias("gram")), chosen.select("cid", "n", F.col("n").alias("known"), none.alias("more")), percent),
                       "ngram-prefixes")
     pivots = F.explode(F.array(*[F.struct(F.col(f"{p}.cid").alias("other"), F.col(f"{p}.n").alias("m"), F.col(f"{p}.pos").alias("at")) for p in ("plain", "last")]))
     pairs = written(_pairs(entries.select("cid", "n", "pos", pivots.alias("p")).select("cid", "n", "pos", "p.*"), percent), "ngram-pairs")
-    links = written(_linked(pairs, segments, chosen, percent), "ngram-links")
+    links = _linked(pairs, segments, sized, percent)
     labels = components(links)
     marked = entries.select("cid", "n", "pos", "gram").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     counted = marked.groupBy("gram", "component").agg(F.count("*").alias("k"))
     mixed = counted.groupBy("gram").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     marked = written(marked.join(mixed, "gram").select("gram", "cid", "n", "pos", "component", (F.col("component") != F.col("main")).alias("apart")), "ngram-mixed")
     apart = marked.where("apart").select("gram", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("others"))
-    rest = _pairs(marked.join(apart, "gram").where("component <> others"), percent).join(pairs, ["x", "y"], "left_anti")
-    more = written(_linked(rest, segments, chosen, percent), "ngram-links")
+    rest = written(_pairs(marked.join(apart, "gram").where("component <> others"), percent).join(pairs, ["x", "y"], "left_anti"), "ngram-pairs")
+    more = _linked(rest, segments, sized, percent)
     labels = components(links.unionByName(more))
-    _drop(segments, entries, pairs, marked, chosen, links, more)  # labels are written; nothing below reads these
+    drop(segments, sized, entries, pairs, rest, marked, chosen, links, more)  # labels are written; nothing below reads these
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     named = named.join(least, "component").select("c1", "c2", "component", "component_id")
