@@ -1,33 +1,54 @@
 """Two versions of keyed rows side by side: three-way difference, incremental plan, certified latest.
 
 Both versions are stacked and grouped once by key, so null keys meet null keys, a key on many rows is folded before
-the shuffle, and neither version is joined to the other.
+the shuffle, and neither version is joined to the other. What is folded has a fixed width, so that rows are folded in place by
+hash and never sorted: numbers, times and booleans themselves, a 64-bit hash of everything else. Whose texts differ is thus known
+without moving texts; :func:`with_text` fetches those that are shown.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import squeeze
 
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def is_fixed(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, FIXED)
+
+
+def digest(value: Column) -> Column:
+    """A 64-bit hash of a value; null stays null."""
+    return F.when(value.isNotNull(), F.xxhash64(value))
+
 
 def side_by_side(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """keys, n_left, n_right, left, right: how often each side has the key, and its values as a struct (or null).
+    """keys, n_left, n_right, left, right: how often each side has the key, and a struct of its values, texts as their :func:`digest`.
 
-    For a key that is repeated on one side the struct is the largest of its rows; the count tells.
+    For a key that is repeated on one side the struct has the largest of each value; the count tells. All are null where a side
+    lacks the key.
     """
-    def tagged(df: DataFrame, side: bool) -> DataFrame:
-        row = F.struct(*[F.col(v) for v in values]) if values else F.struct(F.lit(1).alias("present"))
-        return df.select(*keys, F.lit(side).alias("_left"), row.alias("_row"))
+    both = left.select(*keys, F.lit(True).alias("_left"), *values).unionByName(right.select(*keys, F.lit(False).alias("_left"), *values))
+    carried = {v: F.col(v) if is_fixed(both, v) else digest(F.col(v)) for v in values}
+    sides = {"left": F.col("_left"), "right": ~F.col("_left")}
+    found = both.groupBy(*keys).agg(
+        *[F.count_if(on).alias(f"n_{side}") for side, on in sides.items()],
+        *[F.max(F.when(on, c)).alias(f"_{side}_{v}") for side, on in sides.items() for v, c in carried.items()])
+    structs = [F.struct(*[F.col(f"_{side}_{v}").alias(v) for v in values]).alias(side) for side in sides] if values else []
+    return found.select(*keys, "n_left", "n_right", *structs)
+
 
-    both = tagged(left, True).unionByName(tagged(right, False))
-    return both.groupBy(*keys).agg(
-        F.count_if(F.col("_left")).alias("n_left"),
-        F.count_if(~F.col("_left")).alias("n_right"),
-        F.max(F.when(F.col("_left"), F.col("_row"))).alias("left"),
-        F.max(F.when(~F.col("_left"), F.col("_row"))).alias("right"))
+def with_text(found: DataFrame, side: DataFrame, keys: Sequence[str], value: str, hashed: str, name: str) -> DataFrame:
+    """Adds ``name``: the text of a side's ``value`` whose digest is in the column ``hashed``, null where that is null."""
+    texts = side.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col(value).alias(name), digest(F.col(value)).alias("_digest"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col(hashed) == F.col("_digest"))
+    return found.join(texts.where(F.col("_digest").isNotNull()).distinct(), same, "left").drop("_digest", *[f"_key_{k}" for k in keys])
 
 
 def _differs(side: str, other: str, value: str) -> Column:
@@ -39,7 +60,7 @@ def diff(want: DataFrame, have: DataFrame, keys: Sequence[str], values: Sequence
     """keys, problem (missing, extra, changed, duplicated), changed (names of the values that differ).
 
     ``duplicated``: the key is on several rows of ``have``; its values are then not compared. White space in the
-    ``loose_text`` values does not count as a difference.
+    ``loose_text`` values does not count as a difference. Texts are compared by 64-bit hashes and do not travel.
     """
     def norm(df):
         return df.withColumns({c: squeeze(F.col(c)) for c in loose_text}) if loose_text else df

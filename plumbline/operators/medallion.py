@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Silver entities, their raw source, key and typed columns (name: (expression, type)).
@@ -71,16 +71,20 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], stamp: Col
     """Source rows replace target rows with the same key; the rest of both stays, and so do columns only one side has.
 
     A source that repeats a key is folded to its row with the greatest ``newest``; without that order the merge fails when it
-    runs. Only the source is stamped. With a small source the target is filtered in place and never shuffled.
+    runs. A null key meets a null key, so a repeated merge changes nothing; without ``newest`` all source rows with a null in
+    their key stay. Only the source is stamped. The target is joined on its keys as they are, so a target that is bucketed by
+    them is not shuffled; its rows with a null in their key meet the distinct such keys of the source apart.
     """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     if newest is not None:
         source = latest_per_key(source, keys, newest, [c for c in source.columns if c not in (*keys, newest)])
     else:
-        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-        copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        once = F.when(whole & (F.col("_copies") > 1), F.raise_error(F.lit("the source of a merge repeats a key")).cast("boolean")).otherwise(True)
-        source = source.withColumn("_copies", copies).where(once).drop("_copies")
-    untouched = target.join(source.select(*keys), list(keys), "left_anti")
+        repeated = source.where(whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("n")).scalar()
+        source = source.where(F.when(repeated > 0, F.raise_error(F.lit("the source of a merge repeats a key")).cast("boolean")).otherwise(True))
+    untouched = target.where(whole).join(source.where(whole).select(*keys), list(keys), "left_anti")
+    nulls = source.where(~whole).select(*[F.col(k).alias(f"_key_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    untouched = untouched.unionByName(target.where(~whole).join(nulls, same, "left_anti"))
     incoming = source if stamp is None else source.withColumn(stamp_column, stamp)
     return untouched.unionByName(incoming, allowMissingColumns=True)
 

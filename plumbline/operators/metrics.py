@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.compare import close_relative, relative_difference
 from ..functions.text import squeeze
 from ..specs import MetricView, Tile
-from .diff import side_by_side
+from .diff import digest, is_fixed, side_by_side, with_text
 
 MIN_COMMENT = 20
 
@@ -87,9 +87,11 @@ def definition_diff(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("v
                   *[F.struct(F.lit(c).alias("property"), F.nullif(F.col(c), F.lit("")).alias("value")) for c in exact]]
         return df.select(*keys, F.inline(F.array(*values)))
 
-    both = side_by_side(properties(left), properties(right), [*keys, "property"], ["value"])
-    return (both.where(~F.col("left.value").eqNullSafe(F.col("right.value")))
-            .select(*keys, "property", F.col("left.value").alias("left"), F.col("right.value").alias("right")))
+    by, old, new = [*keys, "property"], properties(left), properties(right)
+    found = (side_by_side(old, new, by, ["value"]).where(~F.col("left.value").eqNullSafe(F.col("right.value")))
+             .select(*by, F.col("left.value").alias("_old"), F.col("right.value").alias("_new")))
+    found = with_text(with_text(found, old, by, "value", "_old", "left"), new, by, "value", "_new", "right")
+    return found.select(*by, "left", "right")
 
 
 # ---------------------------------------------------------------- query
@@ -167,21 +169,35 @@ def compare_keyed(got: DataFrame, want: DataFrame, keys: Sequence[str], values:
     Only columns of ``want`` are compared. Text is compared as text.
     """
     from ..functions.compare import close_to_truth
+    got, want = got.select(*keys, *values), want.select(*keys, *values)
+    hashed = [v for v in values if not (is_fixed(got, v) and is_fixed(want, v))]
+    got, want = (df.withColumns({v: F.col(v).cast("string") for v in hashed}) if hashed else df for df in (got, want))
     both = side_by_side(got, want, keys, values)
-    types = dict(want.dtypes)
+    types, nothing = dict(want.dtypes), F.lit(None).cast("string")
     problem_of = []
     for v in values:
         a, b = F.col(f"left.{v}"), F.col(f"right.{v}")
-        text = types[v] in ("string", "boolean", "date") or types[v].startswith("timestamp")
+        text = v in hashed or types[v] in ("boolean", "date") or types[v].startswith("timestamp")
         same = a.eqNullSafe(b) if text else close_to_truth(a.cast("double"), b.cast("double"))
-        problem_of.append(F.struct(F.lit(v).alias("column"), a.cast("string").alias("got"), b.cast("string").alias("want"),
-                                   F.when(~same, "differs").alias("problem")))
+        shown = [nothing, nothing] if v in hashed else [a.cast("string"), b.cast("string")]
+        marks = [a, b] if v in hashed else [F.lit(None).cast("bigint")] * 2
+        problem_of.append(F.struct(F.lit(v).alias("column"), shown[0].alias("got"), shown[1].alias("want"), F.when(~same, "differs").alias("problem"),
+                                   marks[0].alias("_got"), marks[1].alias("_want")))
     missing = (F.when(F.col("n_left") == 0, "missing from the result").when(F.col("n_right") == 0, "not in the matching rows")
                .when((F.col("n_left") > 1) | (F.col("n_right") > 1), "group repeated"))
-    nothing = F.lit(None).cast("string")
-    whole = F.array(F.struct(nothing.alias("column"), nothing.alias("got"), nothing.alias("want"), missing.alias("problem")))
-    return (both.select(*keys, F.inline(F.when(missing.isNotNull(), whole).otherwise(F.array(*problem_of))))
-            .where(F.col("problem").isNotNull()))
+    none = F.lit(None).cast("bigint")
+    whole = F.array(F.struct(nothing.alias("column"), nothing.alias("got"), nothing.alias("want"), missing.alias("problem"), none.alias("_got"), none.alias("_want")))
+    found = (both.select(*keys, F.inline(F.when(missing.isNotNull(), whole).otherwise(F.array(*problem_of))))
+             .where(F.col("problem").isNotNull()))
+    if hashed:  # the texts of the values that differ
+        by = [*keys, "column"]
+        for side, df in (("got", got), ("want", want)):
+            texts = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(v).alias("column"), F.col(v).alias("text"), digest(F.col(v)).alias("_mark"))
+                                                             for v in hashed])))
+            texts = texts.where(F.col("_mark").isNotNull()).distinct().toDF(*[f"_key_{k}" for k in by], "_text", "_mark")
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in by], F.col(f"_{side}") == F.col("_mark"))
+            found = found.join(texts, same, "left").withColumn(side, F.coalesce(side, "_text")).drop(*texts.columns)
+    return found.drop("_got", "_want")
 
 
 def shape_problems(got: DataFrame, columns: Sequence[str] = (), min_rows: int | None = None, max_rows: int | None = None) -> DataFrame:

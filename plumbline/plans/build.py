@@ -14,11 +14,12 @@ from ..specs import DQ_FRESHNESS, DQ_QUARANTINE, DQ_RESULTS, DQ_RUNS, Rule
 
 # ---------------------------------------------------------------- landing to gold
 def load_bronze(spark: SparkSession, landing_root: str, root: str, run_id: str) -> None:
+    """Load every source's new files. A file that lacks a column of its bronze table ends the load of that source before a row is stored."""
     for raw, _, _ in medallion.SILVER.values():
         landing.load_new_files(spark, f"{landing_root}/{raw}", raw, f"{root}/bronze/raw_{raw}", f"{root}/bronze/ingestion_log", run_id)
 
 
-def build_silver(spark: SparkSession, root: str, run_id: str | None = None, buckets: int = 64) -> None:
+def build_silver(spark: SparkSession, root: str, run_id: str | None = None, buckets: int | None = None) -> None:
     """Merge bronze into silver: everything, or what one run loaded, so that a small load costs what it holds."""
     for entity, (raw, key, _) in medallion.SILVER.items():
         table, log = f"{root}/bronze/raw_{raw}", f"{root}/bronze/ingestion_log"

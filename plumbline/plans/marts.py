@@ -2,13 +2,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diff, freshness, keys, medallion, profile
 from ..session import scratch, written
 from ..sources import catalog, landing, sinks
 from . import binding as b
+from . import build
 from .registry import doubles, query, text_list
 
 
@@ -86,6 +89,38 @@ def silver_merge(t):
     return t.spark.read.parquet(path).drop("_bucket")
 
 
+@query("merge_table", """SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN lower(c_mktsegment) END AS note, CASE WHEN c_mktsegment = 'BUILDING' THEN 'second' ELSE 'first' END AS _updated_at
+  FROM customer""")
+def merge_table(t):
+    """A bucketed table of the catalog merged three times, read through its view."""
+    name, path = f"merged_{uuid.uuid4().hex}", scratch(t.spark, "merged")
+    rows = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+    changed = (rows.where("c_mktsegment = 'BUILDING'").withColumn("c_acctbal", F.col("c_acctbal") + 100).withColumn("note", F.lower("c_mktsegment")))
+    for batch, stamp in ((rows, "first"), (changed, "second"), (changed, "second")):
+        sinks.merge_table(t.spark, name, batch, ["c_custkey"], F.lit(stamp), buckets=8, path=path)
+    found = t.spark.read.parquet(f"{path}/v3")
+    t.spark.sql(f"DROP VIEW {name}")
+    for version in (2, 3):  # the files stay: tables at a path of their own are only unlisted
+        t.spark.sql(f"DROP TABLE IF EXISTS {name}_v{version}")
+    return found
+
+
+@query("merge_other_buckets", """SELECT c_custkey, c_acctbal + 1 AS c_acctbal, 1 AS refused FROM customer""")
+def merge_other_buckets(t):
+    """A second merge that names another number of buckets is refused; one that names none uses the table's own."""
+    path, refused = scratch(t.spark, "silver"), 0
+    rows = t.customer.select("c_custkey", "c_acctbal")
+    sinks.merge_into(t.spark, path, rows, ["c_custkey"], buckets=8)
+    more = rows.withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    try:
+        sinks.merge_into(t.spark, path, more, ["c_custkey"], buckets=4)
+    except ValueError:
+        refused = 1
+    sinks.merge_into(t.spark, path, more, ["c_custkey"])
+    return t.spark.read.parquet(path).select("c_custkey", "c_acctbal", F.lit(refused).alias("refused"))
+
+
 @query("merge_new_column", """SELECT c_custkey, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN lower(c_mktsegment) END AS note FROM customer""")
 def merge_new_column(t):
     """A merge that brings a column the table lacks: kept for the merged rows, null for the others."""
@@ -121,6 +156,43 @@ def load_blocked(t):
     return landing.bronze(t.spark, f"{root}/table", f"{root}/log").agg(F.count(F.lit(1)).alias("n"), F.lit(stored).cast("bigint").alias("stored_before"))
 
 
+_LANDED = {"regions": "region", "products": "part", "customers": "customer", "orders": "orders", "shipments": "lineitem", "returns": "lineitem"}
+
+
+@query("build_refuses", " UNION ALL ".join(f"SELECT '{s}' AS source, COUNT(*) AS n, 1 AS refused, COUNT(*) AS bronze_rows FROM {of}" for s, of in _LANDED.items()))
+def build_refuses(t):
+    """The build's own load, twice: the second meets a customer file without a column of bronze, and stores nothing of that source."""
+    root, refused = scratch(t.spark, "build"), 0
+    names = {raw: [name for name, _ in columns.items()] for raw, _, columns in medallion.SILVER.values()}
+    for raw, of in _LANDED.items():
+        rows = getattr(t, of)
+        rows = rows.select(*[F.col(c).cast("string").alias(n) for c, n in zip(rows.columns, names[raw])], *[F.lit("x").alias(n) for n in names[raw][len(rows.columns):]])
+        rows.write.option("header", True).csv(f"{root}/landing/{raw}")
+    build.load_bronze(t.spark, f"{root}/landing", root, "one")
+    t.customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name")).write.mode("append").option("header", True).csv(f"{root}/landing/customers")
+    try:
+        build.load_bronze(t.spark, f"{root}/landing", root, "two")
+    except landing.BlockedFiles:
+        refused = 1
+    log = landing.read_log(t.spark, f"{root}/bronze/ingestion_log").groupBy("source").agg(F.sum("rows_loaded").alias("n")).withColumn("refused", F.lit(refused))
+    stored = [landing.bronze(t.spark, f"{root}/bronze/raw_{raw}", f"{root}/bronze/ingestion_log").agg(F.lit(raw).alias("source"), F.count(F.lit(1)).alias("bronze_rows"))
+              for raw in _LANDED]
+    return log.join(reduce(DataFrame.unionByName, stored), "source")
+
+
+@query("quoted_files", """SELECT doc_id, lang, length(text) AS n_chars, CAST(doc_id % 2 AS INTEGER) AS part FROM documents WHERE text <> ''""")
+def quoted_files(t):
+    """All documents landed as CSV in two layouts, texts with line ends, commas and quotes in quoted cells, and read by column name."""
+    root = scratch(t.spark, "quoted")
+    rows = t.documents.select("doc_id", "lang", "text").where("text <> ''")
+    csv = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    for part, columns in enumerate((["doc_id", "text", "lang"], ["lang", "doc_id", "text"])):
+        rows.where(F.col("doc_id") % 2 == part).select(*columns, F.lit(part).alias("the, part")).write.options(**csv).csv(f"{root}/landing/{part}")
+    landing.load_new_files(t.spark, f"{root}/landing/*", "documents", f"{root}/table", f"{root}/log", "first")
+    found = landing.bronze(t.spark, f"{root}/table", f"{root}/log")
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.char_length("text").cast("bigint").alias("n_chars"), F.col("`the, part`").cast("int").alias("part"))
+
+
 @query("append_widening", """SELECT event_id, event_type, CAST(NULL AS DOUBLE) AS value FROM events WHERE event_type = 'error'
   UNION ALL SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'""")
 def append_widening(t):

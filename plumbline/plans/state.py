@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.compare import verdict
 from ..operators import diff, evaluate, ops
+from ..session import scratch
+from ..sources import versions
 from . import binding as b
 from .registry import query, text_list
 
@@ -41,6 +43,23 @@ def table_diff(t):
     return found.withColumn("changed", text_list("changed"))
 
 
+@query("version_diff", """SELECT c_custkey, 'changed' AS problem, 'c_acctbal,c_name' AS changed, CAST(1 AS BIGINT) AS n_left, CAST(1 AS BIGINT) AS n_right,
+    TRUE AS read_in_part FROM customer WHERE c_custkey <= 3
+  UNION ALL SELECT c_custkey, 'missing', '', 1, 0, TRUE FROM customer WHERE c_custkey = 4 UNION ALL SELECT -1, 'extra', '', 0, 1, TRUE""")
+def version_diff(t):
+    """Two written versions of all customers that differ in six keys: what buckets of equal digest hold is not read."""
+    rows, few = t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), F.col("c_custkey") <= 3
+    new = rows.where("c_custkey <> 4").withColumns({"c_acctbal": F.when(few, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")),
+                                                    "c_name": F.when(few, F.lower("c_name")).otherwise(F.col("c_name"))})
+    new = new.unionByName(rows.where("c_custkey = 1").withColumn("c_custkey", F.lit(-1).cast("bigint")))
+    paths = [scratch(t.spark, "version") for _ in range(2)]
+    for df, path in zip((rows, new), paths):
+        versions.write_version(df, path, ["c_custkey"], buckets=64)
+    n = len(versions.changed_buckets(t.spark, *paths, ["c_custkey"]))
+    found = versions.version_diff(t.spark, *paths, ["c_custkey"], ["c_name", "c_mktsegment", "c_acctbal"])
+    return found.withColumn("changed", F.array_join(F.sort_array("changed"), ",")).withColumn("read_in_part", F.lit(n <= 6))
+
+
 @query("set_difference", """SELECT c_custkey AS key, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')
   UNION ALL SELECT DISTINCT -o_custkey, 'extra' FROM orders WHERE o_orderpriority = '5-LOW' AND o_totalprice > 490000""")
 def set_difference(t):

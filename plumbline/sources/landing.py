@@ -1,14 +1,14 @@
 """Landed CSV files: read as strings with their origin, skip what was loaded, log per file, check pending files."""
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from ..specs import INGESTION_LOG
-from .sinks import append_widening, table_at
+from .sinks import remove, table_at
 
+MORE_COLUMNS = 8  # cells a record may have beside those of the first record met
 ORIGIN = ("_source_file", "_ingest_ts", "_batch_id")
 
 
@@ -19,12 +19,6 @@ def with_origin(df: DataFrame, batch_id: str | Column) -> DataFrame:
             .withColumn("_batch_id", batch))
 
 
-def read_landing(spark: SparkSession, path: str | list[str], batch_id: str) -> DataFrame:
-    """Every column a string; file path, ingest time and batch id added. Files with other headers are refused."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
-    return with_origin(reader.csv(path), batch_id)
-
-
 def unloaded(landed: DataFrame, log: DataFrame) -> DataFrame:
     """Rows of files the log does not name. The log side is pruned to one column and never collected."""
     seen = log.select(F.col("source_file").alias("_source_file"))
@@ -44,29 +38,78 @@ def new_files(spark: SparkSession, path: str, log: DataFrame) -> DataFrame:
     return unloaded(listed, log)
 
 
-def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """_source_file, header, rows: the first line of each file and the number of lines after it.
+def csv_records(spark: SparkSession, paths: str | list[str], most: int, newlines: bool = True) -> DataFrame:
+    """_source_file, at, cells: every record of the files, headers included, as an array of texts; ``at`` says where it stands.
+
+    Quotes are read as CSV has them: a quoted cell may hold commas, doubled quotes and, with ``newlines``, line ends; a file is
+    then read by one task. Without, large files are split. Of a record, ``most`` cells and the one after them are kept.
+    """
+    schema = ", ".join(f"c{i} STRING" for i in range(most + 1))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return _csv(spark, newlines).schema(schema).csv(paths).select(F.col("_metadata.file_path").alias("_source_file"), at.alias("at"),
+                                                                  F.array(*[f"c{i}" for i in range(most + 1)]).alias("cells"))
+
+
+def _csv(spark: SparkSession, newlines: bool) -> DataFrameReader:
+    return spark.read.option("header", False).option("multiLine", newlines).option("escape", '"')
+
+
+def _guess(spark: SparkSession, paths: str | list[str], newlines: bool) -> int:
+    """How many cells the first record of one file has, and some more."""
+    return len(_csv(spark, newlines).csv(paths).columns) + MORE_COLUMNS
 
-    One aggregate that is folded in the tasks, however large the files are.
+
+def file_headers(records: DataFrame) -> DataFrame:
+    """_source_file, header_row, names, rows: the columns of each file, by its first record, and the records after it.
+
+    One aggregate of numbers that is folded in the tasks, however large the files are, then a join for one record of each.
     """
-    lines = (spark.read.text(paths)
-             .select("value", F.col("_metadata.file_path").alias("_source_file"),
-                     F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
-             .where(F.col("value") != ""))
-    return lines.groupBy("_source_file").agg(F.min_by("value", "at").alias("header"), (F.count(F.lit(1)) - 1).alias("rows"))
+    first = F.min(F.when(F.col("at.block") == 0, F.col("at.row")))
+    files = records.groupBy("_source_file").agg(first.alias("header_row"), (F.count(F.lit(1)) - 1).alias("rows"))
+    width = F.array_max(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1)))
+    names = F.transform(F.slice("cells", 1, F.coalesce(width, F.lit(0))), lambda c, i: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.concat(F.lit("_c"), i.cast("string"))))
+    heads = records.select("_source_file", F.col("at.row").alias("header_row"), names.alias("names"))
+    return files.join(heads, ["_source_file", "header_row"])
+
+
+def with_names(records: DataFrame, headers: DataFrame, batch_id: str) -> DataFrame:
+    """The records under the names of their own file's header, null where a file lacks a column. Only distinct column names come to the driver."""
+    columns = sorted(r["name"] for r in headers.select(F.explode("names").alias("name")).distinct().collect())
+    known = headers.select("_source_file", "header_row", "names")
+    rows = records.join(known, "_source_file").where(F.col("at.row") != F.col("header_row"))
+    cells = [F.get("cells", F.array_position("names", F.lit(c)).cast("int") - 1).alias(c) for c in columns]
+    return rows.select(*cells, "_source_file", F.current_timestamp().alias("_ingest_ts"), F.lit(batch_id).alias("_batch_id"))
+
+
+def check_headers(headers: DataFrame, table_columns: list[str]) -> DataFrame:
+    """Per file: rows, columns the table has and the file lacks, and the other way round; ``blocked`` when it lacks any."""
+    have = F.array(*[F.lit(c) for c in table_columns if not c.startswith("_")]).cast("array<string>")
+    return (headers.select(F.col("_source_file").alias("source_file"), "rows", F.array_except(have, "names").alias("missing_columns"),
+                           F.array_except("names", have).alias("new_columns"))
+            .withColumn("blocked", F.size("missing_columns") > 0))
+
+
+def _landed(spark: SparkSession, paths: list[str], newlines: bool) -> tuple[str, DataFrame, DataFrame]:
+    """A work folder with the records and headers of files. Each file is opened once, and again only where one is far wider than the first."""
+    most, work = _guess(spark, paths, newlines), scratch(spark, "landed")
+    while True:
+        found = csv_records(spark, paths, most, newlines)
+        found.write.mode("overwrite").parquet(f"{work}/records")
+        records = spark.read.schema(found.schema).parquet(f"{work}/records")
+        file_headers(records).write.mode("overwrite").parquet(f"{work}/headers")
+        headers = spark.read.parquet(f"{work}/headers")
+        if headers.where(F.size("names") > most).isEmpty():
+            return work, records, headers
+        most *= 4
 
 
-def read_new(spark: SparkSession, files: DataFrame, batch_id: str) -> DataFrame | None:
-    """The rows of the listed files, or None without files. Files are read together where their headers agree, and the
-    groups are united by column name. Only file names come to the driver."""
-    paths = {r["_source_file"]: r["path"] for r in files.collect()}
+def read_new(spark: SparkSession, files: DataFrame, batch_id: str, newlines: bool = True) -> DataFrame | None:
+    """The rows of the listed files (path) under the columns of all, or None without files. Only names of these files come to the driver."""
+    paths = [r["path"] for r in files.select("path").collect()]
     if not paths:
         return None
-    groups: dict[str, list[str]] = {}
-    for r in file_headers(spark, list(paths.values())).select("_source_file", "header").collect():
-        groups.setdefault(r["header"], []).append(paths[r["_source_file"]])
-    parts = [read_landing(spark, sorted(files), batch_id) for _, files in sorted(groups.items())]
-    return reduce(append_widening, parts) if parts else None
+    _, records, headers = _landed(spark, paths, newlines)
+    return with_names(records, headers, batch_id)
 
 
 class BlockedFiles(ValueError):
@@ -74,29 +117,43 @@ class BlockedFiles(ValueError):
 
 
 def load_new_files(spark: SparkSession, path: str, source: str, table_path: str, log_path: str, run_id: str,
-                   columns: list[str] | None = None) -> DataFrame:
+                   columns: list[str] | None = None, newlines: bool = True) -> DataFrame:
     """Store the rows of files not yet logged, then log the files; returns the log rows of this run.
 
-    With the table's ``columns``, a pending file that lacks one of them ends the load before anything is stored.
+    A pending file that lacks one of the table's ``columns`` ends the load before anything is stored; without ``columns`` those the
+    table holds from other runs count. New files are opened once: their records are written to the work folder, and headers, counts, checks and
+    rows are taken from there. Columns meet by name, new ones are added.
 
     A run owns one folder of the table and one of the log and overwrites them; what it loaded before does not count as
     loaded when it is repeated, so a repeat stores the same rows once. The log counts the stored rows. Rows of a run
     that died before its log are not read by :func:`bronze`, and their files are loaded by the next run.
     """
     mine = (F.col("run_id") == run_id) & (F.col("source") == source)
-    if columns is not None:
-        blocked = pending_files(spark, path, columns, read_log(spark, log_path).where(~mine)).where("blocked")
-        first = blocked.select("source_file", "missing_columns").orderBy("source_file").first()
+    paths = [r["path"] for r in new_files(spark, path, read_log(spark, log_path).where(~mine)).select("path").collect()]  # of new files
+    if paths:
+        work, records, headers = _landed(spark, paths, newlines)
+        if columns is None:
+            columns = _columns_of_others(spark, table_path, log_path, source, run_id)
+        first = check_headers(headers, columns).where("blocked").select("source_file", "missing_columns").orderBy("source_file").first()
         if first is not None:
+            remove(spark, work)
             raise BlockedFiles(f"{first['source_file']} lacks {', '.join(first['missing_columns'])}")
-    new = read_new(spark, new_files(spark, path, read_log(spark, log_path).where(~mine)), run_id)
-    if new is not None:
         folder = f"{table_path}/load=r-{run_id}"
-        new.write.mode("overwrite").parquet(folder)
+        with_names(records, headers, run_id).write.mode("overwrite").parquet(folder)
+        remove(spark, work)
         log_files(spark.read.parquet(folder), source, run_id).write.mode("overwrite").parquet(f"{log_path}/load=r-{run_id}-{source}")
     return read_log(spark, log_path).where(mine)
 
 
+def _columns_of_others(spark: SparkSession, table_path: str, log_path: str, source: str, run_id: str) -> list[str]:
+    """Columns of the table, by the loads of other runs that were logged."""
+    runs = read_log(spark, log_path).where((F.col("source") == source) & (F.col("run_id") != run_id)).select("run_id").distinct()
+    if runs.isEmpty():
+        return []
+    held = table_at(spark, table_path, mergeSchema="true")
+    return [c for c in held.columns if c != "load"] if held is not None else []
+
+
 def bronze(spark: SparkSession, table_path: str, log_path: str, run_id: str | None = None) -> DataFrame:
     """Loaded rows whose file and run are logged, with the columns of all loads (missing ones are null); or the rows of
     one run, read from its folder alone."""
@@ -113,12 +170,9 @@ def read_log(spark: SparkSession, log_path: str) -> DataFrame:
     return spark.createDataFrame([], INGESTION_LOG) if log is None else log.drop("load")
 
 
-def pending_files(spark: SparkSession, path: str, table_columns: list[str], log: DataFrame) -> DataFrame:
-    """Per file not yet loaded: rows, columns the table has and the file lacks, and the other way round."""
-    have = F.array(*[F.lit(c) for c in table_columns if not c.startswith("_")])
-    names = F.transform(F.split(F.col("header"), ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
-    return (unloaded(file_headers(spark, path), log).withColumn("names", names)
-            .select(F.col("_source_file").alias("source_file"), "rows",
-                    F.array_except(have, "names").alias("missing_columns"),
-                    F.array_except("names", have).alias("new_columns"))
-            .withColumn("blocked", F.size("missing_columns") > 0))
+def pending_files(spark: SparkSession, path: str, table_columns: list[str], log: DataFrame, newlines: bool = True) -> DataFrame:
+    """Per file not yet loaded: rows, columns the table has and the file lacks, and the other way round. Nothing is stored in the table."""
+    paths = [r["path"] for r in new_files(spark, path, log).select("path").collect()]  # of new files
+    if not paths:
+        return check_headers(spark.createDataFrame([], "_source_file STRING, rows BIGINT, names ARRAY<STRING>"), table_columns)
+    return check_headers(_landed(spark, paths, newlines)[2], table_columns)

@@ -1,4 +1,4 @@
-"""Writes: append with new columns, overwrite, copy of one project's rows, additive schema differences."""
+"""Writes: append with new columns, merge, overwrite, copy of one project's rows, additive schema differences."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.medallion import upsert
-from ..session import written
+from ..session import scratch
 
+BUCKETS = 64
+LAYOUT = "_layout"  # readers of the rows pass over names that start so
 # Names that mean the same base type.
 TYPE_ALIASES = {"LONG": "BIGINT", "INTEGER": "INT", "SHORT": "SMALLINT", "BYTE": "TINYINT", "REAL": "FLOAT",
                 "DEC": "DECIMAL", "NUMERIC": "DECIMAL", "VARCHAR": "STRING", "CHAR": "STRING", "BOOL": "BOOLEAN"}
@@ -36,13 +38,31 @@ def overwrite(df: DataFrame, path: str, schema=None) -> None:
     (df if schema is None else df.to(schema)).write.mode("overwrite").parquet(path)
 
 
+def _layout(spark: SparkSession, path: str, keys: Sequence[str], buckets: int | None) -> int:
+    """The number of buckets a merged table was begun with, noted beside its rows; other keys or another number are refused."""
+    noted = table_at(spark, f"{path}/{LAYOUT}")
+    if noted is None:
+        if table_at(spark, path) is not None:
+            raise ValueError(f"{path} was not written by a merge")
+        buckets = buckets or BUCKETS
+        spark.createDataFrame([(buckets, list(keys))], "buckets int, keys array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/{LAYOUT}")
+        return buckets
+    number, by = noted.select("buckets", "keys").first()
+    if by != list(keys) or buckets not in (None, number):
+        raise ValueError(f"{path} is split by {', '.join(by)} into {number} buckets, not by {', '.join(keys)} into {buckets}")
+    return number
+
+
 def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], stamp: Column | None = None,
-               buckets: int = 64, newest: str | None = None) -> None:
+               buckets: int | None = None, newest: str | None = None) -> None:
     """Upsert into a parquet table that is split into key buckets: only buckets the source touches are read and rewritten.
 
-    A repeated source key is folded by ``newest`` or refused, also when the table is new. The merged buckets are written to the work folder before they replace the old ones, so
-    a rerun after a failure merges the same rows again, to the same result. ``buckets`` stays the same for a table's life.
+    A repeated source key is folded by ``newest`` or refused, also when the table is new. The merged buckets are written to the
+    work folder before they replace the old ones, so a rerun after a failure merges the same rows again, to the same result.
+    The first merge notes keys and ``buckets`` beside the rows; later ones use what is noted and refuse anything else.
+    Readers may meet a merge half done; :func:`merge_table` swaps whole versions.
     """
+    buckets = _layout(spark, path, keys, buckets)
     incoming = source.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(buckets)))
     if stamp is not None:
         incoming = incoming.withColumn("_updated_at", stamp)
@@ -50,10 +70,45 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
     if target is None:
         target = incoming.limit(0)
     touched = [r["_bucket"] for r in incoming.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
-    incoming = written(upsert(target.where(F.col("_bucket").isin(touched)), incoming, keys, newest=newest), "merge")
+    work = scratch(spark, "merge")
+    upsert(target.where(F.col("_bucket").isin(touched)), incoming, keys, newest=newest).write.parquet(work)
     # Rows of a bucket are brought together, and adaptive execution splits a bucket that is too large for one task.
-    (incoming.hint("rebalance", "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (spark.read.parquet(work).hint("rebalance", "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_bucket").parquet(path))
+    remove(spark, work)
+
+
+def merge_table(spark: SparkSession, name: str, source: DataFrame, keys: Sequence[str], stamp: Column | None = None,
+                buckets: int | None = None, newest: str | None = None, path: str | None = None) -> None:
+    """Upsert into a table of the session's catalog that is bucketed and sorted by its keys; readers see whole versions only.
+
+    ``name`` is a view over the version in force, and notes keys, buckets and version as its properties; later merges use what is
+    noted and refuse other keys or numbers. The join with the source shuffles the source alone, into the table's buckets. The next
+    version is written whole, then the view is replaced; the version before stays for queries that still read it, the one before that
+    goes. A merge that fails leaves the view as it was, and its rerun writes the same version again. With a ``path`` versions lie under it.
+    """
+    noted = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()} if spark.catalog.tableExists(name) else None
+    if noted is None:
+        version, target, buckets = 0, None, buckets or BUCKETS
+    else:
+        version, number, by = int(noted["merge.version"]), int(noted["merge.buckets"]), noted["merge.keys"].split(",")
+        if by != list(keys) or buckets not in (None, number):
+            raise ValueError(f"{name} is bucketed by {', '.join(by)} into {number} buckets, not by {', '.join(keys)} into {buckets}")
+        buckets, target = number, spark.table(f"{name}_v{version}")
+    if stamp is not None:
+        source = source.withColumn("_updated_at", stamp)
+    dealt = source.repartition(buckets, *keys)  # the table's own buckets
+    rows = upsert(dealt.limit(0) if target is None else target, dealt, keys, newest=newest)
+    stored = f"{name}_v{version + 1}"
+    spark.sql(f"DROP TABLE IF EXISTS {stored}")  # of a merge that failed
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", f"{path}/v{version + 1}") if path else writer).saveAsTable(stored)
+    properties = ", ".join(f"'merge.{k}' = '{v}'" for k, v in (("version", version + 1), ("keys", ",".join(keys)), ("buckets", buckets)))
+    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ({properties}) AS SELECT * FROM {stored}")
+    if version > 1:
+        spark.sql(f"DROP TABLE IF EXISTS {name}_v{version - 1}")
+        if path:
+            remove(spark, f"{path}/v{version - 1}")
 
 
 def remove(spark: SparkSession, path: str) -> None:

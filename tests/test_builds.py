@@ -5,7 +5,7 @@ import pytest
 
 from plumbline.operators import diff, freshness, keys, medallion, profile
 from plumbline.session import scratch, work_dir
-from plumbline.sources import catalog, landing, sinks
+from plumbline.sources import catalog, landing, sinks, versions
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,78 @@ def test_upsert_is_idempotent_and_keeps_null_keys(spark, rows):
     assert rows(medallion.upsert(once, source, ["k"])) == rows(once)
 
 
+def test_null_keys_meet_null_keys_in_a_merge(spark, rows):
+    target = spark.createDataFrame([(1, 1, "a"), (1, None, "n"), (2, None, "m"), (None, None, "z")], "k INT, l INT, v STRING")
+    source = spark.createDataFrame([(1, None, "x"), (None, None, "y"), (3, None, "p"), (3, None, "q")], "k INT, l INT, v STRING")
+    once = medallion.upsert(target, source, ["k", "l"])
+    assert rows(once) == sorted([(1, 1, "a"), (2, None, "m"), (1, None, "x"), (None, None, "y"), (3, None, "p"), (3, None, "q")], key=lambda r: [(v is None, str(v)) for v in r])
+    assert rows(medallion.upsert(once, source, ["k", "l"])) == rows(once)
+    with pytest.raises(Exception, match="repeats a key"):
+        medallion.upsert(target, spark.createDataFrame([(1, 1, "x"), (1, 1, "y")], "k INT, l INT, v STRING"), ["k", "l"]).collect()
+    assert "Window" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_merged_table_keeps_its_number_of_buckets(spark, rows):
+    path, df = scratch(spark, "merged"), spark.range(40).select("id", F.lit("a").alias("v"))
+    sinks.merge_into(spark, path, df, ["id"], buckets=8)
+    for wrong in ({"buckets": 4}, {"keys": ["v"]}):
+        with pytest.raises(ValueError, match="split by"):
+            sinks.merge_into(spark, path, df, **{"keys": ["id"], **wrong})
+    sinks.merge_into(spark, path, df.withColumn("v", F.lit("b")), ["id"])
+    assert rows(spark.read.parquet(path), "id", "v") == sorted([(i, "b") for i in range(40)], key=lambda r: [(False, str(v)) for v in r])
+    df.write.parquet(other := scratch(spark, "merged"))
+    with pytest.raises(ValueError, match="not written by a merge"):
+        sinks.merge_into(spark, other, df, ["id"])
+
+
+def test_a_merge_does_not_shuffle_a_bucketed_table(spark, rows):
+    name, path, df = "merged_in_test", scratch(spark, "merged"), spark.range(100).select("id", F.lit("a").alias("v"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in range(1, 5):
+            sinks.merge_table(spark, name, df.where(F.col("id") >= 100 - n).withColumn("v", F.lit(f"v{n}")) if n > 1 else df, ["id"], buckets=8, path=path)
+            assert spark.table(name).count() == 100
+        with pytest.raises(ValueError, match="into 8 buckets"):
+            sinks.merge_table(spark, name, df, ["id"], buckets=4, path=path)
+        assert rows(spark.table(name).where("id >= 96"), "id", "v") == [(96, "v4"), (97, "v4"), (98, "v4"), (99, "v4")]
+        assert not spark.catalog.tableExists(f"{name}_v2") and spark.catalog.tableExists(f"{name}_v3")
+        source = df.where("id < 9").repartition(8, "id")
+        plan = medallion.upsert(spark.table(f"{name}_v4"), source, ["id"])._jdf.queryExecution().executedPlan().toString()
+        joined = plan[plan.index("SortMergeJoin [id"):]
+        joined = joined[:joined.index("Range")]  # from the join down to the source
+        assert "FileScan" in joined and "Exchange" not in joined[:joined.index("FileScan")] and "Bucketed: true" in joined
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql(f"DROP VIEW IF EXISTS {name}")
+        for n in range(1, 6):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_v{n}")
+
+
+def test_equal_buckets_of_versions_are_not_read(spark, rows):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("name "), "id")).alias("name"), (F.col("id") % 5).alias("n"))
+    new = df.where("id <> 3").withColumn("name", F.when(F.col("id") == 10, "other").otherwise(F.col("name"))).unionByName(df.where("id = 20").withColumn("id", F.lit(-1).cast("long")))
+    paths = [scratch(spark, "version") for _ in range(3)]
+    for frame, path in zip((df, df.repartition(7), new), paths):
+        versions.write_version(frame, path, ["id"], buckets=32)
+    assert versions.changed_buckets(spark, paths[0], paths[1], ["id"]) == [] and versions.version_diff(spark, *paths[:2], ["id"], ["name", "n"]).count() == 0
+    changed = versions.changed_buckets(spark, paths[0], paths[2], ["id"])
+    found = versions.version_diff(spark, paths[0], paths[2], ["id"], ["name", "n"])
+    assert rows(found, "id", "problem") == [(-1, "extra"), (10, "changed"), (3, "missing")]
+    part = versions.read_buckets(spark, paths[0], changed)
+    assert 1 <= len(changed) <= 3 and {r["_bucket"] for r in part.collect()} == set(changed)
+    scan = part._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numFiles").value() == len(changed)
+    moved = spark.createDataFrame([(1, None, "a")], "id LONG, x STRING, y STRING")
+    for frame, path in zip((moved, moved.select("id", F.col("y").alias("x"), F.col("x").alias("y"))), swapped := [scratch(spark, "version") for _ in range(2)]):
+        versions.write_version(frame, path, ["id"], buckets=2)
+    assert len(versions.changed_buckets(spark, *swapped, ["id"])) == 1  # a null that changed places with a value
+    versions.write_version(df, other := scratch(spark, "version"), ["id"], buckets=16)
+    for pair in ((paths[0], other), (paths[0], scratch(spark, "nothing"))):
+        with pytest.raises(ValueError):
+            versions.changed_buckets(spark, *pair, ["id"])
+
+
 def test_customers_without_orders_stay(spark, rows):
     customer = spark.createDataFrame([(1, "A", "s", "r"), (2, "B", "s", "r")], "customer_id INT, customer_name STRING, segment STRING, region_code STRING")
     region = spark.createDataFrame([("r", "R")], "region_code STRING, region_name STRING")
@@ -75,10 +147,31 @@ def test_files_with_other_headers_meet_by_name(spark, rows):
     assert rows(landing.bronze(spark, f"{root}/table", f"{root}/log"), "id", "v", "w") == [("1", "a", None), ("2", "b", "x")]
 
 
+def test_quoted_cells_hold_commas_quotes_and_line_ends(spark, rows):
+    root = scratch(spark, "landing")
+    for folder, text in (("a", 'id,"a, name",v\n1,"x, ""y""\nz",2\n\n3,,"4"\n'), ("b", '"v","id"\n"5","6"\n'), ("c", 'id,"a, name",v\n')):
+        spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.text(f"{root}/in/{folder}")
+    pending = landing.pending_files(spark, f"{root}/in/*", ["id", "a, name"], landing.read_log(spark, f"{root}/log"))
+    assert sorted((r.rows, tuple(r.missing_columns), tuple(r.new_columns), r.blocked) for r in pending.collect()) == [
+        (0, (), ("v",), False), (1, ("a, name",), ("v",), True), (2, (), ("v",), False)]
+    with pytest.raises(landing.BlockedFiles):
+        landing.load_new_files(spark, f"{root}/in/*", "s", f"{root}/table", f"{root}/log", "r0", ["id", "a, name"])
+    log = landing.load_new_files(spark, f"{root}/in/*", "s", f"{root}/table", f"{root}/log", "r1")
+    assert rows(log, "rows_loaded") == [(1,), (2,)]
+    assert rows(landing.bronze(spark, f"{root}/table", f"{root}/log"), "id", "a, name", "v") == [("1", 'x, "y"\nz', "2"), ("3", None, "4"), ("6", None, "5")]
+    spark.createDataFrame([("id\n9\n",)], "value STRING").coalesce(1).write.text(f"{root}/in/d")
+    with pytest.raises(landing.BlockedFiles):  # the table's own columns count where none are given
+        landing.load_new_files(spark, f"{root}/in/*", "s", f"{root}/table", f"{root}/log", "r2")
+    wide = ",".join(f"c{i}" for i in range(200))
+    spark.createDataFrame([(f"{wide}\n{wide}",)], "value STRING").coalesce(1).write.text(f"{root}/in/z")
+    landing.load_new_files(spark, f"{root}/in/[az]", "s", f"{root}/other", f"{root}/other-log", "r3")
+    assert rows(landing.bronze(spark, f"{root}/other", f"{root}/other-log"), "id", "c0", "c199") == [("1", None, None), ("3", None, None), (None, "c0", "c199")]
+
+
 def test_a_load_that_died_before_its_log_is_not_read(spark, rows):
     root = scratch(spark, "landing")
     spark.createDataFrame([("1",)], "id STRING").write.option("header", True).csv(f"{root}/in")
-    landing.read_landing(spark, f"{root}/in", "dead").write.parquet(f"{root}/table/load=r-dead")
+    landing.with_origin(spark.read.csv(f"{root}/in"), "dead").write.parquet(f"{root}/table/load=r-dead")
     landing.load_new_files(spark, f"{root}/in", "s", f"{root}/table", f"{root}/log", "next")
     assert rows(landing.bronze(spark, f"{root}/table", f"{root}/log"), "id", "_batch_id") == [("1", "next")]
 

@@ -20,6 +20,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["table_diff", "version_diff", "incremental_plan", "definition_diff", "tool_test", "reconcile_measure"])
+def test_versions_are_folded_without_sorting_rows(name, spark, folder):
+    assert "SortAggregate" not in plan_of(catalogue.queries()[name](spark, folder))
+
+
 def test_filters_and_columns_reach_the_scan(spark, folder):
     text = plan_of(catalogue.queries()["gold_sales_daily"](spark, folder))
     assert "Not(EqualTo(o_orderstatus,P))" in text
