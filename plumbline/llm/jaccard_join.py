@@ -6,9 +6,10 @@ hold the n-gram, the rarest first; it chooses the classes that can be linked at
 classes hold the n-gram, and gives the pairs. The n-grams are cut into fragments by ranges of their hash; the overlap of a
 candidate pair is counted in each fragment on its own and summed per pair; the first fragments already end most pairs that share little.
 
-A group of many near copies is not expanded into all pairs. Each prefix n-gram's classes are first compared with two of them, the
-one that has it earliest and the last one, and the links found are joined into components; then only classes that share a prefix
-n-gram and still lie in different components are compared. That finds the same components as comparing all pairs.
+A group of many near copies is not expanded into all pairs. Every class is first compared with one other that shares a prefix n-gram, and
+the links found are joined into components. Of different components, each prefix n-gram's classes are then compared with two of
+them, the one that has it earliest and the last one, and components grow; then all classes that share a prefix n-gram and
+still lie in different components are compared. That finds the same components as comparing all pairs.
 """
 from __future__ import annotations
 
@@ -154,9 +155,19 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     none = F.array().cast("array<bigint>")
     entries = written(_entries(segments.select("cid", F.explode("part").alias("gram")), chosen.select("cid", "n", F.col("n").alias("known"), none.alias("more")), percent),
                       "ngram-prefixes")
+    # one other set for each first: a group of near copies is mostly one component after that, and few of its sets are compared again
+    hubs = entries.groupBy("cid").agg(F.min("plain.cid").alias("hub")).where("cid <> hub")
+    tried = written(hubs.select(F.least("cid", "hub").alias("x"), F.greatest("cid", "hub").alias("y")).distinct(), "ngram-pairs")
+    near = _linked(tried, segments, sized, percent)
+    labels = components(near)
     pivots = F.explode(F.array(*[F.struct(F.col(f"{p}.cid").alias("other"), F.col(f"{p}.n").alias("m"), F.col(f"{p}.pos").alias("at")) for p in ("plain", "last")]))
-    pairs = written(_pairs(entries.select("cid", "n", "pos", pivots.alias("p")).select("cid", "n", "pos", "p.*"), percent), "ngram-pairs")
-    links = _linked(pairs, segments, sized, percent)
+    across = _pairs(entries.select("cid", "n", "pos", pivots.alias("p")).select("cid", "n", "pos", "p.*"), percent)
+    for end in ("x", "y"):
+        of = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        across = across.join(of, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    across = across.where("cx <> cy").select("x", "y").join(tried, ["x", "y"], "left_anti")
+    pairs = written(across.unionByName(tried), "ngram-pairs")
+    links = written(near.unionByName(_linked(pairs.join(tried, ["x", "y"], "left_anti"), segments, sized, percent)), "ngram-links")
     labels = components(links)
     marked = entries.select("cid", "n", "pos", "gram").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     counted = marked.groupBy("gram", "component").agg(F.count("*").alias("k"))
@@ -166,7 +177,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rest = written(_pairs(marked.join(apart, "gram").where("component <> others"), percent).join(pairs, ["x", "y"], "left_anti"), "ngram-pairs")
     more = _linked(rest, segments, sized, percent)
     labels = components(links.unionByName(more))
-    drop(segments, sized, entries, pairs, rest, marked, chosen, links, more)  # labels are written; nothing below reads these
+    drop(segments, sized, entries, tried, near, pairs, rest, marked, chosen, links, more)  # labels are written; nothing below reads these
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     named = named.join(least, "component").select("c1", "c2", "component", "component_id")
