@@ -3,18 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..specs import Parameter, Tool
+from . import statements
 
-# Words a read-only statement may not use, and the form of a three-part name.
+# Fixed value: words a read-only statement may not use.
 WRITES = r"(?i)\b(EXECUTE\s+IMMEDIATE|INSERT|UPDATE|DELETE|MERGE|DROP|ALTER|CREATE|GRANT|REVOKE|TRUNCATE)\b"
-THREE_PARTS = r"`?[A-Za-z_][\w-]*`?\s*\.\s*`?[A-Za-z_][\w-]*`?\s*\.\s*`?[A-Za-z_][\w-]*`?"
-RELATION = r"(?i)\b(?:FROM|JOIN)\s+(`?[A-Za-z_][\w-]*`?(?:\s*\.\s*`?[A-Za-z_][\w-]*`?)*)(?![\w.`-]|\s*[.(])"
-OWN_NAME = r"(?i)(?:\bWITH|\bRECURSIVE|,)\s+([A-Za-z_]\w*)\s+AS\s*\("
-NOT_A_READ = r"(?i)\b(?:EXTRACT|TRIM|SUBSTRING|OVERLAY)\s*\([^()]*\)|\bDISTINCT\s+FROM\b"
-LITERAL = r"'(?:[^'\\]|\\.)*'"
 
 
 def _literal(p: Parameter, value) -> str:
@@ -38,25 +34,14 @@ def call_tool(spark: SparkSession, tool: Tool, args: Mapping[str, object]) -> Da
     return spark.sql(f"SELECT * FROM {tool.name}({named})")
 
 
-def referenced(sql: Column) -> Column:
-    """Distinct three-part names a statement reads, string literals aside."""
-    bare = F.regexp_replace(sql, LITERAL, "''")
-    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(THREE_PARTS), F.lit(0)),
-                                        lambda n: F.regexp_replace(n, r"[`\s]", "")))
-
-
-def short_names(sql: Column) -> Column:
-    """Distinct one- and two-part names that follow FROM or JOIN; names of the statement's own WITH, functions and literals aside."""
-    bare = F.regexp_replace(F.regexp_replace(sql, LITERAL, "''"), NOT_A_READ, " ")
-    named = F.transform(F.regexp_extract_all(bare, F.lit(RELATION), F.lit(1)), lambda n: F.regexp_replace(n, r"[`\s]", ""))
-    own = F.transform(F.regexp_extract_all(bare, F.lit(OWN_NAME), F.lit(1)), F.lower)
-    return F.array_distinct(F.filter(named, lambda n: (F.size(F.split(n, r"\.")) < 3) & ~F.array_contains(own, F.lower(n))))
-
-
 def outside_reads(queries: DataFrame, allowed: DataFrame) -> DataFrame:
-    """query_id, object: objects a query (query_id, sql) reads that are not allowed (full_name), or that are not fully named."""
-    names = F.array_union(referenced(F.col("sql")), short_names(F.col("sql")))
-    reads = queries.select("query_id", F.explode(names).alias("object"))
+    """query_id, object: objects a query (query_id, sql) reads that are not allowed (full_name), or that are not fully named.
+
+    Read is what stands in the place of a relation, in any list, join or subquery, and every three-part name mentioned elsewhere.
+    """
+    read = statements.with_reads(queries.select("query_id", "sql"), "sql")
+    short = F.filter("relations", lambda n: F.size(F.split(n, r"\.")) < 3)
+    reads = read.select("query_id", F.explode(F.array_union("full_names", short)).alias("object"))
     return reads.join(allowed.select(F.col("full_name").alias("object")), "object", "left_anti").select("query_id", "object")
 
 

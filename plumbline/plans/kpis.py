@@ -634,6 +634,21 @@ def query_scan(t):
     return tools.outside_reads(log.select("query_id", "sql").unionByName(other), log.where("c_acctbal >= 0").select("full_name"))
 
 
+@query("query_scan_relations", """SELECT o_orderkey AS query_id, unnest(['payroll', 'hr.' || lower(o_orderstatus), 'deep']) AS object FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, unnest(['t' || o_custkey, 'c.d.e', 'x']) FROM orders WHERE o_orderkey % 3 = 1
+  UNION ALL SELECT o_orderkey, 'a.b.z' FROM orders WHERE o_orderkey % 3 = 2""")
+def query_scan_relations(t):
+    """Statements with lists of relations, comments, quoted names, subqueries and functions that have a FROM of their own."""
+    key, third = F.col("o_orderkey"), F.col("o_orderkey") % 3
+    listed = F.concat(F.lit("SELECT a FROM a.b.c x, payroll /* , hidden */, hr."), F.lower("o_orderstatus"),
+                      F.lit(" -- , gone\n WHERE k IN (SELECT k FROM (SELECT 'FROM quoted, names' AS k FROM deep), a.b.c) AND n IN (1, 2)"))
+    nested = F.concat(F.lit("WITH mine AS (SELECT EXTRACT(day FROM d) AS d FROM (a.b.c JOIN `t"), F.col("o_custkey").cast("string"),
+                      F.lit("` ON f(p, q) = 1), c.d.e), yours AS (SELECT * FROM mine) SELECT TRIM(both FROM s), row FROM yours, mine m, x LATERAL VIEW explode(l) v ORDER BY a, b"))
+    called = F.lit("SELECT a, z FROM range(3) r, a.b.c TABLESAMPLE (10 PERCENT) JOIN a . `b` . z USING (k, l) WHERE p IS NOT DISTINCT FROM q UNION SELECT 1, 2")
+    log = t.orders.select(key.alias("query_id"), F.when(third == 0, listed).when(third == 1, nested).otherwise(called).alias("sql"))
+    return tools.outside_reads(log, t.spark.createDataFrame([("a.b.c",)], "full_name STRING"))
+
+
 @query("statement_problems", """SELECT o_orderkey AS query_id, 'not a SELECT' AS problem FROM orders WHERE o_orderstatus = 'P'
   UNION ALL SELECT o_orderkey, 'writes' FROM orders WHERE o_orderstatus = 'P'
   UNION ALL SELECT o_orderkey, 'more than one statement' FROM orders WHERE o_orderpriority = '1-URGENT'""")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import diff, freshness, keys, medallion, profile
+from ..operators import diff, freshness, keys, medallion, profile, sketches
 from ..session import scratch, written
 from ..sources import catalog, landing, sinks
 from . import binding as b
@@ -475,6 +475,25 @@ def profile_columns(t):
     return _union([profile.profile(df, exact=True).select(F.lit(n).alias("table_name"), "*") for n, df in _profiled(t).items()])
 
 
+_LOADED = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@query("profile_loads", " UNION ALL ".join(f"""SELECT '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT(v) AS nulls, round(1 - COUNT(v) / COUNT(*), 4) AS null_fraction,
+  CASE WHEN COUNT(DISTINCT v) <= 100 THEN COUNT(DISTINCT v) END AS few, TRUE AS close, MIN(v) AS min, MAX(v) AS max
+  FROM (SELECT CASE WHEN '{c}' <> 'c_mktsegment' OR c_custkey % 2 = 1 THEN CAST({c} AS VARCHAR) END AS v FROM customer)""" for c in _LOADED))
+def profile_loads(t):
+    """Customers landed in two loads, the first without a column: the table's profile is the union of what each load left."""
+    root = scratch(t.spark, "profiled")
+    for part, names in enumerate((_LOADED[:3], _LOADED)):
+        t.customer.where(F.col("c_custkey") % 2 == part).select(*names).write.option("header", True).csv(f"{root}/landing/{part}")
+        landing.load_new_files(t.spark, f"{root}/landing/{part}", "customers", f"{root}/table", f"{root}/log", f"load-{part}", profiled=True)
+    found = sketches.profile_of_loads(t.spark, f"{root}/table")
+    exact = profile.value_counts(landing.bronze(t.spark, f"{root}/table", f"{root}/log"), _LOADED).where("value IS NOT NULL").groupBy("column_name").agg(F.count(F.lit(1)).alias("exact"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact")
+    return (found.join(exact, "column_name").withColumn("close", near).withColumn("few", F.when(F.col("distinct") <= 100, F.col("distinct")))
+            .select("column_name", "rows", "nulls", "null_fraction", "few", "close", "min", "max"))
+
+
 @query("profile_approx", _each_column("SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(DISTINCT {c}) AS exact, TRUE AS close FROM {rel}"))
 def profile_approx(t):
     """The one-scan profile against exact counts: within five standard errors of the sketch."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import sketches
 from ..session import scratch
 from ..specs import INGESTION_LOG
 from .sinks import remove, table_at
@@ -117,12 +118,12 @@ class BlockedFiles(ValueError):
 
 
 def load_new_files(spark: SparkSession, path: str, source: str, table_path: str, log_path: str, run_id: str,
-                   columns: list[str] | None = None, newlines: bool = True) -> DataFrame:
+                   columns: list[str] | None = None, newlines: bool = True, profiled: bool = False) -> DataFrame:
     """Store the rows of files not yet logged, then log the files; returns the log rows of this run.
 
     A pending file that lacks one of the table's ``columns`` ends the load before anything is stored; without ``columns`` those the
     table holds from other runs count. New files are opened once: their records are written to the work folder, and headers, counts, checks and
-    rows are taken from there. Columns meet by name, new ones are added.
+    rows are taken from there. Columns meet by name, new ones are added. A ``profiled`` load keeps the state of its rows' profile.
 
     A run owns one folder of the table and one of the log and overwrites them; what it loaded before does not count as
     loaded when it is repeated, so a repeat stores the same rows once. The log counts the stored rows. Rows of a run
@@ -141,6 +142,8 @@ def load_new_files(spark: SparkSession, path: str, source: str, table_path: str,
         folder = f"{table_path}/load=r-{run_id}"
         with_names(records, headers, run_id).write.mode("overwrite").parquet(folder)
         remove(spark, work)
+        if profiled:
+            sketches.write_state(spark.read.parquet(folder), folder, [c for c in spark.read.parquet(folder).columns if c not in ORIGIN])
         log_files(spark.read.parquet(folder), source, run_id).write.mode("overwrite").parquet(f"{log_path}/load=r-{run_id}-{source}")
     return read_log(spark, log_path).where(mine)
 

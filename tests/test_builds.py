@@ -3,7 +3,7 @@ import datetime as dt
 
 import pytest
 
-from plumbline.operators import diff, freshness, keys, medallion, profile
+from plumbline.operators import diff, freshness, keys, medallion, profile, sketches
 from plumbline.session import scratch, work_dir
 from plumbline.sources import catalog, landing, sinks, versions
 from pyspark.sql import functions as F
@@ -221,6 +221,23 @@ def test_profile_of_an_empty_and_a_null_column(spark):
     assert (got["b"].null_fraction, got["b"].distinct, got["b"].min) == (0.3333, 2, None)
 
 
+def test_profiles_of_loads_add_up(spark):
+    root = scratch(spark, "states")
+    parts = [spark.createDataFrame([(1, "b", 2.5), (None, "c", 10.0)], "a INT, `b c` STRING, d DOUBLE"), spark.createDataFrame([], "a INT, `b c` STRING"),
+             spark.createDataFrame([(10, None, True), (1, "a", None), (2, "b", False)], "a INT, `b c` STRING, e BOOLEAN")]
+    for n, df in enumerate(parts):
+        df.write.parquet(f"{root}/load={n}")
+        sketches.write_state(spark.read.parquet(f"{root}/load={n}"), f"{root}/load={n}", hidden=["e"])
+    assert spark.read.option("mergeSchema", True).parquet(root).count() == 5  # states are no rows of the table
+    got = {r.column_name: tuple(r)[1:] for r in sketches.profile_of_loads(spark, root).collect()}
+    assert got == {"a": (5, 1, 0.2, 3, "1", "10"), "b c": (5, 1, 0.2, 3, "a", "c"), "d": (5, 3, 0.6, 2, "2.5", "10.0"), "e": (5, 3, 0.6, 2, None, None)}
+    whole = sketches.merged(sketches.read_states(spark, root))
+    assert root.split("/")[-1] + "/load=0/_profile" in whole.inputFiles()[0] or len(whole.inputFiles()) == 3
+    many = spark.range(30000).select((F.col("id") % 20000).alias("k"))
+    states = sketches.state(many.where("k < 15000")).unionByName(sketches.state(many.where("k >= 5000")))
+    assert abs(sketches.profile_of(sketches.merged(states)).first().distinct - 20000) < 600
+
+
 def test_value_lists_only_for_few_values(spark, rows):
     df = spark.range(13).select(F.col("id").cast("string").alias("many"), (F.col("id") % 2).cast("string").alias("few"))
     assert rows(profile.value_lists(df, df.columns)) == [("few", 2, '["0","1"]')]

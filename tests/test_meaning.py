@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from plumbline.functions.compare import close_relative, close_to_truth, principal_kind, verdict
 from plumbline.functions.masks import mask
-from plumbline.operators import evaluate, governance, metrics, ontology, ops, textjoin, tools
+from plumbline.operators import evaluate, governance, metrics, ontology, ops, statements, textjoin, tools
 from plumbline.plans import kpis
 from plumbline.specs import Field, Join, MaskPolicy, MetricView, Parameter, RowPolicy, Tile, Tool
 from pyspark.sql import functions as F
@@ -113,6 +113,27 @@ def test_query_texts(spark, rows):
 
 
 # ---------------------------------------------------------------- governance
+@pytest.mark.parametrize("sql, names", [
+    ("SELECT 1", []),
+    ("select a from x.y.z, payroll p, `hr`.`people`", ["hr.people", "payroll", "x.y.z"]),
+    ("SELECT * FROM a.b.c -- , d.e.f\n, g /* FROM h */ JOIN i.j ON a.x = (SELECT max(k) FROM l, m)", ["a.b.c", "g", "i.j", "l", "m"]),
+    ("SELECT ',' || \"FROM n\", 'it''s FROM o, p', 'x\\' FROM q' FROM r", ["r"]),
+    ("WITH a AS (SELECT 1), b(c) AS (SELECT * FROM a, d) SELECT EXTRACT(year FROM e), SUBSTRING(f FROM 2) FROM a, x.a, b JOIN LATERAL (SELECT g FROM h) ORDER BY i, j", ["d", "h", "x.a"]),
+    ("SELECT * FROM (a JOIN b ON true), (c) WHERE d IN (e, f) AND g IS DISTINCT FROM h GROUP BY i, j UNION ALL SELECT k, l FROM m LATERAL VIEW explode(n) o, p", ["a", "b", "c", "m", "p"]),
+    ("SELECT * FROM range(5), explode(x) t, VALUES (1), (2)", []),
+    ("FROM s.t.u SELECT v", ["s.t.u"]),
+    ("SELECT a--FROM b\nFROM c", ["c"]), ("", []), (None, None)])
+def test_relations_of_a_statement(spark, sql, names):
+    found = statements.with_reads(spark.createDataFrame([(sql,)], "sql STRING"), "sql").first().relations
+    assert (sorted(found) if found is not None else None) == names
+
+
+def test_long_names_are_read_wherever_they_stand(spark):
+    sql = "SELECT fn.in.schema(x), 'no.no.no', a . b . `c d`.e /* no.no.yes */ FROM t"
+    found = statements.with_reads(spark.createDataFrame([(sql,)], "sql STRING"), "sql").first().full_names
+    assert sorted(found) == ["a.b.cd", "fn.in.schema"]
+
+
 def test_masks_refuse_wrong_types(spark):
     with pytest.raises(ValueError):
         mask(F.col("n"), "hash", "bigint")
