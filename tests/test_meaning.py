@@ -208,6 +208,23 @@ def test_contains_pairs_against_every_pair(spark, needles, texts):
     assert got.count() == got.distinct().count()
 
 
+def test_one_long_text_is_cut_and_found_whole(spark):
+    long = "".join(f"{i:07d} " for i in range(131072))  # 1 MB
+    needles = ["0000511 0000512", "131071 ", long[4090:4102], long[4000:8300], long[-9000:], "0131072", "1", "x", "\u00e9", None, ""]
+    got = textjoin.contains_pairs(spark.createDataFrame([(n,) for n in needles], "n STRING"), "n",
+                                  spark.createDataFrame([(long,), (long[:5000],), ("\u00e9" * 4097 + "x",), (None,), ("",)], "t STRING"), "t")
+    pairs = {(r["needle"], len(r["text"])) for r in got.collect()}
+    whole = {(n, len(long)) for n in needles[:5] + ["1"]}
+    assert pairs == whole | {(long[4090:4102], 5000), ("0000511 0000512", 5000), ("1", 5000), ("x", 4098), ("\u00e9", 4098)}
+
+
+def test_needles_of_one_form_meet_their_own_texts_only(spark):
+    names = spark.range(3000).selectExpr("format_string('customer#%09d', id) AS text")
+    wanted = names.select(names.text.alias("needle"), textjoin.window_size(names.text).alias("size"))
+    met = textjoin.met_pairs(wanted, names.selectExpr("text", "xxhash64(text) AS key"))
+    assert met.count() == 3000
+
+
 def test_placement_order(spark, rows):
     a = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "asset STRING")
     pins = spark.createDataFrame([("a", "p1")], "asset STRING, page STRING")
