@@ -3,13 +3,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of columns worth trying as a key.
 KEY_PATTERNS = ("(?i)_id$", "(?i)_key$", "(?i)_code$")
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+AS_TEXT = (*WHOLE, "string", "date", "timestamp", "boolean")
+
 
 def pk_holds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """rows, distinct, nulls, holds: at least one row, all different, none with a null part.
@@ -24,15 +28,65 @@ def pk_holds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def pk_tests(frames: Mapping[str, DataFrame], candidates: Sequence[tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """One row per (table, candidate key) with the result of :func:`pk_holds`."""
-    out = None
+    """One row per (table, candidate key) with the result of :func:`pk_holds`; all candidates of a table share one scan."""
+    asked: dict[str, list[tuple[str, ...]]] = {}
     for table, columns in candidates:
-        row = pk_holds(frames[table], columns).select(F.lit(table).alias("table_name"),
-                                                      F.lit(", ".join(columns)).alias("key_columns"), "*")
-        out = row if out is None else out.unionByName(row)
+        asked.setdefault(table, []).append(tuple(columns))
+    return reduce(DataFrame.unionByName, [part for table, keys in asked.items() for part in _tests_of(frames[table], table, keys)])
+
+
+def _tests_of(df: DataFrame, table: str, candidates: Sequence[tuple[str, ...]]) -> list[DataFrame]:
+    types = dict(df.dtypes)
+    # Texts tell values of these types apart as the values themselves do; a key of another type is tested by itself.
+    together = [k for k in candidates if all(types[c] in AS_TEXT for c in k)]
+    together = together if len(together) > 1 else []
+    out = [pk_holds(df, k).select(F.lit(table).alias("table_name"), F.lit(", ".join(k)).alias("key_columns"), "*")
+           for k in candidates if k not in together]
+    if together:
+        each = F.array(*[F.struct(F.lit(i).alias("at"), F.array(*[F.col(c).cast("string") for c in k]).alias("key")) for i, k in enumerate(together)])
+        counted = (df.select(F.inline(each)).groupBy("at", "key").agg(F.count(F.lit(1)).alias("n"))
+                   .withColumn("null_part", F.exists("key", lambda x: x.isNull())))
+        sums = [x for i in range(len(together)) for x in (
+            F.coalesce(F.sum(F.when(F.col("at") == i, F.col("n"))), F.lit(0)).alias(f"rows{i}"), F.count_if(F.col("at") == i).alias(f"distinct{i}"),
+            F.coalesce(F.sum(F.when((F.col("at") == i) & F.col("null_part"), F.col("n"))), F.lit(0)).alias(f"nulls{i}"))]
+        rows = [F.struct(F.lit(table).alias("table_name"), F.lit(", ".join(k)).alias("key_columns"), F.col(f"rows{i}").alias("rows"),
+                         F.col(f"distinct{i}").alias("distinct"), F.col(f"nulls{i}").alias("nulls")) for i, k in enumerate(together)]
+        found = counted.agg(*sums).select(F.inline(F.array(*rows)))
+        out.append(found.withColumn("holds", (F.col("rows") > 0) & (F.col("rows") == F.col("distinct")) & (F.col("nulls") == 0)))
     return out
 
 
+def fk_tests(frames: Mapping[str, DataFrame], edges: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """child_table, child_column, parent_table, parent_column, orphans: :func:`fk_orphans` of every edge, from one scan of each table.
+
+    A value is brought together once with the number of rows of every column that holds it; what a child column holds and a parent
+    column does not are orphans. The counts are fixed-width sums, so copies of a value are folded before they travel. An edge between
+    columns of different types is compared by itself, as a join of the two.
+    """
+    ends = sorted({(c, cc) for c, cc, _, _ in edges} | {(p, pc) for _, _, p, pc in edges})
+    kind = {(table, column): "bigint" if (dtype := dict(frames[table].dtypes)[column]) in WHOLE else dtype for table, column in ends}
+    out = [_edge_rows([e], [F.col("orphans")], fk_orphans(frames[e[0]], e[1], frames[e[2]], e[3])) for e in edges if kind[e[:2]] != kind[e[2:]]]
+    for one in sorted(set(kind.values())):
+        alike = [e for e in edges if kind[e[:2]] == kind[e[2:]] == one]
+        if not alike:
+            continue
+        used = sorted({e[:2] for e in alike} | {e[2:] for e in alike})
+        values = []
+        for table in sorted({t for t, _ in used}):
+            held = F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).cast(one).alias("value")) for i, (t, c) in enumerate(used) if t == table])
+            values.append(frames[table].select(F.inline(held)).where(F.col("value").isNotNull()))
+        per_value = reduce(DataFrame.unionByName, values).groupBy("value").agg(*[F.count_if(F.col("at") == i).alias(f"n{i}") for i in range(len(used))])
+        counts = [F.coalesce(F.sum(F.when(F.col(f"n{used.index(e[2:])}") == 0, F.col(f"n{used.index(e[:2])}"))), F.lit(0)) for e in alike]
+        totals = per_value.agg(*[c.alias(f"e{i}") for i, c in enumerate(counts)])
+        out.append(_edge_rows(alike, [F.col(f"e{i}") for i in range(len(alike))], totals))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _edge_rows(edges: Sequence[tuple[str, str, str, str]], counts: Sequence[Column], totals: DataFrame) -> DataFrame:
+    names = ("child_table", "child_column", "parent_table", "parent_column")
+    return totals.select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, e)], c.alias("orphans")) for e, c in zip(edges, counts)])))
+
+
 def fk_orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """orphans: non-null child values without a parent row; child values are counted before they travel."""
     values = child.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("n"))
@@ -50,7 +104,7 @@ def key_candidates(table: str, columns: Sequence[str], patterns: Sequence[str] =
 def possible_keys(df: DataFrame, names: Sequence[str]) -> list[str]:
     """The candidates one cheap scan does not rule out: none is null, and whole numbers span at least as many values as
     there are rows. Only the counts and bounds come to the driver."""
-    whole = [c for c in names if dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint")]
+    whole = [c for c in names if dict(df.dtypes)[c] in WHOLE]
     bounds = [x for c in whole for x in (F.min(c).cast("decimal(20,0)").alias(f"lo_{c}"), F.max(c).cast("decimal(20,0)").alias(f"hi_{c}"))]
     seen = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{c}") for c in names], *bounds).first()
 

@@ -272,6 +272,34 @@ def test_orphans_ignore_null_keys(spark):
     assert keys.fk_orphans(child, "c", parent, "p").first().orphans == 2
 
 
+def test_candidates_of_a_table_share_one_scan(spark, rows, folder):
+    df = spark.createDataFrame([(1, "a", None, 1.5), (1, "b", "x", -0.0), (2, "a", "x", 0.0), (2, "a", None, 2.0)], "a INT, b STRING, c STRING, d DOUBLE")
+    tries = [("t", k) for k in (("a",), ("a", "b"), ("c",), ("a", "c"), ("d",))] + [("none", ("a",)), ("none", ("a", "b"))]
+    got = keys.pk_tests({"t": df, "none": df.where("a = 9")}, tries)
+    alone = [("t" if n == "t" else "none", ", ".join(k), *keys.pk_holds(df if n == "t" else df.where("a = 9"), k).first()) for n, k in tries]
+    assert rows(got, "table_name", "key_columns", "rows", "distinct", "nulls", "holds") == sorted(alone, key=lambda r: [(v is None, str(v)) for v in r])
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    plan = keys.pk_tests({"orders": orders}, [("orders", ("o_orderkey",)), ("orders", ("o_custkey",))])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_orphans_of_all_edges_from_one_scan_of_each_table(spark, rows, folder):
+    child = spark.createDataFrame([(1, 5, "1"), (2, None, "x"), (2, 7, None), (None, 7, "1")], "c INT, d BIGINT, s STRING")
+    parent = spark.createDataFrame([(1, "x"), (None, None), (7, "x")], "p BIGINT, q STRING")
+    frames = {"child": child, "parent": parent, "none": parent.where("p = 9")}
+    edges = [("child", "c", "parent", "p"), ("child", "d", "parent", "p"), ("child", "s", "parent", "q"), ("child", "s", "parent", "p"),
+             ("child", "d", "child", "c"), ("child", "c", "none", "p"), ("none", "p", "child", "c")]
+    alone = [(*e, keys.fk_orphans(frames[e[0]], e[1], frames[e[2]], e[3]).first().orphans) for e in edges if e[:4] != ("child", "s", "parent", "p")]
+    got = rows(keys.fk_tests(frames, [e for e in edges if e != ("child", "s", "parent", "p")]))
+    assert got == sorted(alone, key=lambda r: [(v is None, str(v)) for v in r])
+    numbers = spark.createDataFrame([("1",), ("8",)], "s STRING")  # other types meet as the join of the two would have them
+    assert rows(keys.fk_tests({"a": numbers, "b": parent}, [("a", "s", "b", "p")])) == [("a", "s", "b", "p", 1)]
+    tables = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("lineitem", "orders", "part", "supplier")}
+    plan = keys.fk_tests(tables, [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+                                  ("lineitem", "l_suppkey", "supplier", "s_suppkey")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 4 and plan.count("hashpartitioning") == 1 and "SortAggregate" not in plan and "Join" not in plan
+
+
 # ---------------------------------------------------------------- differences
 def test_diff_of_a_table_with_itself_is_empty(spark):
     df = spark.createDataFrame([(1, "a", None), (None, None, 2.0)], "k INT, v STRING, w DOUBLE")
