@@ -10,6 +10,7 @@ from ..functions.compare import principal_kind
 from ..functions.masks import mask
 from ..specs import MaskPolicy, RowPolicy
 from .diff import side_by_side
+from .salting import salted_join
 
 GRANT = ("principal", "privilege", "securable_type", "securable")
 
@@ -103,7 +104,9 @@ def expand_grants(members: DataFrame, scopes: DataFrame, catalog_access: bool =
     if catalog_access:
         each.append(one(F.lit("USE CATALOG"), F.lit("CATALOG"), catalog))
     per_role = scopes.select("role", F.inline(F.array(*each))).distinct()
-    return members.select("role", "principal").distinct().join(per_role, "role").select(*GRANT).distinct()
+    # A role most principals hold is split over tasks by principal.
+    holders = members.select("role", "principal").distinct()
+    return salted_join(holders, per_role, "role", F.col("principal")).select(*GRANT).distinct()
 
 
 def grants_to_individuals(grants: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import diff, keys, medallion, metrics, quality
+from plumbline.operators import diff, keys, medallion, metrics, quality, salting
 from plumbline.plans import catalogue, kpis
 from plumbline.specs import Rule
 from tests.plan_scan import found_in
@@ -72,3 +72,27 @@ def test_quarantine_keeps_only_the_first_rows_of_each_task(hot):
     rules = [Rule("t", "range", ("k",), min=1), Rule("t", "expression", name="odd", expression="v % 2 = 1")]
     text = plan_of(quality.quarantine({"t": hot}, rules, {"t": ("v",)}))
     assert text.count("WindowGroupLimit") >= 2 and text.count("Range (") == 1
+
+
+def test_a_hot_role_is_dealt_over_shares(spark):
+    """One role holds nine of ten principals; no share of it takes more than a little above the rows one task may take."""
+    members = spark.range(40000).select(F.when(F.col("id") % 10 < 9, "all").otherwise(F.concat(F.lit("r"), F.col("id") % 500)).alias("role"),
+                                        F.concat(F.lit("p"), "id").alias("principal"))
+    scopes = spark.createDataFrame([("all", "s1"), ("all", "s2"), ("r9", "s3"), (None, "s4")], "role STRING, securable STRING")
+    joined = salting.salted_join(members, scopes, "role", F.col("principal"), least=4000)
+    assert joined.count() == 2 * 36000 + 80 and joined.distinct().count() == joined.count()
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, members.join(scopes, "role").collect()))
+    assert [tuple(r) for r in salting.frequent(members, "role", least=4000).collect()] == [("all", 9)]
+    assert [tuple(r) for r in salting.frequent(members, "role", least=10, most=1).collect()] == [("all", 3600)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        shares = salting.salted_join(members, scopes, "role", F.col("principal"), least=4000).groupBy(F.spark_partition_id()).count()
+        assert shares.agg(F.max("count")).first()[0] < 2 * 36000 / 2
+        text = plan_of(salting.salted_join(members, scopes, "role", F.col("principal"), least=4000))
+        assert "NestedLoop" not in text and "Cartesian" not in text
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
