@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.compare import close_relative, relative_difference
 from ..functions.text import squeeze
 from ..specs import MetricView, Tile
+from . import statements
 from .diff import digest, is_fixed, side_by_side, with_text
 
 MIN_COMMENT = 20
@@ -38,6 +39,51 @@ def view_problems(view: MetricView, sources: Mapping[str, DataFrame], bronze: Se
     return out
 
 
+def definition_problems(views: DataFrame, joins: DataFrame, fields: DataFrame, references: DataFrame, columns: DataFrame,
+                        schema: str) -> DataFrame:
+    """view, object, problem: why definitions kept as tables cannot be used, one row per finding; any number of views is one plan.
+
+    ``views``: view, source. ``joins``: view, name, source. ``fields``: view, kind (dimension, measure), name, expr.
+    ``references``: view, measure, sql, by (array), returns (array of the statement's columns). ``columns``: source, layer, column of every table
+    that may be used. ``schema`` is where metric views live. A name in an expression is a column of the view's source or of a joined one,
+    or follows the name of a join (or ``source``). Null expressions and statements are findings; repeated definitions count as defined twice.
+    """
+    def finding(df, thing, problem):
+        return df.select("view", thing.alias("object"), problem.alias("problem"))
+
+    def twice(df, what):
+        many = df.groupBy("view", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return finding(many, F.col("name"), F.lit(f"{what} is defined twice"))
+
+    tables = columns.groupBy("source").agg(F.max(F.col("layer") == "bronze").alias("_bronze"))
+    used = (views.select("view", "source", F.lit("source").alias("name")).unionByName(joins.select("view", "source", "name")))
+    asked = used.select("view", "source").distinct().join(tables, "source", "left")
+    about = F.when(F.col("_bronze").isNull(), "source is unknown").when(F.col("_bronze"), "source is bronze")
+    found = [twice(fields, "field"), twice(joins, "join"), finding(asked.where(about.isNotNull()), F.col("source"), about),
+             finding(views.groupBy("view").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col("view"), F.lit("view is defined twice")),
+             finding(fields.where(F.coalesce(F.trim("expr"), F.lit("")) == ""), F.col("name"), F.lit("no expression"))]
+    # Names are told from strings, functions and words of SQL by tokens, then met with what the view can see.
+    named = (statements.with_columns_named(fields.select("view", F.col("name").alias("field"), "expr"), "expr")
+             .select("view", "field", F.explode("column_names").alias("_name")))
+    seen = used.join(columns.select("source", F.lower("column").alias("_column")), "source")
+    visible = seen.select("view", F.explode(F.array(F.col("_column"), F.concat_ws(".", F.lower("name"), "_column"))).alias("_name")).distinct()
+    unresolved = named.join(visible, ["view", "_name"], "left_anti").distinct()
+    found.append(finding(unresolved, F.col("field"), F.concat(F.lit("unknown name "), "_name")))
+    known = fields.where("kind = 'dimension'").select("view", F.col("name").alias("_by"))
+    asked_by = references.select("view", "measure", F.explode(F.array_distinct("by")).alias("_by"))
+    found.append(finding(asked_by.join(known, ["view", "_by"], "left_anti"), F.col("measure"), F.concat("_by", F.lit(" is not a dimension"))))
+    known_measures = fields.where("kind = 'measure'").select("view", F.col("name").alias("measure"))
+    found.append(finding(references.join(known_measures, ["view", "measure"], "left_anti"), F.col("measure"), F.lit("reference of no measure")))
+    missing = F.array_except(F.concat(F.array(F.lit("value")), F.coalesce("by", F.array().cast("array<string>"))), F.coalesce("returns", F.array().cast("array<string>")))
+    found.append(finding(references.select("view", "measure", F.explode(missing).alias("_c")), F.col("measure"), F.concat(F.lit("returns no column "), "_c")))
+    reads = statements.with_reads(references.select("view", "measure", "sql"), "sql")
+    own = F.exists(F.array_union("relations", "full_names"), lambda n: F.exists(F.slice(F.split(F.lower(n), r"\."), 1, F.size(F.split(n, r"\.")) - 1),
+                                                                                lambda part: part == schema.lower()))
+    found.append(finding(reads.where(own), F.col("measure"), F.lit(f"reads {schema}; it must be independent")))
+    found.append(finding(references.where(F.coalesce(F.trim("sql"), F.lit("")) == ""), F.col("measure"), F.lit("no statement")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def reference_problems(spark: SparkSession, view: MetricView, sql: str, by: Sequence[str], own_schema: str | None = None) -> list[str]:
     """Why a reference query cannot check a measure: unknown dimensions, missing columns, reading the metric schema."""
     known = {d.name for d in view.dimensions}

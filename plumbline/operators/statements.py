@@ -18,6 +18,12 @@ NAME = r"^[`A-Za-z_]"
 ENDS_LIST = ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "UNION", "EXCEPT", "INTERSECT", "MINUS", "WINDOW", "QUALIFY", "SORT", "CLUSTER", "DISTRIBUTE")
 NO_RELATION = ("SELECT", "FROM", "JOIN", "VALUES", "LATERAL", "ONLY", "WITH", "TABLE", *ENDS_LIST)
 
+# Words of expressions that are no columns.
+WORDS = ("ALL", "AND", "ANY", "AS", "ASC", "BETWEEN", "BY", "CASE", "CAST", "CURRENT", "CURRENT_DATE", "CURRENT_TIMESTAMP", "CURRENT_USER", "DATE", "DAY", "DESC",
+         "DISTINCT", "DIV", "ELSE", "END", "ESCAPE", "EXISTS", "FALSE", "FILTER", "FIRST", "FOLLOWING", "FROM", "HOUR", "ILIKE", "IN", "INTERVAL", "IS", "LAST", "LIKE",
+         "MINUTE", "MONTH", "NOT", "NULL", "NULLS", "OR", "ORDER", "OVER", "PARTITION", "PRECEDING", "QUARTER", "RANGE", "RLIKE", "ROW", "ROWS", "SECOND", "THEN",
+         "TIMESTAMP", "TRUE", "UNBOUNDED", "WEEK", "WHEN", "WHERE", "WITHIN", "YEAR")
+
 
 def tokens(sql: Column) -> Column:
     """The tokens of a statement, comments aside."""
@@ -81,3 +87,13 @@ def with_reads(queries: DataFrame, sql: str) -> DataFrame:
     first = F.transform(long, lambda t: plain(F.regexp_extract(t, rf"^{PART}(?:\s*\.\s*{PART}){{2}}", 0)))
     return (rows.withColumns({"relations": F.array_distinct(F.transform(named, plain)), "full_names": F.array_distinct(first)})
             .drop("_tokens", "_own", "_named"))
+
+
+def with_columns_named(expressions: DataFrame, expr: str) -> DataFrame:
+    """Adds ``column_names`` to every expression: the distinct names in it, in lower case and without quotes, that are no functions, types of
+    a cast, words of SQL, strings or numbers. A quoted name is never a word of SQL; a null expression names nothing."""
+    rows = expressions.withColumn("_tokens", F.coalesce(tokens(F.col(expr)), F.array().cast("array<string>")))
+    named = F.transform("_tokens", lambda t, i: F.when(
+        t.rlike(NAME) & ~F.upper(t).isin(*WORDS) & ~F.coalesce(F.get("_tokens", i + 1) == "(", F.lit(False))
+        & ~F.coalesce(F.upper(F.get("_tokens", i - 1)) == "AS", F.lit(False)), F.lower(plain(t))))
+    return rows.withColumn("column_names", F.array_distinct(F.array_compact(named))).drop("_tokens")

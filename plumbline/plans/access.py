@@ -1,10 +1,13 @@
 """Masks, row filters, grants, audit and secrets."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import mask
-from ..operators import governance
+from ..operators import governance, protection
 from ..specs import MaskPolicy, RowPolicy
 from . import binding as b
 from .registry import query
@@ -77,6 +80,29 @@ def row_entitlements(t):
     return seen.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+READERS = ("Supplier#000000000", "Supplier#000000001", "Supplier#000000002", "Supplier#000000003", "nobody")
+
+
+@query("protected_view", f"""WITH mem AS (SELECT s_name, CASE s_nationkey % 3 WHEN 0 THEN 'analysts' WHEN 1 THEN 'engineers' ELSE 'support' END AS g FROM supplier),
+  who AS (SELECT reader, coalesce(g, 'none') AS g FROM (SELECT unnest({list(READERS)}) AS reader) LEFT JOIN mem ON s_name = reader)
+  SELECT reader, c_custkey, CASE WHEN g = 'engineers' THEN c_name ELSE sha256(c_name) END AS c_name, c_nationkey, CAST(NULL AS DOUBLE) AS c_acctbal, c_mktsegment,
+    CASE WHEN g IN ('engineers', 'support') THEN {_EMAIL} ELSE '***@example.com' END AS email
+  FROM who JOIN customer ON g = 'engineers' OR g = 'analysts' AND c_mktsegment IN ('BUILDING', 'MACHINERY') OR g = 'support' AND c_mktsegment = 'FURNITURE'""")
+def protected_view(t):
+    """One view, read by the same SQL for several readers: members of a group by the table of suppliers, and one that has none."""
+    group = F.when(F.col("s_nationkey") % 3 == 0, "analysts").when(F.col("s_nationkey") % 3 == 1, "engineers").otherwise("support")
+    t.supplier.select(F.col("s_name").alias("principal"), group.alias("group_name")).createOrReplaceTempView("group_members")
+    people(t).createOrReplaceTempView("people")
+    t.spark.sql("DECLARE OR REPLACE VARIABLE reader STRING")
+    protection.protect(t.spark, "protected_people", "people", "group_members", MASKS, ROWS, identity="reader")
+    seen = []
+    for reader in READERS:
+        t.spark.sql(f"SET VAR reader = '{reader}'")
+        seen.append(t.spark.sql("SELECT reader, * FROM protected_people"))
+    t.spark.sql("SET VAR reader = NULL")
+    return reduce(DataFrame.unionByName, seen)
+
+
 @query("mask_coverage", """WITH s AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size >= 25), m AS (SELECT p_brand, p_name, COUNT(*) AS n FROM part WHERE p_size > 47 GROUP BY ALL)
   SELECT s.p_brand AS table_name, s.p_name AS column_name, coalesce(n, 0) AS methods FROM s LEFT JOIN m USING (p_brand, p_name) WHERE coalesce(n, 0) <> 1""")
 def mask_coverage(t):

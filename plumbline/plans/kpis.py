@@ -273,6 +273,43 @@ def field_gaps(t):
     return metrics.field_gaps(fields).withColumn("gaps", text_list("gaps"))
 
 
+_DEFS = """SELECT 'v_' || p_partkey AS view, ['lineitem', 'orders', 'raw_orders', 'nowhere'][p_size % 4 + 1] AS source, p_size % 5 = 0 AS joined, p_size % 4 IN (1, 2) AS ord,
+    replace(p_name, ' ', '_') AS measure, p_size, p_type FROM part"""
+
+
+@query("definition_problems", f"""WITH d AS ({_DEFS})
+  SELECT view, source AS object, 'source is ' || CASE source WHEN 'nowhere' THEN 'unknown' ELSE 'bronze' END AS problem FROM d WHERE source IN ('nowhere', 'raw_orders')
+  UNION ALL SELECT view, 'c', 'join is defined twice' FROM d WHERE p_size % 10 = 0
+  UNION ALL SELECT view, 'day', 'field is defined twice' FROM d WHERE p_size % 7 = 0
+  UNION ALL SELECT view, 'day', 'unknown name o_orderdate' FROM d WHERE NOT ord
+  UNION ALL SELECT view, measure, 'no expression' FROM d WHERE p_type = 'SMALL'
+  UNION ALL SELECT view, measure, 'unknown name c.c_acctbal' FROM d WHERE p_type = 'PROMO' AND NOT joined
+  UNION ALL SELECT view, measure, 'unknown name ' || unnest(['o_orderkey', 'source.o_totalprice']) FROM d WHERE p_type = 'ECONOMY' AND NOT ord
+  UNION ALL SELECT view, measure, 'unknown name l_quantity' FROM d WHERE p_type NOT IN ('SMALL', 'PROMO', 'ECONOMY') AND source <> 'lineitem'
+  UNION ALL SELECT view, 'other', 'reference of no measure' FROM d WHERE p_size % 6 = 0
+  UNION ALL SELECT view, CASE WHEN p_size % 6 = 0 THEN 'other' ELSE measure END, unnest(['nothing is not a dimension', 'returns no column nothing']) FROM d WHERE p_size % 9 = 0
+  UNION ALL SELECT view, CASE WHEN p_size % 6 = 0 THEN 'other' ELSE measure END, 'reads metrics; it must be independent' FROM d WHERE p_size % 3 = 0 AND p_size > 40""")
+def definition_problems(t):
+    """Every part defines a metric view: a source, perhaps a join, two fields and a reference; sizes and types make the mistakes."""
+    size, kind, view = F.col("p_size"), F.col("p_type"), F.concat(F.lit("v_"), "p_partkey").alias("view")
+    measure = F.replace("p_name", F.lit(" "), F.lit("_"))
+    views = t.part.select(view, F.get(F.array(*map(F.lit, ("lineitem", "orders", "raw_orders", "nowhere"))), size % 4).alias("source"))
+    joined = t.part.where("p_size % 5 = 0").select(view, F.lit("c").alias("name"), F.lit("customer").alias("source"), "p_size")
+    joins = joined.unionByName(joined.where("p_size % 10 = 0")).drop("p_size")
+    expr = (F.when(kind == "PROMO", "sum(C.`c_acctbal`)").when(kind == "SMALL", " ")
+            .when(kind == "ECONOMY", "count(DISTINCT `O_ORDERKEY`) FILTER (WHERE source.o_totalprice > 'o_none') -- o_gone").otherwise("sum(CAST(l_quantity AS double)) / 2"))
+    day = F.struct(F.lit("dimension").alias("kind"), F.lit("day").alias("name"), F.lit("date_trunc('day', o_orderdate)").alias("expr"))
+    own = F.struct(F.lit("measure").alias("kind"), measure.alias("name"), expr.alias("expr"))
+    fields = t.part.select(view, F.inline(F.when(size % 7 == 0, F.array(day, day, own)).otherwise(F.array(day, own))))
+    sql = F.when(size > 40, "SELECT day, value FROM main.silver.orders, main.metrics.daily").otherwise("SELECT 1 AS value, day FROM main.silver.orders -- main.metrics.daily")
+    references = t.part.where("p_size % 3 = 0").select(
+        view, F.when(size % 6 == 0, "other").otherwise(measure).alias("measure"), sql.alias("sql"),
+        F.when(size % 9 == 0, F.array(F.lit("day"), F.lit("nothing"))).otherwise(F.array(F.lit("day"))).alias("by"), F.array(F.lit("value"), F.lit("day")).alias("returns"))
+    tables = (("lineitem", "silver", t.lineitem), ("orders", "silver", t.orders), ("customer", "silver", t.customer), ("raw_orders", "bronze", t.orders))
+    columns = t.spark.createDataFrame([(n, layer, c) for n, layer, df in tables for c in df.columns], "source STRING, layer STRING, column STRING")
+    return metrics.definition_problems(views, joins, fields, references, columns, "metrics")
+
+
 @query("thin_comments", """SELECT doc_id AS view, CASE WHEN trim(text) = '' THEN 'no description' ELSE 'too short' END AS problem
   FROM documents WHERE length(trim(text)) < 20""")
 def thin_comments(t):

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from plumbline.functions.compare import close_relative, close_to_truth, principal_kind, verdict
 from plumbline.functions.masks import mask
-from plumbline.operators import evaluate, governance, metrics, ontology, ops, statements, textjoin, tools
+from plumbline.operators import evaluate, governance, metrics, ontology, ops, protection, statements, textjoin, tools
 from plumbline.plans import kpis
 from plumbline.specs import Field, Join, MaskPolicy, MetricView, Parameter, RowPolicy, Tile, Tool
 from pyspark.sql import functions as F
@@ -315,3 +315,43 @@ def test_doc_headings(spark, rows):
     text = "## Get access\nx\n### ask QUESTIONS  \n# Dashboards\n" + "y" * 400
     docs = spark.createDataFrame([(1, "onboarding", text), (2, "other", None)], "doc_id INT, kind STRING, text STRING")
     assert rows(ops.doc_problems(docs, ["Access"])) == [(1, "no section Dashboards"), (1, "no section Get help"), (2, "does not mention Access"), (2, "too short")]
+
+
+# ---------------------------------------------------------------- definitions as rows, masks as SQL functions
+def test_definitions_with_nulls_and_empty_tables(spark, rows):
+    views = spark.createDataFrame([("v", "s"), ("w", None), ("v", "s")], "view STRING, source STRING")
+    joins = spark.createDataFrame([], "view STRING, name STRING, source STRING")
+    fields = spark.createDataFrame([("v", "dimension", "a", None), ("v", "measure", "m", "sum(x) + `Y` + max(z.x) + \'q\'"), ("v", "measure", "k", "CASE WHEN source.x IS NULL THEN 1 END")],
+                                   "view STRING, kind STRING, name STRING, expr STRING")
+    refs = spark.createDataFrame([("v", "m", None, None, None), ("v", "k", "SELECT 1 AS value FROM a.`metrics`.t", ["a"], ["value", "a"])],
+                                 "view STRING, measure STRING, sql STRING, by ARRAY<STRING>, returns ARRAY<STRING>")
+    columns = spark.createDataFrame([("s", "silver", "X"), ("s", "silver", "y")], "source STRING, layer STRING, column STRING")
+    got = metrics.definition_problems(views, joins, fields, refs, columns, "METRICS")
+    assert rows(got) == sorted([("v", "a", "no expression"), ("v", "k", "reads METRICS; it must be independent"), ("v", "m", "no statement"),
+                                ("v", "m", "returns no column value"), ("v", "m", "unknown name z.x"), ("v", "v", "view is defined twice"),
+                                ("w", None, "source is unknown")], key=lambda r: [(v is None, str(v)) for v in r])
+    nothing = metrics.definition_problems(*[df.limit(0) for df in (views, joins, fields, refs, columns)], "metrics")
+    assert rows(nothing) == []
+
+
+def test_protected_view_shows_what_secure_view_shows(spark, rows):
+    df = spark.createDataFrame([(1, "a\'b", 2.5, "x"), (2, None, None, "y"), (3, "c@d.e", 1.0, None)], "id INT, `full name` STRING, pay DOUBLE, seg STRING")
+    df.createOrReplaceTempView("staff")
+    spark.createDataFrame([("ana", "hr"), ("bo", "it\'s"), ("bo", "hr"), (None, "hr")], "principal STRING, group_name STRING").createOrReplaceTempView("staff_groups")
+    masks = [MaskPolicy("last4", column="full name", exempt=("it\'s",)), MaskPolicy("redact", column="pay", type="double", exempt=("zoe",))]
+    filters = RowPolicy("seg", {"hr": ("x",), "it\'s": ("y", "z"), "none": ()}, exempt=("boss",))
+    spark.sql("DECLARE OR REPLACE VARIABLE who STRING")
+    for policy in (filters, None, RowPolicy(condition="pay > 1 OR seg = \'y\'", exempt=("boss",))):
+        protection.protect(spark, "staff seen", "staff", "staff_groups", masks, policy, writers=("loader",), identity="who")
+        for who, groups in (("ana", ["hr"]), ("bo", ["hr", "it\'s"]), ("zoe", []), ("boss", []), ("loader", [])):
+            spark.sql(f"SET VAR who = \'{who}\'")
+            want = governance.secure_view(df, who, groups, masks, policy, writers=("loader",))
+            assert rows(spark.sql("SELECT * FROM `staff seen`")) == rows(want), (who, policy)
+        spark.sql("SET VAR who = NULL")
+        assert policy is None or policy.condition or spark.table("`staff seen`").count() == 0
+    protection.protect(spark, "mine", "staff", "staff_groups", masks, filters)  # Spark's own user belongs to no group here
+    assert spark.table("mine").count() == 0
+    with pytest.raises(ValueError, match="more than one method"):
+        protection.protect(spark, "mine", "staff", "staff_groups", [*masks, MaskPolicy("hash", column="full name")])
+    with pytest.raises(ValueError, match="no column"):
+        protection.protect(spark, "mine", "staff", "staff_groups", rows=RowPolicy("gone", {"hr": ("x",)}))
