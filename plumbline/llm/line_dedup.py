@@ -82,7 +82,13 @@ def repeated_keys(held: DataFrame, batches: int, fanout: int, least: int) -> Dat
     spark = held.sparkSession
     ends = held.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else []
     batch = sum(((F.coalesce(F.col("doc_id") <= e, F.lit(True))).cast("int") for e in (ends or [])), F.lit(0))
-    rows = held.select("doc_id", batch.alias("batch"), F.explode(F.array_distinct("keys")).alias("key")).where("key IS NOT NULL")
+    # Rows of an id that stands once are a document each; the keys of a repeated id are made distinct first. Written, the ids have a known size.
+    again = written(held.groupBy("doc_id").agg(F.count("doc_id").alias("n")).where("n > 1").select("doc_id"), "line-repeated-ids")
+
+    def exploded(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", batch.alias("batch"), F.explode(F.array_distinct("keys")).alias("key")).where("key IS NOT NULL")
+
+    rows = exploded(held.join(again, "doc_id", "left_anti")).unionByName(exploded(held.join(again, "doc_id", "left_semi")).distinct())
     keys = written(rows.groupBy("batch", "key.h1", "key.h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")), "line-keys")
     index = LineRuns(spark, fanout)
     for b in range(len(ends or []) + 1):
@@ -95,8 +101,8 @@ def line_dedup(docs: DataFrame, shortest: int = 40, least: int = 5, batches: int
 
     Keys of at least ``shortest`` code points in at least ``least`` documents lose all their lines except in the largest doc_id that
     holds them. A null or empty text is one empty line, and stays. A null doc_id is smaller than all others; when only rows
-    without an id hold a key, all keep it. Rows equal in doc_id and text count as one each, and all of them get the same result. An
-    empty table gives an empty one. Texts are read once for hashes and once to drop lines; a key, however frequent, is folded
+    without an id hold a key, all keep it. Rows of one doc_id are one document, whatever their texts; rows without an id are one each. Rows
+    equal in doc_id and text get the same result. An empty table gives an empty one. Texts are read once for hashes and once to drop lines; a key, however frequent, is folded
     to a row per task before it is shuffled, and only the rows of repeated keys are joined with their documents.
     """
     rows = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),

@@ -165,6 +165,14 @@ def test_below_the_limits_all_stay(spark):
     assert {r.n_dropped for r in line_dedup(docs).collect()} == {0}
 
 
+def test_repeated_rows_of_a_document_count_once(spark):
+    other = LINE.replace("This", "That")
+    four = [(1, f"{LINE}\n{i}") for i in range(9)] + [(i, LINE) for i in (2, 3, 4)]
+    five = [(i, other) for i in (11, 11, 12, 13, 14)] + [(15, f"{other}\n{other}")] * 3
+    got = sorted((r.doc_id, r.n_dropped) for r in line_dedup(spark.createDataFrame(four + five, "doc_id long, text string")).collect())
+    assert got == [(1, 0)] * 9 + [(2, 0), (3, 0), (4, 0), (11, 1), (11, 1), (12, 1), (13, 1), (14, 1)] + [(15, 0)] * 3
+
+
 def test_runs_are_levelled(spark):
     index = LineRuns(spark, fanout=2)
     for b in range(5):
