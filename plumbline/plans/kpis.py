@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, metrics, tools
+from ..session import written
 from ..specs import Field, Join, MetricView, Parameter, Tile, Tool
 from . import binding as b
 from .registry import doubles, query, text_list
@@ -538,12 +539,16 @@ def topk_revenue(t):
 @query("latest_full_month", f"""WITH s AS ({b.SALES_SQL}), last AS (SELECT date_trunc('month', MAX(order_date)) - INTERVAL 1 MONTH AS m FROM s WHERE order_date < DATE '2000-06-15')
   SELECT region_name AS region, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM s, last WHERE date_trunc('month', order_date) = m GROUP BY 1""")
 def latest_full_month(t):
-    """Revenue by region in the last month that is complete before a day."""
-    sales = b.sales_daily(t)
-    last = sales.where(F.col("order_date") < F.lit("2000-06-15").cast("date")).agg(F.max("order_date").alias("d")).select(
-        F.add_months(F.trunc("d", "MONTH"), -1)).scalar()
-    month = sales.where(F.trunc("order_date", "MONTH") == last)
-    return doubles(month.groupBy(F.col("region_name").alias("region")).agg(F.sum("revenue").alias("revenue")), "revenue")
+    """Revenue by region in the last month that is complete before a day.
+
+    The mart is built once and kept as a row per month and region; the date, and then the month, are read from that. All days of the
+    month asked for lie before the day, so later orders are not read.
+    """
+    sales = b.sales_daily(t).where(F.col("order_date") < F.lit("2000-06-15").cast("date"))
+    months = written(sales.groupBy(F.trunc("order_date", "MONTH").alias("month"), F.col("region_name").alias("region"))
+                     .agg(F.sum("revenue").alias("revenue")), "months")
+    last = months.agg(F.max("month").alias("m")).select(F.add_months("m", -1)).scalar()
+    return doubles(months.where(F.col("month") == last).select("region", "revenue"), "revenue")
 
 
 # ---------------------------------------------------------------- tools
