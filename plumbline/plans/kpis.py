@@ -699,11 +699,13 @@ def statement_problems(t):
 
 
 @query("measure_coverage", """WITH m AS (SELECT DISTINCT p_brand AS view, p_name AS measure FROM part),
-  q AS (SELECT 'select measure(' || upper(p_name) || ') from ' || p_brand AS sql FROM part WHERE p_size > 48 AND p_type = 'PROMO')
+  q AS (SELECT CASE WHEN p_size > 48 AND p_type = 'PROMO' THEN 'select measure(' || upper(p_name) || ') from ' || p_brand ELSE 'select p_size from part where p_partkey = ' || p_partkey END AS sql FROM part)
   SELECT view, measure FROM m WHERE NOT EXISTS (SELECT 1 FROM q WHERE contains(lower(sql), lower(view)))
     OR NOT EXISTS (SELECT 1 FROM q WHERE contains(lower(sql), lower(measure)))""")
 def measure_coverage(t):
+    """A question per part; those of few parts ask for a measure, the others for a column."""
     measures = t.part.select(F.col("p_brand").alias("view"), F.col("p_name").alias("measure")).distinct()
-    asked = t.part.where("p_size > 48 AND p_type = 'PROMO'").select(
-        F.concat(F.lit("select measure("), F.upper("p_name"), F.lit(") from "), F.col("p_brand")).alias("sql"))
+    named = F.concat(F.lit("select measure("), F.upper("p_name"), F.lit(") from "), F.col("p_brand"))
+    plain = F.concat(F.lit("select p_size from part where p_partkey = "), F.col("p_partkey").cast("string"))
+    asked = t.part.select(F.when(F.expr("p_size > 48 AND p_type = 'PROMO'"), named).otherwise(plain).alias("sql"))
     return evaluate.measure_coverage(measures, asked)

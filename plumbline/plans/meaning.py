@@ -27,10 +27,9 @@ def taxonomy(t):
 
 
 def objects(t, least=None):
-    """Customers as objects: all, or those with at least some balance."""
-    rows = homes(t) if least is None else homes(t).where(F.col("c_acctbal") >= least)
-    return rows.select("page_id", "subdomain_id", "domain_id", full_name().alias("object_full_name"),
-                                                      F.lit("table").alias("object_kind"))
+    """Customers as objects on the page of their segment; with ``least``, those with a smaller balance are on the building page."""
+    page = F.col("page_id") if least is None else F.when(F.col("c_acctbal") >= least, F.col("page_id")).otherwise(F.concat("subdomain_id", F.lit(":building")))
+    return homes(t).select(page.alias("page_id"), "subdomain_id", "domain_id", full_name().alias("object_full_name"), F.lit("table").alias("object_kind"))
 
 
 RICH = 7000
@@ -49,7 +48,7 @@ _NODES = f"""SELECT lower(r_name) AS node_id, 'domain' AS node_type, CAST(NULL A
   UNION ALL SELECT lower(n_name), 'subdomain', lower(r_name), lower(r_name), lower(n_name), n_name, r_name || ' > ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT DISTINCT page_id, 'page', subdomain_id, domain_id, subdomain_id, {_PAGE_NAME}, r_name || ' > ' || n_name || ' > ' || {_PAGE_NAME} FROM ({_HOME})"""
 _OBJECTS = f"SELECT page_id, subdomain_id, domain_id, object_full_name, 'table' AS object_kind FROM ({_HOME})"
-_RICH_OBJECTS = f"SELECT * FROM ({_OBJECTS}) WHERE object_full_name IN (SELECT object_full_name FROM ({_HOME}) WHERE c_acctbal >= 7000)"
+_RICH_OBJECTS = f"SELECT CASE WHEN c_acctbal >= 7000 THEN page_id ELSE subdomain_id || ':building' END AS page_id FROM ({_HOME})"
 
 
 @query("taxonomy_nodes", _NODES)
@@ -57,15 +56,15 @@ def taxonomy_nodes(t):
     return taxonomy(t)
 
 
-@query("placement", """WITH best AS (SELECT l_partkey, l_suppkey, max(l_discount) AS conf FROM lineitem WHERE l_quantity > 45 GROUP BY ALL),
-  one AS (SELECT l_partkey, COUNT(*) AS n, arg_max(l_suppkey, row(conf, l_suppkey)) AS page, max(conf) AS conf FROM best GROUP BY 1)
+@query("placement", """WITH best AS (SELECT l_partkey, l_suppkey % (l_partkey % 3 + 1) AS page, max(l_discount) AS conf FROM lineitem GROUP BY ALL),
+  one AS (SELECT l_partkey, COUNT(*) AS n, any_value(page) AS page, max(conf) AS conf FROM best GROUP BY 1)
   SELECT p_partkey AS asset, CASE WHEN p_size = 1 THEN 1 WHEN p_size = 2 THEN 2 WHEN n = 1 THEN page END AS page,
     CASE WHEN p_size = 1 THEN 'user' WHEN p_size = 2 THEN 'certified' WHEN n = 1 THEN 'agent' ELSE 'pending' END AS source,
     CASE WHEN p_size = 1 THEN 1.0::DOUBLE WHEN p_size = 2 THEN 0.75::DOUBLE WHEN n = 1 THEN conf END AS confidence, coalesce(n, 0) AS candidates
   FROM part LEFT JOIN one ON l_partkey = p_partkey""")
 def placement(t):
-    """Parts as assets, suppliers as pages, large order lines as claims."""
-    claims = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("asset"), F.col("l_suppkey").alias("page"), F.col("l_discount").alias("confidence"))
+    """Parts as assets, order lines as claims for one to three pages of an asset, dealt by supplier."""
+    claims = t.lineitem.select(F.col("l_partkey").alias("asset"), (F.col("l_suppkey") % (F.col("l_partkey") % 3 + 1)).alias("page"), F.col("l_discount").alias("confidence"))
     asset = F.col("p_partkey").alias("asset")
     pins = t.part.where("p_size = 1").select(asset, F.lit(1).cast("bigint").alias("page"))
     kept = t.part.where("p_size IN (1, 2)").select(asset, F.lit(2).cast("bigint").alias("page"), F.lit(0.75).alias("confidence"))
