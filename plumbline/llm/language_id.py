@@ -20,6 +20,7 @@ from .workers import arrow_map
 ORDER = 3
 PAD = b"\n" * ORDER  # before every text, so that its first bytes have a context
 SAMPLE_DOCS, SAMPLE_CHUNKS, SAMPLE_BYTES = 600, 4, 1024  # learned from: documents of a language, evenly spaced parts of each
+WINDOW = 1 << 20  # bytes coded at a time
 SLOTS = 20  # bits of the table that finds a context
 
 
@@ -91,8 +92,26 @@ class Model:
             self.escapes.append(Known(contexts, escapes.astype(np.float32)))
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Bits each text takes in each language."""
-        data = np.frombuffer(b"".join(PAD + t for t in texts), np.uint8)
+        """Bits each text takes in each language. Texts are coded in windows, each behind the ``ORDER`` bytes before it, so memory does
+        not grow with a text."""
+        total = np.zeros((len(texts), len(self.languages)))
+        owners, parts, size = [], [], 0
+        for i, text in enumerate(texts):
+            text = PAD + text
+            for at in range(0, len(text) - ORDER, WINDOW):
+                owners.append(i)
+                parts.append(text[at:at + ORDER + WINDOW])
+                size += len(parts[-1])
+                if size >= WINDOW:
+                    np.add.at(total, owners, self._window_bits(parts))
+                    owners, parts, size = [], [], 0
+        if parts:
+            np.add.at(total, owners, self._window_bits(parts))
+        return total
+
+    def _window_bits(self, parts: list[bytes]) -> np.ndarray:
+        """Bits of each part in each language, without its first ``ORDER`` bytes."""
+        data = np.frombuffer(b"".join(parts), np.uint8)
         cost = np.zeros((len(data) - ORDER, len(self.languages)), np.float32)
         left = np.arange(len(cost))
         for size in range(ORDER + 1, 0, -1):
@@ -105,11 +124,8 @@ class Model:
             row, found = self.escapes[size - 1].find(grams >> np.uint32(8))
             cost[left[found]] += self.escapes[size - 1].values[row[found]]
         cost[left] += 8
-        ends = np.cumsum([len(t) + ORDER for t in texts])
-        total = np.zeros((len(texts), cost.shape[1]))
-        for i, (t, end) in enumerate(zip(texts, ends)):
-            total[i] = cost[end - ORDER - len(t):end - ORDER].sum(0, dtype=np.float64)
-        return total
+        ends = np.cumsum([len(p) for p in parts]) - ORDER
+        return np.stack([cost[end - len(p) + ORDER:end].sum(0, dtype=np.float64) for p, end in zip(parts, ends)])
 
 
 def held_out(doc_id: str) -> Column:
@@ -118,13 +134,21 @@ def held_out(doc_id: str) -> Column:
 
 
 def learned(docs: DataFrame, learn: Column, sample: int = SAMPLE_DOCS) -> Model:
-    """A model of at most ``sample`` documents of each language, those whose id hashes lowest, and of some parts of each."""
+    """A model of at most ``sample`` documents of each language, those whose id hashes lowest, and of some parts of each. A doc_id of
+    several rows teaches by its least text in that language.
+
+    Ids are dealt into groups; the ``sample``-th smallest of the groups' least hashes is reached by that many ids, so only ids up to it
+    are ranked, about ``sample`` of a language however many rows it has.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(learn & F.col("lang").isNotNull() & (F.col("text") != ""))
-    order = [F.xxhash64("id"), F.col("id"), F.col("size")]
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    ids = rows.select("lang", "id", F.octet_length("text").alias("size")).withColumn("first", first).where(F.col("first") <= sample)
-    ids = written(ids.select("id", "lang").distinct(), "language-sample")
+    known = rows.select("lang", "id", F.xxhash64("id").alias("hash"))
+    least = known.groupBy("lang", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(16 * sample)).alias("deal")).agg(F.min("hash").alias("least"))
+    bound = least.groupBy("lang").agg(F.get(F.sort_array(F.collect_list("least")), F.lit(sample - 1)).alias("last"))
+    near = (known.join(F.broadcast(bound), "lang")  # a row for each language, of which the model has a column each
+            .where(F.col("last").isNull() | (F.col("hash") <= F.col("last"))).select("lang", "id", "hash").distinct())
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    ids = written(near.withColumn("first", first).where(F.col("first") <= sample).select("id", "lang"), "language-sample")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +160,9 @@ def learned(docs: DataFrame, learn: Column, sample: int = SAMPLE_DOCS) -> Model:
                     out.append((lang, data[k * SAMPLE_BYTES:(k + 1) * SAMPLE_BYTES]))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.binary())], ["lang", "part"])
 
-    sampled = rows.join(F.broadcast(ids), ["id", "lang"]).select("lang", "text")  # at most ``sample`` ids of each language
+    sampled = rows.join(F.broadcast(ids), ["id", "lang"]).groupBy("lang", "id").agg(F.min("text").alias("text"))  # at most ``sample`` rows of each language
     texts: dict[str, list[bytes]] = {}
-    for r in arrow_map(sampled, take, "lang string, part binary").orderBy("lang", "part").collect():
+    for r in arrow_map(sampled.select("lang", "text"), take, "lang string, part binary").orderBy("lang", "part").collect():
         texts.setdefault(r.lang, []).append(bytes(r.part))
     return Model(texts)
 

@@ -32,9 +32,10 @@ def _crc(ids: bytes, code: str) -> int:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, window: int) -> DataFrame:
-    """Every document's whole windows, without ids, and what is left of it, with ids; ``part`` and ``row`` tell rows apart."""
+    """Every document's whole windows, without ids, and what is left of it, with ids. ``part`` is the task, ``row`` counts its windows
+    and, apart from them, its rests."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part_no, row_no = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part_no, counted = encoder(tokenizer), TaskContext.get().partitionId(), [0, 0]
         width = np.dtype(enc.code).itemsize
         end = b"" if end_id is None else np.array([end_id], enc.code).tobytes()
         for batch in batches:
@@ -47,8 +48,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, window: int) ->
                         cut = ids[at * width:(at + window) * width]
                         length = len(cut) // width
                         whole = length == window
-                        out.append((doc, at, length, _crc(cut, enc.code) if whole else None, n, None if whole else cut, part_no, row_no))
-                        row_no += 1
+                        out.append((doc, at, length, _crc(cut, enc.code) if whole else None, n, None if whole else cut, part_no, counted[whole]))
+                        counted[whole] += 1
                 yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r)) for r in out], schema=_CUT)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -124,7 +125,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int | None = 1, tiers: tuple
     Every id of every row's whole text lies in one piece; a null or empty text is a document of the end id alone, a null doc_id
     stays null and repeated rows are packed each. Other columns are not read; an empty table gives an empty result. Sequences are
     full windows of a tier; what a bin has left over is cut at powers of two, so nothing is padded. Steps of ``step_tokens`` take
-    sequences from the longest down, so all but a bin's last hold the same number of tokens. Encoded pieces are written once.
+    sequences from the longest down, so all but the last of a bin, or of the whole windows of an encoding task, hold the same number of
+    tokens. Encoded pieces are written once.
     """
     if any(t & t - 1 for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers are ascending powers of two")

@@ -58,12 +58,13 @@ def _known(labels: DataFrame, learn: Column) -> DataFrame:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, learn: Column, sample: int) -> DataFrame:
-    """id, quality, tag (the half it belongs to) and text of the labelled documents learned from: of each class those whose id hashes lowest."""
+    """id, quality, tag (the half it belongs to) and text of the labelled documents learned from: of each class those whose id hashes
+    lowest. A doc_id of several rows teaches by its least text, so there is one row for each."""
     known = _known(labels, learn)
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("id"), "id").limit(sample) for q in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).withColumn("tag", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(2)).cast("int"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return written(rows.where("text <> ''").join(F.broadcast(ids), "id"), "labelled-sample")
+    return written(rows.where("text <> ''").join(F.broadcast(ids), "id").groupBy("id", "quality", "tag").agg(F.min("text").alias("text")), "labelled-sample")
 
 
 def _chunks(sampled: DataFrame) -> list[tuple[int, int, bytes]]:
@@ -107,7 +108,7 @@ def held_out(doc_id: str) -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, score (probability of quality 1) and predicted of every row, from its whole text alone.
 
-    Learned from labels that are not held out, at most ``sample`` documents of each class; contradicting labels count as 0. A null or
+    Learned from labels that are not held out, at most ``sample`` documents of each class and one row of each; contradicting labels count as 0. A null or
     empty text has no difference and gets the score of that. Repeated rows get equal scores, an empty table gives an empty one.
     Without labels every score is 0.5; with one class the curve leans to it. Rows are scored where they are read: nothing is shuffled.
     """

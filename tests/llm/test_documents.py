@@ -95,6 +95,33 @@ def test_classifier_of_odd_rows(spark, folder):
     assert quality_scores(docs.limit(0), table(spark, folder, "labels")).count() == 0
 
 
+def test_a_repeated_document_teaches_once(spark, monkeypatch):
+    """Three thousand rows of one doc_id among few others: it is one document of the sample, whatever its rows."""
+    from plumbline.llm import language_id, quality_classifier
+    few = [(i, f"plain text of number {i} " * 4, "en" if i % 2 else "de", i % 2) for i in range(40)]
+    docs = spark.createDataFrame(few + [(7, f"again {i % 5} and again", "en", 1) for i in range(3000)], "doc_id long, text string, lang string, quality long")
+    labels = docs.select("doc_id", "quality").distinct()
+    rows = quality_classifier._sampled(docs, labels, F.lit(True), 10).collect()
+    assert len(rows) == len({r.id for r in rows}) == 20 and all(r.text == "again 0 and again" for r in rows if r.id == 7)
+    taught = {}
+    monkeypatch.setattr(language_id, "Model", lambda texts: taught.update(texts))
+    language_id.learned(docs, F.lit(True), 10)
+    hashed = {lang: [d for _, d in sorted((r.h, r.doc_id) for r in docs.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect())[:10]]
+              for lang in ("de", "en")}
+    least = {i: text.encode() for i, text, _, _ in few} | {7: b"again 0 and again"}
+    assert {lang: sorted(parts) for lang, parts in taught.items()} == {lang: sorted(least[i] for i in ids) for lang, ids in hashed.items()}
+
+
+def test_windows_of_long_texts_cost_what_the_text_costs(monkeypatch):
+    from plumbline.llm import language_id
+    texts = [b"some words of a text " * 50, b"", b"abc", b"other words", b"x" * 64]
+    model = Model({"a": [texts[0]], "b": [b"no such thing here"]})
+    whole = model.bits(texts)
+    for size in (1, 3, 64, 100):
+        monkeypatch.setattr(language_id, "WINDOW", size)
+        assert model.bits(texts) == pytest.approx(whole, rel=1e-9)
+
+
 def test_language(spark):
     docs = table(spark, SF, "documents")
     known = {r.doc_id: r.lang for r in docs.collect()}

@@ -146,3 +146,14 @@ def test_packing(spark, folder, source):
         assert key != "doc_id" or set(groups) == set(ids)
     twice = packed(made, vocabulary(WORDS)).where("doc_id = 3").agg(F.sum("length")).first()[0]
     assert twice == 2 * (len(library(tok, [ROWS[0][1]])[0]) + 1)
+
+
+def test_steps_of_whole_windows_are_of_equal_tokens(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', IF(id % 20 = 0, 2500, 1 + id % 9)) AS text").repartition(2)
+    rows = packed(docs, vocabulary(WORDS), bin_tokens=20_000, step_tokens=4096).where("offset = 0").select("sequence_id", "tier", "step_id").collect()
+    steps = {}
+    for r in rows:
+        steps.setdefault(r.step_id, []).append(r.tier)
+    last = {s >> 32: max(t for t in steps if t >> 32 == s >> 32) for s in steps}  # of each bin, and of each task's windows
+    assert len(rows) == len({r.sequence_id for r in rows}) and len(steps) > len(last)
+    assert all(sum(tiers) == 4096 for s, tiers in steps.items() if s != last[s >> 32])
