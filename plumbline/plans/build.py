@@ -78,7 +78,7 @@ def check_run(spark: SparkSession, root: str, run_id: str, now: dt.datetime, tab
 
     state(None)
     log(quality.evaluate(tables, rules), "dq_results", DQ_RESULTS)
-    log(quality.quarantine(tables, rules, keys, hidden, rows), "dq_quarantine", DQ_QUARANTINE)
+    log(quality.quarantine(tables, rules, keys, hidden, rows, two_scans=True), "dq_quarantine", DQ_QUARANTINE)
     log(freshness.freshness(changes, limits, F.lit(now)), "dq_freshness", DQ_FRESHNESS)
     state(finished or now)
     runs = read_log(spark, root, "dq_runs")

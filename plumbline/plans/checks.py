@@ -175,7 +175,7 @@ QUARANTINE_SQL = " UNION ALL ".join((
 
 def quarantined(t, hidden=HIDDEN):
     """Failing rows of every rule that has rows; the rules about row counts have none."""
-    return quality.quarantine(tables(t), RULES, KEYS, hidden, 100)
+    return quality.quarantine(tables(t), RULES, KEYS, hidden, 100, two_scans=True)
 
 
 @query("dq_quarantine", QUARANTINE_SQL)

@@ -1,5 +1,6 @@
 """Rules on nulls, empty tables and repeated keys; fused against unfused; quarantine and the run log."""
 import datetime as dt
+import json
 
 import pytest
 
@@ -107,3 +108,19 @@ def test_rule_ids_and_unknown_type():
     assert Rule("main.s.t", "expression", name="Shipped within ordered", expression="a <= b").id == "main.s.t.shipped_within_ordered"
     with pytest.raises(ValueError):
         Rule("t", "guess")
+
+
+@pytest.mark.parametrize("two_scans", [False, True])
+def test_quarantine_keeps_the_first_rows_of_a_rule_whatever_its_keys(spark, two_scans):
+    rule = Rule("t", "range", ("v",), max=10)
+    spread = [(k * 7 % 1009, k) for k in range(1009)]
+    cases = {"spread": spread, "one key": [(5, k) for k in range(300)], "null keys": [(None, k) for k in range(40)] + spread,
+             "few": [(k, 11 + k) for k in range(3)], "none": []}
+    for name, rows in cases.items():
+        df = spark.createDataFrame(rows, "k INT, v INT").repartition(4)
+        failing = sorted(((k, v) for k, v in rows if v > 10), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        for keys in (("k",), ()):
+            want = failing if keys else sorted(failing, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            got = quality.quarantine({"t": df}, [rule], {"t": keys}, rows=20, two_scans=two_scans).collect()
+            want = [json.dumps({c: x for c, x in zip("kv", r) if x is not None}, separators=(",", ":")) for r in want[:20]]
+            assert sorted(r.row_json for r in got) == sorted(want), name
