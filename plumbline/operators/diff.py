@@ -45,10 +45,14 @@ def side_by_side(left: DataFrame, right: DataFrame, keys: Sequence[str], values:
 
 
 def with_text(found: DataFrame, side: DataFrame, keys: Sequence[str], value: str, hashed: str, name: str) -> DataFrame:
-    """Adds ``name``: the text of a side's ``value`` whose digest is in the column ``hashed``, null where that is null."""
+    """Adds ``name``: the text of a side's ``value`` whose digest is in the column ``hashed``, null where that is null.
+
+    The texts are merged with the rows found: they are as many as the side has rows, and estimates of their size, made from compressed
+    files and before rows are exploded, let them be broadcast through the driver.
+    """
     texts = side.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col(value).alias(name), digest(F.col(value)).alias("_digest"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col(hashed) == F.col("_digest"))
-    return found.join(texts.where(F.col("_digest").isNotNull()).distinct(), same, "left").drop("_digest", *[f"_key_{k}" for k in keys])
+    return found.join(texts.where(F.col("_digest").isNotNull()).distinct().hint("merge"), same, "left").drop("_digest", *[f"_key_{k}" for k in keys])
 
 
 def _differs(side: str, other: str, value: str) -> Column:

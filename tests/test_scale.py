@@ -96,3 +96,8 @@ def test_a_hot_role_is_dealt_over_shares(spark):
         for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
             spark.conf.unset(k)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_texts_of_differences_are_not_broadcast(spark, folder):
+    """Small files may hold many rows; what is as long as a side goes through no driver, even where its estimate is small."""
+    assert "BroadcastHashJoin" not in plan_of(catalogue.queries()["definition_diff"](spark, folder))
