@@ -56,8 +56,10 @@ def silver_typed(t):
   UNION ALL SELECT 'customer_name', 0 UNION ALL SELECT 'nation', 0 UNION ALL SELECT 'segment', 0
   UNION ALL SELECT 'balance', COUNT(*) FILTER (WHERE c_acctbal < 0) FROM customer""")
 def cast_failures(t):
-    # Balances below zero land as "(12.50)", which is no number.
-    landed = _as_text(t.customer).withColumn("c_acctbal", F.regexp_replace("c_acctbal", "^-(.*)$", "($1)"))
+    # Balances below zero land as "(12.50)", which is no number; told by the number, since -0.0 has a sign and is not below zero.
+    amount = F.col("c_acctbal")
+    text = F.when(amount < 0, F.concat(F.lit("("), F.abs(amount).cast("string"), F.lit(")"))).otherwise(amount.cast("string"))
+    landed = _as_text(t.customer.withColumn("c_acctbal", text))
     return medallion.cast_failures(landed, CUSTOMER_COLUMNS)
 
 

@@ -1,14 +1,16 @@
 """Nothing is lost or let through without a word: merges, loads, streams, reconciliation, rules, statements, names."""
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import freshness, medallion, metrics, profile, quality, textjoin, tools
-from plumbline.plans import build
+from plumbline.plans import build, catalogue
 from plumbline.session import scratch
 from plumbline.sources import catalog, landing, sinks
 from plumbline.streaming import landing as landing_stream
+from tests.oracle import problems
 
 
 def test_merge_keeps_columns_of_both_sides(spark, rows):
@@ -112,3 +114,14 @@ def test_names_of_one_form_give_no_candidates(spark):
     assert found.count() == 2000
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "Contains" not in text and "NestedLoop" not in text
+
+
+def test_a_zero_with_a_sign_is_no_balance_below_zero(spark, folder):
+    here = scratch(spark, "tables")
+    odd = spark.createDataFrame([(1, -0.0), (2, 0.0), (3, -0.01), (4, -1e-9), (5, None), (6, 2.5e6)], "c_custkey BIGINT, c_acctbal DOUBLE")
+    (spark.read.parquet(f"{folder}/customer.parquet").drop("c_custkey", "c_acctbal").limit(1).crossJoin(odd).write.parquet(f"{here}/customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{here.removeprefix('file:')}/customer.parquet/*.parquet'")
+    got = catalogue.queries()["cast_failures"](spark, here)
+    assert problems(got, con, catalogue.oracles()["cast_failures"]) == []
+    assert {r.column_name: r.failures for r in got.collect()}["balance"] == 2
