@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import diff, keys, medallion, metrics, quality, salting
+from plumbline.operators import diff, keys, medallion, metrics, quality, salting, textjoin
 from plumbline.plans import catalogue, kpis
 from plumbline.specs import Rule
 from tests.plan_scan import found_in
@@ -51,6 +51,17 @@ def hot(spark):
     return spark.range(0, 90000, 1, 8).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20000 + 1).alias("k"), F.col("id").alias("v"))
 
 
+def test_windows_of_texts_are_not_broadcast(spark):
+    """A text gives hundreds of windows, which estimates count as one row; few needles are broadcast, many are merged with them."""
+    texts = spark.range(3000).select(F.concat(F.lit("select a from b where c = "), "id").alias("t"))
+    few = spark.createDataFrame([("c = 17",), ("from b",), ("nowhere",)], "n STRING")
+    found = textjoin.contains_pairs(few, "n", texts, "t")
+    assert found.groupBy("needle").count().where("needle = 'from b'").first()["count"] == 3000
+    broadcast = [part.split("\n")[:6] for part in plan_of(found).split("BroadcastExchange")[1:]]
+    assert len(broadcast) == 1 and any("FileScan" in line for line in broadcast[0]) and "Generate" not in str(broadcast[0])
+    assert "Broadcast" not in plan_of(textjoin.contains_pairs(spark.range(20000).select(F.col("id").cast("string").alias("n")), "n", texts, "t"))
+
+
 def test_hot_keys_are_folded_before_the_shuffle(spark, hot):
     for df in (medallion.latest_per_key(hot, ["k"], "v"), keys.pk_holds(hot, ["k"]), diff.fingerprint(hot, ["k"], "v", ["v"]),
                keys.fk_orphans(hot, "k", hot.where("k > 5"), "k"), quality.evaluate({"t": hot}, [Rule("t", "unique", ("k",))])):
