@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import few_or_merged, written
 from .textjoin import contains_pairs
 
 HIT = ("match_type", "matched", "definition", "domain", "subdomain", "page", "page_name", "object_full_name",
@@ -152,7 +152,7 @@ def _placed(hits: DataFrame, nodes_: DataFrame, objects: DataFrame) -> DataFrame
              .select(F.col("node_id").alias("page"), F.col("domain_id").alias("domain"), F.col("subdomain_id").alias("subdomain"),
                      F.col("name").alias("page_name")))
     kinds = objects.select("object_full_name", "object_kind")
-    return (hits.join(pages, "page", "left").join(kinds, "object_full_name", "left")
+    return (hits.join(few_or_merged(pages), "page", "left").join(kinds.hint("merge"), "object_full_name", "left")
             .select("term_id", "rank", *HIT))
 
 
@@ -194,7 +194,8 @@ def _described(nodes_: DataFrame) -> Column:
 def lookup_all(terms: DataFrame, nodes_: DataFrame, objects: DataFrame, glossary: DataFrame) -> DataFrame:
     """:func:`lookup` for a table of terms (column term): term, rank and the columns of :data:`HIT`.
 
-    Partial matches are found through :func:`contains_pairs`, so no term is compared with every name.
+    Partial matches are found through :func:`contains_pairs`, so no term is compared with every name. What is as long as the terms, objects or
+    glossary is merged, since the registry's files are far smaller than its rows; only what is counted and few is broadcast.
     """
     asked = terms.select("term", F.lower(F.trim("term")).alias("needle")).where(F.col("needle") != "").distinct()
     folded_nodes = nodes_.withColumn("text", F.lower("name"))
@@ -209,26 +210,27 @@ def lookup_all(terms: DataFrame, nodes_: DataFrame, objects: DataFrame, glossary
     pairs = written(contains_pairs(asked, "needle", every_text, "text"), "pairs")
 
     exact = F.col("needle") == F.col("text")
-    matched_words = (pairs.join(words, "text").groupBy("needle", "_id").agg(F.max(exact).alias("exact")))
-    from_terms = matched_words.join(keyed.select("_id", "term", "definition", "page_id", "linked_object", "linked_field"), "_id")
+    matched_words = (pairs.join(words.hint("merge"), "text").groupBy("needle", "_id").agg(F.max(exact).alias("exact")))
+    from_terms = matched_words.join(keyed.select("_id", "term", "definition", "page_id", "linked_object", "linked_field").hint("merge"), "_id")
     from_terms = _hits_glossary(from_terms.withColumnRenamed("needle", "term_id"), F.col("exact"))
 
-    by_name = pairs.join(folded_nodes.select("text", "node_id"), "text").select("needle", "node_id", exact.alias("exact"))
-    by_id = asked.join(nodes_.select("node_id", F.col("node_id").alias("needle")), "needle").select(
+    by_name = pairs.join(few_or_merged(folded_nodes.select("text", "node_id")), "text").select("needle", "node_id", exact.alias("exact"))
+    by_id = asked.join(few_or_merged(nodes_.select("node_id", F.col("node_id").alias("needle"))), "needle").select(
         "needle", "node_id", F.lit(True).alias("exact"))
     matched_nodes = by_name.unionByName(by_id).groupBy("needle", "node_id").agg(F.max("exact").alias("exact"))
-    from_nodes = (matched_nodes.join(nodes_.select("node_id", "node_type", "name", _described(nodes_).alias("description")), "node_id")
-                  .join(_members(objects), "node_id")
+    about = nodes_.select("node_id", "node_type", "name", _described(nodes_).alias("description"))
+    matched_nodes = written(matched_nodes.join(few_or_merged(about), "node_id"), "matched")
+    from_nodes = (_members(objects).join(few_or_merged(matched_nodes), "node_id")
                   .select(F.col("needle").alias("term_id"), F.when(F.col("exact"), 1).otherwise(3).alias("rank"),
                           F.col("node_type").alias("match_type"), F.col("name").alias("matched"),
                           F.col("description").alias("definition"), F.col("page_id").alias("page"), "object_full_name",
                           F.lit(None).cast("string").alias("field")))
-    from_objects = pairs.join(folded_objects.select("text", "page_id", "object_full_name"), "text").select(
+    from_objects = pairs.join(folded_objects.select("text", "page_id", "object_full_name").hint("merge"), "text").select(
         F.col("needle").alias("term_id"), F.when(exact, 2).otherwise(4).alias("rank"), F.lit("object").alias("match_type"),
         F.col("object_full_name").alias("matched"), F.lit(None).cast("string").alias("definition"), F.col("page_id").alias("page"),
         "object_full_name", F.lit(None).cast("string").alias("field"))
     found = _placed(from_terms.unionByName(from_nodes).unionByName(from_objects), nodes_, objects)
-    return asked.join(found.withColumnRenamed("term_id", "needle"), "needle").drop("needle")
+    return found.withColumnRenamed("term_id", "needle").join(few_or_merged(asked), "needle").select("term", "rank", *HIT)
 
 
 def lookup_failures(probes: DataFrame, hits: DataFrame) -> DataFrame:
@@ -246,4 +248,4 @@ def lookup_failures(probes: DataFrame, hits: DataFrame) -> DataFrame:
         F.array(answer("page", F.col("page"))))
     answers = hits.select(F.inline(found)).distinct()
     same = ((F.col("kind") == F.col("_kind")) & (F.col("term") == F.col("_term")) & F.col("page").eqNullSafe(F.col("_page")))
-    return probes.join(answers, same, "left_anti")
+    return probes.join(answers.hint("merge"), same, "left_anti")

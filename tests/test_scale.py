@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import session
 from plumbline.operators import diff, keys, medallion, metrics, quality, salting, textjoin
 from plumbline.plans import catalogue, kpis
 from plumbline.specs import Rule
@@ -62,6 +63,13 @@ def test_windows_of_texts_are_not_broadcast(spark):
     assert "Broadcast" not in plan_of(textjoin.contains_pairs(spark.range(20000).select(F.col("id").cast("string").alias("n")), "n", texts, "t"))
 
 
+def test_lookups_broadcast_only_what_is_counted_and_few(spark, folder, monkeypatch):
+    monkeypatch.setattr(session, "FEW", 0, raising=False)
+    for name in ("ontology_lookup_bulk", "lookup_failures", "measure_coverage"):
+        text = plan_of(catalogue.queries()[name](spark, folder))
+        assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
 def test_hot_keys_are_folded_before_the_shuffle(spark, hot):
     for df in (medallion.latest_per_key(hot, ["k"], "v"), keys.pk_holds(hot, ["k"]), diff.fingerprint(hot, ["k"], "v", ["v"]),
                keys.fk_orphans(hot, "k", hot.where("k > 5"), "k"), quality.evaluate({"t": hot}, [Rule("t", "unique", ("k",))])):
