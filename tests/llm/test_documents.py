@@ -1,4 +1,5 @@
 """Quality, language, lines, near copies, mixing and the pipeline against brute force and SQL."""
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from plumbline.llm import quality_rules
 from plumbline.llm.components import components
 from plumbline.llm.jaccard_join import jaccard_classes, one_of_each
 from plumbline.llm.language_id import Model, language
@@ -62,6 +64,30 @@ def test_rules_tell_good_from_bad(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_all_trusted_documents_count(spark):
+    """More labels than any bound of old: every one is counted, and the threshold is the exact percentile of the other half."""
+    ids = spark.range(50_000)
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.pmod(F.xxhash64("id"), F.lit(9))).alias("text")).unionByName(
+        spark.createDataFrame([(-1, "x y z"), (-2, None), (None, "w")], "doc_id long, text string"))
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    ratios, threshold = quality_rules.fitted(docs, labels, 1 << 10)
+    half = ids.withColumn("counts", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(2)) == 0)
+    word = spark.range(1).select(F.pmod(F.xxhash64(F.lit("w")), F.lit(1 << 10)).cast("int")).first()[0]
+    n, good = 50_001 + 0.5, half.where("counts").count() + 0.5
+    words = 50_000 * 2 + 4, 2 * (good - 0.5)  # and as many pairs
+    assert abs(ratios[word] - (math.log(good / n) + math.log((2 * words[0] + 512) / (2 * words[1] + 512)))) < 1e-9
+    scored = quality_rules._scored(docs.join(half.where("NOT counts"), F.col("doc_id") == F.col("id")).withColumn("words", quality_rules.words_of("text")), ratios)
+    assert abs(threshold + quality_rules.MARGIN - scored.agg(F.percentile("score", quality_rules.TAIL)).first()[0]) < 1e-12
+
+
+@pytest.mark.parametrize("scores", [[], [None], [1.5], [0.0, 0.0], [-3.0, 7.25], [i * i / 7 for i in range(-400, 401)], [i * 1e-6 for i in range(1000)]])
+def test_the_threshold_is_the_exact_percentile(spark, scores):
+    df = spark.createDataFrame([(x,) for x in scores], "score double")
+    want = df.agg(F.percentile("score", 0.005)).first()[0]
+    got = quality_rules._low(df, 0.005)
+    assert got == want if want is None else abs(got - want) < 1e-9
+
+
 def test_rules_without_trusted_documents(spark, folder):
     docs = spark.createDataFrame([(1, "few words", "x"), (9, " ".join(f"w{i}" for i in range(80)), "x")], "doc_id long, text string, score string")
     none = table(spark, folder, "labels").limit(0)
