@@ -6,8 +6,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..specs import Parameter, Tool
 from . import statements
+from .salting import salted_join
 
 # Fixed value: words a read-only statement may not use.
 WRITES = r"(?i)\b(EXECUTE\s+IMMEDIATE|INSERT|UPDATE|DELETE|MERGE|DROP|ALTER|CREATE|GRANT|REVOKE|TRUNCATE)\b"
@@ -37,12 +39,16 @@ def call_tool(spark: SparkSession, tool: Tool, args: Mapping[str, object]) -> Da
 def outside_reads(queries: DataFrame, allowed: DataFrame) -> DataFrame:
     """query_id, object: objects a query (query_id, sql) reads that are not allowed (full_name), or that are not fully named.
 
-    Read is what stands in the place of a relation, in any list, join or subquery, and every three-part name mentioned elsewhere.
+    Read is what stands in the place of a relation, in any list, join or subquery, and every three-part name mentioned elsewhere. A log
+    repeats its statements: each text is walked once, after a shuffle, so that the walk is spread whatever the files of the log are, and
+    found again by its hash; a text that very many queries share is joined in shares.
     """
-    read = statements.with_reads(queries.select("query_id", "sql"), "sql")
+    asked = queries.select("query_id", "sql", F.sha2("sql", 256).alias("_text")).where("sql IS NOT NULL")
+    read = statements.with_reads(asked.select("_text", "sql").distinct(), "sql")
     short = F.filter("relations", lambda n: F.size(F.split(n, r"\.")) < 3)
-    reads = read.select("query_id", F.explode(F.array_union("full_names", short)).alias("object"))
-    return reads.join(allowed.select(F.col("full_name").alias("object")), "object", "left_anti").select("query_id", "object")
+    reads = read.select("_text", F.explode(F.array_union("full_names", short)).alias("object"))
+    outside = reads.join(allowed.select(F.col("full_name").alias("object")), "object", "left_anti")
+    return salted_join(asked.select("query_id", "_text"), written(outside.select("_text", "object"), "reads"), "_text", F.col("query_id")).select("query_id", "object")
 
 
 def statement_problems(queries: DataFrame) -> DataFrame:

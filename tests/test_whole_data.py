@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import freshness, medallion, metrics, profile, quality, textjoin, tools
+from plumbline.operators import freshness, medallion, metrics, profile, quality, statements, textjoin, tools
 from plumbline.plans import build, catalogue
 from plumbline.session import scratch
 from plumbline.sources import catalog, landing, sinks
@@ -97,6 +97,15 @@ def test_short_names_in_statements(spark, rows):
     assert rows(tools.outside_reads(q, spark.createDataFrame([("a.b.c",)], "full_name STRING"))) == [(1, "payroll"), (2, "hr.people")]
 
 
+def test_repeated_statements_are_walked_once(spark, rows, monkeypatch):
+    walked, walk = [], statements.with_reads
+    monkeypatch.setattr(statements, "with_reads", lambda df, sql: walked.append(df.count()) or walk(df, sql))
+    q = spark.range(500).select(F.col("id").alias("query_id"), F.when(F.col("id") < 400, "SELECT * FROM a.b.c, payroll").when(F.col("id") < 499, "SELECT 1 FROM x.y.z").alias("sql"))
+    got = tools.outside_reads(q.union(q.where("query_id = 7")), spark.createDataFrame([("a.b.c",)], "full_name STRING"))
+    assert walked == [2]
+    assert rows(got.groupBy("object").count()) == [("payroll", 401), ("x.y.z", 99)]
+
+
 def test_retention_drops_run_folders_only(spark, rows):
     root = scratch(spark, "logs")
     for day in (1, 20):
