@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compare import close_relative, relative_difference
 from ..functions.text import squeeze
+from ..session import few_or_merged, written
 from ..specs import MetricView, Tile
 from . import statements
 from .diff import digest, is_fixed, side_by_side, with_text
@@ -63,23 +64,26 @@ def definition_problems(views: DataFrame, joins: DataFrame, fields: DataFrame, r
              finding(views.groupBy("view").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col("view"), F.lit("view is defined twice")),
              finding(fields.where(F.coalesce(F.trim("expr"), F.lit("")) == ""), F.col("name"), F.lit("no expression"))]
     # Names are told from strings, functions and words of SQL by tokens, then met with what the view can see.
-    named = (statements.with_columns_named(fields.select("view", F.col("name").alias("field"), "expr"), "expr")
+    # A text that many definitions share is read once; what is as long as the definitions is merged.
+    texts = written(statements.with_columns_named(fields.select("expr").where("expr IS NOT NULL").distinct(), "expr"), "texts")
+    named = (fields.select("view", F.col("name").alias("field"), "expr").join(few_or_merged(texts), "expr")
              .select("view", "field", F.explode("column_names").alias("_name")))
-    seen = used.join(columns.select("source", F.lower("column").alias("_column")), "source")
+    seen = used.join(few_or_merged(columns.select("source", F.lower("column").alias("_column"))), "source")
     visible = seen.select("view", F.explode(F.array(F.col("_column"), F.concat_ws(".", F.lower("name"), "_column"))).alias("_name")).distinct()
-    unresolved = named.join(visible, ["view", "_name"], "left_anti").distinct()
+    unresolved = named.join(visible.hint("merge"), ["view", "_name"], "left_anti").distinct()
     found.append(finding(unresolved, F.col("field"), F.concat(F.lit("unknown name "), "_name")))
     known = fields.where("kind = 'dimension'").select("view", F.col("name").alias("_by"))
     asked_by = references.select("view", "measure", F.explode(F.array_distinct("by")).alias("_by"))
-    found.append(finding(asked_by.join(known, ["view", "_by"], "left_anti"), F.col("measure"), F.concat("_by", F.lit(" is not a dimension"))))
+    found.append(finding(asked_by.join(known.hint("merge"), ["view", "_by"], "left_anti"), F.col("measure"), F.concat("_by", F.lit(" is not a dimension"))))
     known_measures = fields.where("kind = 'measure'").select("view", F.col("name").alias("measure"))
-    found.append(finding(references.join(known_measures, ["view", "measure"], "left_anti"), F.col("measure"), F.lit("reference of no measure")))
+    found.append(finding(references.join(known_measures.hint("merge"), ["view", "measure"], "left_anti"), F.col("measure"), F.lit("reference of no measure")))
     missing = F.array_except(F.concat(F.array(F.lit("value")), F.coalesce("by", F.array().cast("array<string>"))), F.coalesce("returns", F.array().cast("array<string>")))
     found.append(finding(references.select("view", "measure", F.explode(missing).alias("_c")), F.col("measure"), F.concat(F.lit("returns no column "), "_c")))
-    reads = statements.with_reads(references.select("view", "measure", "sql"), "sql")
+    reads = statements.with_reads(references.select("sql").where("sql IS NOT NULL").distinct(), "sql")
     own = F.exists(F.array_union("relations", "full_names"), lambda n: F.exists(F.slice(F.split(F.lower(n), r"\."), 1, F.size(F.split(n, r"\.")) - 1),
                                                                                 lambda part: part == schema.lower()))
-    found.append(finding(reads.where(own), F.col("measure"), F.lit(f"reads {schema}; it must be independent")))
+    dependent = few_or_merged(written(reads.where(own).select("sql"), "dependent"))
+    found.append(finding(references.select("view", "measure", "sql").join(dependent, "sql"), F.col("measure"), F.lit(f"reads {schema}; it must be independent")))
     found.append(finding(references.where(F.coalesce(F.trim("sql"), F.lit("")) == ""), F.col("measure"), F.lit("no statement")))
     return reduce(DataFrame.unionByName, found)
 

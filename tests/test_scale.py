@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.operators import diff, keys, medallion, metrics, quality, salting, textjoin
+from plumbline.operators import diff, keys, medallion, metrics, quality, salting, statements, textjoin
 from plumbline.plans import catalogue, kpis
 from plumbline.specs import Rule
 from tests.plan_scan import found_in
@@ -70,6 +70,13 @@ def test_lookups_broadcast_only_what_is_counted_and_few(spark, folder, monkeypat
         assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
 
 
+def test_definitions_read_a_shared_text_once_and_broadcast_no_definitions(spark, folder, monkeypatch):
+    read, names = [], statements.with_columns_named
+    monkeypatch.setattr(statements, "with_columns_named", lambda df, expr: read.append(df.count()) or names(df, expr))
+    text = plan_of(catalogue.queries()["definition_problems"](spark, folder))
+    assert read and read[0] <= 5 and text.count("SortMergeJoin") >= 3
+
+
 def test_hot_keys_are_folded_before_the_shuffle(spark, hot):
     for df in (medallion.latest_per_key(hot, ["k"], "v"), keys.pk_holds(hot, ["k"]), diff.fingerprint(hot, ["k"], "v", ["v"]),
                keys.fk_orphans(hot, "k", hot.where("k > 5"), "k"), quality.evaluate({"t": hot}, [Rule("t", "unique", ("k",))])):
