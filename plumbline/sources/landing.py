@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sketches
-from ..session import scratch
+from ..session import few_or_merged, scratch, written
 from ..specs import INGESTION_LOG
 from .sinks import remove, table_at
 
@@ -63,14 +63,15 @@ def _guess(spark: SparkSession, paths: str | list[str], newlines: bool) -> int:
 def file_headers(records: DataFrame) -> DataFrame:
     """_source_file, header_row, names, rows: the columns of each file, by its first record, and the records after it.
 
-    One aggregate of numbers that is folded in the tasks, however large the files are, then a join for one record of each.
+    One aggregate of numbers that is folded in the tasks, however large the files are, then a join for one record of each: the files are
+    written and broadcast where they are few, so that records are not shuffled to find a header.
     """
     first = F.min(F.when(F.col("at.block") == 0, F.col("at.row")))
-    files = records.groupBy("_source_file").agg(first.alias("header_row"), (F.count(F.lit(1)) - 1).alias("rows"))
+    files = written(records.groupBy("_source_file").agg(first.alias("header_row"), (F.count(F.lit(1)) - 1).alias("rows")), "files")
     width = F.array_max(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1)))
     names = F.transform(F.slice("cells", 1, F.coalesce(width, F.lit(0))), lambda c, i: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.concat(F.lit("_c"), i.cast("string"))))
     heads = records.select("_source_file", F.col("at.row").alias("header_row"), names.alias("names"))
-    return files.join(heads, ["_source_file", "header_row"])
+    return heads.join(few_or_merged(files), ["_source_file", "header_row"]).select("_source_file", "header_row", "rows", "names")
 
 
 def with_names(records: DataFrame, headers: DataFrame, batch_id: str) -> DataFrame:

@@ -106,6 +106,14 @@ def test_repeated_statements_are_walked_once(spark, rows, monkeypatch):
     assert rows(got.groupBy("object").count()) == [("payroll", 401), ("x.y.z", 99)]
 
 
+def test_headers_are_found_without_shuffling_records(spark, rows):
+    root = scratch(spark, "landing")
+    spark.range(100).selectExpr("id", "'a, b' AS note").repartition(3).write.option("header", True).csv(root)
+    headers = landing.file_headers(landing.csv_records(spark, root, 4))
+    assert "BroadcastHashJoin" in headers._jdf.queryExecution().executedPlan().toString() and "Exchange hashpartitioning" not in headers._jdf.queryExecution().executedPlan().toString()
+    assert rows(headers.groupBy("names").agg(F.sum("rows").alias("n"), F.count("*").alias("files"))) == [(["id", "note"], 100, 3)]
+
+
 def test_retention_drops_run_folders_only(spark, rows):
     root = scratch(spark, "logs")
     for day in (1, 20):
