@@ -30,19 +30,42 @@ def bad(rule: Rule) -> Column:
     raise ValueError(f"{rule.type} is not a rule about single rows")
 
 
-def _meta(rule: Rule, total: Column, failed: Column) -> Column:
+DEALS = 32  # groups a chosen row, each of which gives its least failing key
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _deal(columns: Sequence[str], rows: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(DEALS * rows))
+
+
+def _nth(least: str, rows: int) -> Column:
+    """The ``rows``-th smallest of the least failing keys: at least that many failing rows have no larger key. Null if there are fewer."""
+    return F.get(F.sort_array(F.collect_list(least)), F.lit(rows - 1))
+
+
+def _first_key(df: DataFrame, key: Sequence[str]) -> Column | None:
+    return F.col(key[0]).cast("bigint") if key and isinstance(df.schema[key[0]].dataType, INTEGRAL) else None
+
+
+def _meta(rule: Rule, total: Column, failed: Column, last: Sequence[Column] = ()) -> Column:
     allowed = F.floor(total * F.lit(rule.allowance)) if rule.allowance else F.lit(0)
     return F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.table).alias("table_name"),
                     F.lit(rule.type).alias("rule_type"), F.lit(rule.column_text).cast("string").alias("column_name"),
                     F.lit(rule.severity).alias("severity"), F.lit(rule.summary).alias("description"),
-                    total.alias("total_rows"), failed.alias("failed_rows"), (failed <= allowed).alias("passed"))
-
-
-def _scan_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """All row rules and row-count rules of one table from a single aggregate over it."""
-    total = F.col("_total")
-    one = df.agg(F.count(F.lit(1)).alias("_total"),
-                 *[F.count_if(bad(r)).alias(f"f{i}") for i, r in enumerate(rules) if r.type in ROW_RULES])
+                    total.alias("total_rows"), failed.alias("failed_rows"), (failed <= allowed).alias("passed"), *[x.alias("last_key") for x in last])
+
+
+def _scan_rules(df: DataFrame, rules: Sequence[Rule], key: Sequence[str] | None = None, rows: int = 100) -> DataFrame:
+    """All row rules and row-count rules of one table from a single aggregate over it; with a key, last keys come from the same scan."""
+    total, first = F.col("_total"), _first_key(df, key or ())
+    single = [(i, r) for i, r in enumerate(rules) if r.type in ROW_RULES]
+    counts = [F.count(F.lit(1)).alias("_total"), *[F.count_if(bad(r)).alias(f"f{i}") for i, r in single]]
+    if first is None:
+        one = df.agg(*counts)
+    else:
+        parts = df.groupBy(_deal(key, rows).alias("_deal")).agg(*counts, *[F.min(F.when(bad(r), first)).alias(f"l{i}") for i, r in single])
+        one = parts.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in ("_total", *[f"f{i}" for i, _ in single])],
+                        *[_nth(f"l{i}", rows).alias(f"l{i}") for i, _ in single])
     entries = []
     for i, r in enumerate(rules):
         if r.type in ROW_RULES:
@@ -54,17 +77,33 @@ def _scan_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             if r.max is not None:
                 outside = outside | (total > F.lit(r.max))
             failed = F.when(outside, 1).otherwise(0).cast("bigint")
-        entries.append(_meta(r, total, failed))
+        last = F.col(f"l{i}") if first is not None and r.type in ROW_RULES else F.lit(None).cast("bigint")
+        entries.append(_meta(r, total, failed, () if key is None else (last,)))
     return one.select(F.inline(F.array(*entries)))
 
 
-def _unique_rule(df: DataFrame, rule: Rule) -> DataFrame:
-    """Every row of a repeated key fails; null keys are one group. Keys are folded before the shuffle."""
-    groups = df.groupBy(*rule.columns).agg(F.count(F.lit(1)).alias("n"))
+def _grouped_rule(groups: DataFrame, rule: Rule, failed: Column, by: Sequence[str], key: Sequence[str] | None, rows: int) -> DataFrame:
+    """The entry of a rule from counted groups (n, and least key) of which some fail as a whole."""
     zero = F.lit(0).cast("bigint")
-    one = groups.agg(F.coalesce(F.sum("n"), zero).alias("_total"),
-                     F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), zero).alias("_failed"))
-    return one.select(F.inline(F.array(_meta(rule, F.col("_total"), F.col("_failed")))))
+    counts = {"_total": F.sum("n"), "_failed": F.sum(F.when(failed, F.col("n")))}
+    if "_least" in groups.columns:
+        parts = groups.groupBy(_deal(by, rows).alias("_deal")).agg(*[c.alias(n) for n, c in counts.items()], F.min(F.when(failed, F.col("_least"))).alias("_least"))
+        one = parts.agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in counts], _nth("_least", rows).alias("_last"))
+    else:
+        one = groups.agg(*[F.coalesce(c, zero).alias(n) for n, c in counts.items()], F.lit(None).cast("bigint").alias("_last"))
+    return one.select(F.inline(F.array(_meta(rule, F.col("_total"), F.col("_failed"), () if key is None else (F.col("_last"),)))))
+
+
+def _counted(df: DataFrame, key: Sequence[str] | None) -> list[Column]:
+    """What a group of rows gives: its rows, and its least first key where one is asked for."""
+    first = _first_key(df, key or ())
+    return [F.count(F.lit(1)).alias("n"), *([] if first is None else [F.min(first).alias("_least")])]
+
+
+def _unique_rule(df: DataFrame, rule: Rule, key: Sequence[str] | None = None, rows: int = 100) -> DataFrame:
+    """Every row of a repeated key fails; null keys are one group. Keys are folded before the shuffle."""
+    groups = df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(rule.columns)]).agg(*_counted(df, key))
+    return _grouped_rule(groups, rule, F.col("n") > 1, [f"_k{i}" for i in range(len(rule.columns))], key, rows)
 
 
 def _parent(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
@@ -72,40 +111,45 @@ def _parent(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
     return tables[table].select(F.col(column).alias("_value")).where(F.col("_value").isNotNull()).distinct()
 
 
-def _references_rule(df: DataFrame, tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
+def _references_rule(df: DataFrame, tables: Mapping[str, DataFrame], rule: Rule, key: Sequence[str] | None = None, rows: int = 100) -> DataFrame:
     """Values absent from the parent fail; null passes. Child values are counted before they travel."""
-    values = df.groupBy(F.col(rule.columns[0]).alias("_value")).agg(F.count(F.lit(1)).alias("n"))
+    values = df.groupBy(F.col(rule.columns[0]).alias("_value")).agg(*_counted(df, key))
     known = _parent(tables, rule).withColumn("_known", F.lit(True))
-    zero = F.lit(0).cast("bigint")
     orphan = F.col("_value").isNotNull() & F.col("_known").isNull()
-    one = values.join(known, "_value", "left").agg(
-        F.coalesce(F.sum("n"), zero).alias("_total"), F.coalesce(F.sum(F.when(orphan, F.col("n"))), zero).alias("_failed"))
-    return one.select(F.inline(F.array(_meta(rule, F.col("_total"), F.col("_failed")))))
+    return _grouped_rule(values.join(known, "_value", "left"), rule, orphan, ["_value"], key, rows)
 
 
-def evaluate(tables: Mapping[str, DataFrame], rules: Sequence[Rule], fused: bool = True) -> DataFrame:
+def evaluate(tables: Mapping[str, DataFrame], rules: Sequence[Rule], fused: bool = True, keys: Mapping[str, Sequence[str]] | None = None,
+             rows: int = 100) -> DataFrame:
     """One row per rule: rule_id .. description, total_rows, failed_rows, passed.
 
     Rules about single rows and row counts of a table share one scan; unique and references take one aggregate each.
-    ``fused=False`` scans once per rule and must give the same rows.
+    ``fused=False`` scans once per rule and must give the same rows. With ``keys`` the same aggregates give last_key too: a whole number
+    that the first key of at least ``rows`` failing rows does not exceed, or null where none was found or the key is no whole number.
     """
     out = []
     for table in dict.fromkeys(r.table for r in rules):
         own = [r for r in rules if r.table == table]
+        key = None if keys is None else list(keys.get(table, ()))
         scan = [r for r in own if r.type in ROW_RULES or r.type == "row_count"]
-        out += [_scan_rules(tables[table], scan)] if scan and fused else [_scan_rules(tables[table], [r]) for r in scan]
-        out += [_unique_rule(tables[table], r) for r in own if r.type == "unique"]
-        out += [_references_rule(tables[table], tables, r) for r in own if r.type == "references"]
+        out += [_scan_rules(tables[table], part, key, rows) for part in ([scan] if fused else [[r] for r in scan]) if part]
+        out += [_unique_rule(tables[table], r, key, rows) for r in own if r.type == "unique"]
+        out += [_references_rule(tables[table], tables, r, key, rows) for r in own if r.type == "references"]
     return reduce(DataFrame.unionByName, out)
 
 
-def bad_rows(tables: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
-    """The rows of the table that break one rule (any type but row_count)."""
-    df = tables[rule.table]
+def _up_to(df: DataFrame, key: Sequence[str], last: int | None) -> DataFrame:
+    return df if last is None else df.where(F.col(key[0]).isNull() | (F.col(key[0]) <= F.lit(last)))
+
+
+def bad_rows(tables: Mapping[str, DataFrame], rule: Rule, key: Sequence[str] = (), last: int | None = None) -> DataFrame:
+    """The rows of the table that break one rule (any type but row_count); with ``last`` those whose first key is null or not above it."""
+    df = _up_to(tables[rule.table], key, last)
     if rule.type in ROW_RULES:
         return df.where(bad(rule))
     if rule.type == "unique":
-        repeated = df.groupBy(*rule.columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+        whole = df if last is not None and key[0] in rule.columns else tables[rule.table]  # rows of a group share what it is grouped by
+        repeated = whole.groupBy(*rule.columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
         keys = repeated.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(rule.columns)])
         same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(rule.columns)]
         return df.join(keys, reduce(lambda a, b: a & b, same), "left_semi")
@@ -133,54 +177,75 @@ def _possible(failing: DataFrame, rows: int) -> DataFrame:
     keys = [c for c in failing.columns if re.fullmatch(r"_o\d+", c)]
     if not keys or not isinstance(failing.schema["_o0"].dataType, FIXED_WIDTH):
         return failing
-    least = (failing.groupBy("_rule", F.pmod(F.xxhash64(*keys), F.lit(32 * rows)).alias("_deal")).agg(F.min("_o0").alias("_least"))
+    least = (failing.groupBy("_rule", _deal(keys, rows).alias("_deal")).agg(F.min("_o0").alias("_least"))
              .groupBy("_rule").agg(F.get(F.sort_array(F.collect_list("_least")), F.lit(rows - 1)).alias("_last")))
     within = F.col("_last").isNull() | F.col("_o0").isNull() | (F.col("_o0") <= F.col("_last"))
     return failing.join(F.broadcast(least), "_rule", "left").where(within).drop("_last")  # a row per declared rule
 
 
+def shown_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], hidden: Mapping[str, Sequence[str]] | None = None) -> dict[str, list[str]]:
+    """The key columns of each table that its quarantine orders by and shows."""
+    return {table: [c for c in keys.get(table, ()) if c in df.columns and c not in (hidden or {}).get(table, ())] for table, df in tables.items()}
+
+
 def quarantine(tables: Mapping[str, DataFrame], rules: Sequence[Rule], keys: Mapping[str, Sequence[str]],
-               hidden: Mapping[str, Sequence[str]] | None = None, rows: int = 100, two_scans: bool = False) -> DataFrame:
+               hidden: Mapping[str, Sequence[str]] | None = None, rows: int = 100, two_scans: bool = False,
+               found: DataFrame | None = None) -> DataFrame:
     """Up to ``rows`` failing rows per rule: rule_id, table_name, row_key, row_json.
 
     Rows are chosen by key, then by their shown values, so reruns agree. The row rules of a table share one scan. Failing
     rows are ranked within groups of a rule first and the first of every group then within the rule, so a rule that most
     rows break does not gather them in one task; JSON is built for the rows that are left, without the hidden columns.
-    With ``two_scans`` a scan of keys finds the last key that can be chosen first, and only rows up to it are sorted: the same
-    rows, sooner on large tables of which many rows fail.
+    With ``two_scans`` the rules are evaluated first, with the last key that can be chosen of each; ``found`` gives what :func:`evaluate`
+    found with the :func:`shown_keys` of the same tables, so that it is not done twice. Then a rule without failing rows is passed over, and
+    rows beyond the last key are neither joined nor sorted: the same rows, sooner on large tables of which many rows fail.
     """
     hidden = hidden or {}
+    if two_scans and found is None:
+        found = evaluate(tables, [r for r in rules if r.type != "row_count"], keys=shown_keys(tables, keys, hidden), rows=rows)
+    known = None if found is None else {r["rule_id"]: (r["failed_rows"], r["last_key"]) for r in
+                                        found.select("rule_id", "failed_rows", "last_key").collect()}  # a row per declared rule
     parts = []
     for table in dict.fromkeys(r.table for r in rules):
         df = tables[table]
         shown = [c for c in df.columns if c not in hidden.get(table, ())]
         key = [c for c in keys.get(table, ()) if c in shown]
-        own = [r for r in rules if r.table == table and r.type != "row_count"]
+        own = [r for r in rules if r.table == table and r.type != "row_count" and (known is None or known[r.id][0] > 0)]
+        last = {r.id: None if known is None else known[r.id][1] for r in own}
 
         def entry(frame, rule_id):
             return frame.select(rule_id.alias("_rule"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(key)],
                                 F.xxhash64(*shown).alias("_content") if shown else F.lit(0).cast("bigint").alias("_content"),
                                 F.struct(*shown).alias("_row") if shown else F.struct(F.lit(1).alias("_")).alias("_row"))
 
-        single = [r for r in own if r.type in ROW_RULES]
-        failing = [entry(bad_rows(tables, r), F.lit(r.id)) for r in own if r not in single]
-        if single:
-            broken = F.array_compact(F.array(*[F.when(bad(r), F.lit(r.id)) for r in single]))
-            failing.append(entry(df.withColumn("_broken", F.explode(broken)), F.col("_broken")))
-        if not failing:
+        def failing(some):
+            single = [r for r in some if r.type in ROW_RULES]
+            out = [entry(bad_rows(tables, r, key, last[r.id]), F.lit(r.id)) for r in some if r not in single]
+            if single:
+                lasts = [last[r.id] for r in single]
+                broken = F.array_compact(F.array(*[F.when(bad(r), F.lit(r.id)) for r in single]))
+                out.append(entry(_up_to(df, key, None if None in lasts else max(lasts)).withColumn("_broken", F.explode(broken)), F.col("_broken")))
+            return reduce(DataFrame.unionByName, out)
+
+        near, others = [r for r in own if last[r.id] is not None], [r for r in own if last[r.id] is None]
+        many = [r for r in others if known and known[r.id][0] > rows]
+        every = [failing(some) for some in (near, [r for r in others if r not in many]) if some]
+        every += [_possible(failing(many), rows)] if many else []
+        if not every:
             continue
         plain = [c for c in shown if "map<" not in dict(df.dtypes)[c]]
         order = [*[F.col(f"_o{i}") for i in range(len(key))], *[F.col(f"_row.{c}").asc_nulls_last() for c in plain], F.col("_content")]
-        every = reduce(DataFrame.unionByName, failing)
-        every = (_possible(every, rows) if two_scans else every).withColumn("_group", F.pmod("_content", F.lit(GROUPS)))
+        every = reduce(DataFrame.unionByName, every).withColumn("_group", F.pmod("_content", F.lit(GROUPS)))
         for by in (["_rule", "_group"], ["_rule"]):
             every = every.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= rows)
         parts.append(every.select(F.col("_rule").alias("rule_id"), F.lit(table).alias("table_name"),
                                   _json([F.col(f"_row.{c}").alias(c) for c in key]).alias("row_key"),
                                   _json([F.col(f"_row.{c}").alias(c) for c in shown]).alias("row_json")))
-    if not parts:
-        raise ValueError("no rule has failing rows to keep")
     columns = ["rule_id", "table_name", "row_key", "row_json"]
+    if not parts:
+        if all(r.type == "row_count" for r in rules):
+            raise ValueError("no rule has failing rows to keep")
+        return found.sparkSession.createDataFrame([], ", ".join(f"{c} STRING" for c in columns))
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
 
 

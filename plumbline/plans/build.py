@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import freshness, medallion, quality
+from ..session import written
 from ..sources import landing, sinks
 from ..specs import DQ_FRESHNESS, DQ_QUARANTINE, DQ_RESULTS, DQ_RUNS, Rule
 
@@ -77,8 +78,9 @@ def check_run(spark: SparkSession, root: str, run_id: str, now: dt.datetime, tab
         run.coalesce(1).write.mode("overwrite").parquet(f"{root}/dq_runs/run=r-{run_id}")
 
     state(None)
-    log(quality.evaluate(tables, rules), "dq_results", DQ_RESULTS)
-    log(quality.quarantine(tables, rules, keys, hidden, rows, two_scans=True), "dq_quarantine", DQ_QUARANTINE)
+    found = written(quality.evaluate(tables, rules, keys=quality.shown_keys(tables, keys, hidden), rows=rows), "dq-found")
+    log(found, "dq_results", DQ_RESULTS)
+    log(quality.quarantine(tables, rules, keys, hidden, rows, found=found), "dq_quarantine", DQ_QUARANTINE)
     log(freshness.freshness(changes, limits, F.lit(now)), "dq_freshness", DQ_FRESHNESS)
     state(finished or now)
     runs = read_log(spark, root, "dq_runs")

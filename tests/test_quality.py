@@ -5,6 +5,7 @@ import json
 import pytest
 
 from plumbline.operators import quality
+from plumbline.plans import catalogue
 from plumbline.specs import Rule
 from pyspark.sql import functions as F
 
@@ -124,3 +125,33 @@ def test_quarantine_keeps_the_first_rows_of_a_rule_whatever_its_keys(spark, two_
             got = quality.quarantine({"t": df}, [rule], {"t": keys}, rows=20, two_scans=two_scans).collect()
             want = [json.dumps({c: x for c, x in zip("kv", r) if x is not None}, separators=(",", ":")) for r in want[:20]]
             assert sorted(r.row_json for r in got) == sorted(want), name
+
+
+def test_quarantine_reads_up_to_the_last_key_that_the_results_give(spark, rows):
+    """The aggregates of the results name the last key of every rule; joins of quarantine meet only rows up to it, and get the same rows."""
+    t = spark.range(6000).selectExpr("nullif(id, 7) AS k", "CAST(id % 3000 AS INT) AS twin", "CAST(id % 2000 AS INT) AS parent", "CAST(id % 5 AS INT) AS v").repartition(4)
+    tables = {"t": t, "p": spark.range(500).selectExpr("CAST(id AS INT) AS k"), "odd": t.select(F.col("v").cast("string").alias("k"), "v")}
+    rules = [Rule("t", "unique", ("twin",)), Rule("t", "unique", ("k",)), Rule("t", "references", ("parent",), to="p.k"), Rule("t", "range", ("v",), max=2),
+             Rule("t", "not_null", ("k",)), Rule("t", "row_count", min=1), Rule("odd", "range", ("v",), max=3)]
+    key = {"t": ["k"], "odd": ["k"]}
+    found = quality.evaluate(tables, rules, keys=key, rows=20)
+    assert rows(found.drop("last_key")) == rows(quality.evaluate(tables, rules))
+    assert rows(quality.evaluate(tables, rules, fused=False, keys=key, rows=20)) == rows(found)
+    last = {r.rule_id: r.last_key for r in found.collect()}
+    assert all(last[r] is not None and last[r] < 3000 for r in ("t.unique_twin", "t.references_parent", "t.range_v"))
+    assert [last[r] for r in ("t.unique_k", "t.not_null_k", "t.row_count", "odd.range_v")] == [None] * 4
+    plain = rows(quality.quarantine(tables, rules, key, rows=20))
+    got = quality.quarantine(tables, rules, key, rows=20, found=found)
+    assert rows(got) == plain == rows(quality.quarantine(tables, rules, key, rows=20, two_scans=True)) and len(plain) == 81
+    none = quality.evaluate(tables, rules[1:2], keys=key, rows=20)
+    assert quality.quarantine(tables, rules[1:2], key, rows=20, found=none).collect() == []
+
+
+def test_quarantine_scans_hand_on_no_rows_beyond_the_last_key(spark, folder):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        text = catalogue.queries()["dq_quarantine"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    lines = [line for line in text.split("\n") if "FileScan" in line and "l_linenumber" in line]
+    assert sum("LessThanOrEqual(l_orderkey," in line for line in lines) >= 3
