@@ -56,15 +56,19 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where(fit & rest).select(F.least("cid", "other").alias("x"), F.greatest("cid", "other").alias("y")).distinct()
 
 
-def _entries(grams: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _held(grams: DataFrame) -> DataFrame:
+    """gram, df of the n-grams that several sets hold. Written, so that the shuffle that counts them is gone before the next one."""
+    return written(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "ngram-held")
+
+
+def _entries(grams: DataFrame, held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """cid, n, gram, pos of the prefix n-grams that several sets share, with two of their holders: ``plain`` and ``last``.
 
-    ``grams`` holds the n-grams whose holders are counted, and ``sizes`` (cid, n, known, more) how many a set has of them and
-    the n-grams that follow them in its prefix. Counted ones go first, the rarest before the others, so those that one set alone holds use the
+    ``grams`` holds the n-grams whose holders are counted, ``held`` those that several sets hold, and ``sizes`` (cid, n, known, more) how
+    many a set has of them and the n-grams that follow them in its prefix. Counted ones go first, the rarest before the others, so those that one set alone holds use the
     prefix up first. The smaller set of a pair shares an n-gram within a shorter prefix, so an n-gram that nobody has there finds nothing.
     """
     p = _prefix(F.col("n"), percent)
-    held = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = grams.join(held, "gram").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("shared"))
     rows = sizes.join(shared, "cid", "left").withColumn("alone", F.col("known") - F.coalesce(F.size("shared"), F.lit(0)))
     first = F.transform(F.slice("shared", 1, F.greatest(p - F.col("alone"), F.lit(0)).cast("int")), lambda s: s["gram"])
@@ -139,7 +143,9 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     heads = table.join(able, "cid", "left_semi")
     grams = heads.select("cid", F.explode("counted").alias("gram"))
     sizes = heads.select("cid", "n", F.size("counted").alias("known"), "more")
-    chosen = written(_entries(grams, sizes, percent).select("cid", "n").distinct(), "ngram-chosen")
+    held = _held(grams)
+    chosen = written(_entries(grams, held, sizes, percent).select("cid", "n").distinct(), "ngram-chosen")
+    drop(held)
     # one row of each chosen class is read again, by its doc_id and text
     key = [F.xxhash64("doc_id", "same").alias("k1"), F.xxhash64(F.lit(3), F.col("doc_id"), F.col("same")).alias("k2")]
     wanted = table.select("cid", "doc_id", "same").join(chosen.select("cid"), "cid", "left_semi").select("cid", *key)
@@ -152,8 +158,10 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     first = segments.where(F.col("fragment") < FIRST).groupBy("cid").agg(F.sum(F.size("part")).alias("head"))
     sized = written(chosen.join(first, "cid", "left").select("cid", "n", F.coalesce("head", F.lit(0)).alias("head")), "ngram-sizes")
     none = F.array().cast("array<bigint>")
-    entries = written(_entries(segments.select("cid", F.explode("part").alias("gram")), chosen.select("cid", "n", F.col("n").alias("known"), none.alias("more")), percent),
-                      "ngram-prefixes")
+    grams = segments.select("cid", F.explode("part").alias("gram"))
+    held = _held(grams)
+    entries = written(_entries(grams, held, chosen.select("cid", "n", F.col("n").alias("known"), none.alias("more")), percent), "ngram-prefixes")
+    drop(held)
     pivots = F.explode(F.array(*[F.struct(F.col(f"{p}.cid").alias("other"), F.col(f"{p}.n").alias("m"), F.col(f"{p}.pos").alias("at")) for p in ("plain", "last")]))
     pairs = written(_pairs(entries.select("cid", "n", "pos", pivots.alias("p")).select("cid", "n", "pos", "p.*"), percent), "ngram-pairs")
     links = _linked(pairs, segments, sized, percent)
@@ -188,10 +196,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     best = best.select("kept_key").unionByName(found.where("component IS NULL").select(key("doc_id", F.col("same")).alias("kept_key")).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        key("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("kept_key"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    blank = F.btrim("body", F.lit(SPACE)) == ""
+                       (F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(SPACE)) == "").alias("blank"))
     first = F.row_number().over(Window.partitionBy("kept_key").orderBy("kept_key"))
-    kept = rows.join(best, "kept_key", "left_semi").withColumn("first", first).where((F.col("first") == 1) | blank)
+    kept = rows.join(best, "kept_key", "left_semi").withColumn("first", first).where((F.col("first") == 1) | F.col("blank"))
     return kept.select("row.*")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import quality_rules
+from plumbline.llm import jaccard_join, quality_rules
 from plumbline.llm.components import components
 from plumbline.llm.jaccard_join import jaccard_classes, one_of_each
 from plumbline.llm.language_id import Model, language
@@ -357,3 +357,16 @@ def test_pipeline_of_an_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_shared_ngrams_are_written_before_they_are_joined_and_texts_travel_once(spark, monkeypatch):
+    """No query both counts all n-grams and joins them, so their shuffles do not lie on the disk together; of a text only its blankness goes beside its row."""
+    plans, write = {}, jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    docs = spark.range(60).selectExpr("id AS doc_id", "CASE WHEN id < 2 THEN ' ' ELSE concat_ws(' ', transform(sequence(0, 30), i -> 'w' || (i + id DIV 20 * 5))) || repeat(' x', CAST(id % 2 AS INT)) END AS text")
+    kept = jaccard_join.one_of_each(docs)
+    counted = [name for name, plan in plans.items() if "count(1) AS df" in plan]
+    assert counted == ["ngram-held"]
+    window = kept._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1].split("\n")[0:3]
+    assert "body" not in str(window)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 20, 40]
