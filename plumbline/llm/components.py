@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("component")), "labels")
     while True:
         near = edges.join(labels, edges.y == labels.node).groupBy(edges.x.alias("n")).agg(F.min("component").alias("near"))
-        least = labels.join(near, labels.node == near.n).select("node", F.col("component").alias("was"), F.least("component", "near").alias("least"))
+        least = labels.join(near.hint("merge"), labels.node == near.n).select("node", F.col("component").alias("was"), F.least("component", "near").alias("least"))
         above = labels.select(F.col("node").alias("least"), F.col("component").alias("above"))
         step = written(least.join(above, "least").select("node", F.least("least", "above").alias("component"),
                                                          (F.least("least", "above") != F.col("was")).alias("changed")), "labels")

@@ -9,6 +9,8 @@ candidate pair is counted in each fragment on its own and summed per pair; the f
 A group of many near copies is not expanded into all pairs. Each prefix n-gram's classes are first compared with two of them, the
 one that has it earliest and the last one, and the links found are joined into components; then only classes that share a prefix
 n-gram and still lie in different components are compared. That finds the same components as comparing all pairs.
+
+Joins of tables that grow alike, on keys that stand once, say that they merge: broadcast while they are small, each would build a map on the driver.
 """
 from __future__ import annotations
 
@@ -102,10 +104,10 @@ def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: in
 
     sized = pairs.join(sizes.toDF("x", "nx", "hx"), "x").join(sizes.toDF("y", "ny", "hy"), "y")
     first = F.col("fragment") < FIRST
-    sized = sized.join(_shared(pairs, segments.where(first)), ["x", "y"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    sized = sized.join(_shared(pairs, segments.where(first)).hint("merge"), ["x", "y"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     remaining = written(sized.where(enough(F.col("shared") + F.least(F.col("nx") - F.col("hx"), F.col("ny") - F.col("hy")))), "ngram-open")
     rest = _shared(remaining.select("x", "y"), segments.where(~first)).withColumnRenamed("shared", "more")
-    links = written(remaining.join(rest, ["x", "y"], "left").where(enough(F.col("shared") + F.coalesce("more", F.lit(0)))).select("x", "y"), "ngram-links")
+    links = written(remaining.join(rest.hint("merge"), ["x", "y"], "left").where(enough(F.col("shared") + F.coalesce("more", F.lit(0)))).select("x", "y"), "ngram-links")
     drop(remaining)
     return links
 
@@ -171,10 +173,12 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     mixed = counted.groupBy("gram").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     marked = written(marked.join(mixed, "gram").select("gram", "cid", "n", "pos", "component", (F.col("component") != F.col("main")).alias("apart")), "ngram-mixed")
     apart = marked.where("apart").select("gram", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("others"))
-    rest = written(_pairs(marked.join(apart, "gram").where("component <> others"), percent).join(pairs, ["x", "y"], "left_anti"), "ngram-pairs")
-    more = _linked(rest, segments, sized, percent)
-    labels = components(links.unionByName(more))
-    drop(segments, sized, entries, pairs, rest, marked, chosen, links, more)  # labels are written; nothing below reads these
+    rest = written(_pairs(marked.join(apart, "gram").where("component <> others"), percent).join(pairs.hint("merge"), ["x", "y"], "left_anti"), "ngram-pairs")
+    if not rest.isEmpty():  # else no link is missing, and the labels stand
+        more = _linked(rest, segments, sized, percent)
+        labels = components(links.unionByName(more))
+        drop(more)
+    drop(segments, sized, entries, pairs, rest, marked, chosen, links)  # labels are written; nothing below reads these
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     named = named.join(least, "component").select("c1", "c2", "component", "component_id")
@@ -191,14 +195,15 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     def key(doc_id: str, same: Column) -> Column:
         return F.struct(F.col(doc_id).cast("long").isNull().alias("a"), F.col(doc_id).cast("long").alias("b"), same.alias("c"))
 
-    found = jaccard_classes(docs, width, percent)
+    with shuffles_removed(docs.sparkSession):  # written, so that what names components is planned and run once
+        found = written(_classes(docs, width, percent).select("doc_id", "same", "component"), "ngram-found")
     best = found.where("component IS NOT NULL").groupBy("component").agg(F.min(key("doc_id", F.col("same"))).alias("kept_key"))
     best = best.select("kept_key").unionByName(found.where("component IS NULL").select(key("doc_id", F.col("same")).alias("kept_key")).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        key("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("kept_key"),
                        (F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(SPACE)) == "").alias("blank"))
     first = F.row_number().over(Window.partitionBy("kept_key").orderBy("kept_key"))
-    kept = rows.join(best, "kept_key", "left_semi").withColumn("first", first).where((F.col("first") == 1) | F.col("blank"))
+    kept = rows.join(best.hint("merge"), "kept_key", "left_semi").withColumn("first", first).where((F.col("first") == 1) | F.col("blank"))
     return kept.select("row.*")
 
 

@@ -53,11 +53,14 @@ class LineRuns:
         self.levels[level].append(self.spark.read.schema(rows.schema).parquet(path))
 
     def add(self, keys: DataFrame) -> None:
-        """Adds a batch's (h1, h2, n, keeper), one row per key. Later batches hold smaller ids, so known keys keep their keeper."""
+        """Adds a batch's (h1, h2, n, keeper), one row per key. Later batches hold smaller ids, so known keys keep their keeper.
+
+        Runs are merged with whatever their size: broadcast, each would be a map of its own on the driver.
+        """
         runs = self.runs()
         if runs:
-            fresh = reduce(lambda batch, run: batch.join(run.select(*HASH), HASH, "left_anti"), runs, keys.select(*HASH))
-            keys = keys.join(fresh.withColumn("fresh", F.lit(True)), HASH, "left").select(
+            fresh = reduce(lambda batch, run: batch.join(run.select(*HASH).hint("merge"), HASH, "left_anti"), runs, keys.select(*HASH))
+            keys = keys.join(fresh.withColumn("fresh", F.lit(True)).hint("merge"), HASH, "left").select(
                 *HASH, "n", F.when(F.col("fresh"), F.col("keeper")).alias("keeper"))
         self._write(keys, 0)
         level = 0

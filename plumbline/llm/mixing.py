@@ -110,6 +110,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     high = F.least(F.col("end") - F.col("block") * block, F.lit(block))
     reads = schedule(sources, block).groupBy("key", "block", "words").agg(F.count("*").alias("n"))
     reads = reads.groupBy("key", "block").agg(F.collect_list(F.struct("words", "n")).alias("reads"))  # whole, and at most one that ends early
+    reads = written(reads, "mix-reads")  # apart from the documents: one plan of both takes the driver much memory
     taken = F.aggregate("reads", F.lit(0).cast("long"),
                         lambda a, r: a + r["n"] * F.greatest(F.lit(0), F.least(r["words"], F.col("high")) - F.col("low")))
     return (pieces.withColumn("low", low).withColumn("high", high).join(reads, ["key", "block"], "left")
@@ -126,9 +127,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     key = F.struct(_source_key("source").alias("a"), F.col("doc_id").cast("long").alias("b"), n_words("text").alias("c"))
     taken = mixed(docs, **options).where("size > 0").groupBy(F.struct(F.col("key").alias("a"), F.col("doc_id").alias("b"), F.col("size").alias("c")).alias("mix_key"))
-    taken = taken.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).where("times > 0")
+    taken = written(taken.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).where("times > 0"), "mix-times")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("mix_key"))
-    return rows.join(taken, "mix_key").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    return rows.join(taken.hint("merge"), "mix_key").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 MIX_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +54,13 @@ def _features(buckets: int) -> Column:
 
 
 def _scored(rows: DataFrame, ratios: list[float]) -> DataFrame:
-    """Adds score, the mean ratio over words and pairs, to rows with words; null where there are none."""
-    table = F.lit(np.array(ratios))
-    total = F.aggregate(F.transform(_features(len(ratios)), lambda b: F.get(table, b)), F.lit(0.0), lambda a, r: a + r)
-    return rows.withColumn("score", F.when(F.size("words") > 0, total / (2 * F.size("words"))))
+    """Adds score, the mean ratio over words and pairs, to rows with words; null where there are none.
+
+    The ratios are a scalar subquery: as a literal their text, hundreds of KB, would stand in every plan the driver makes and keeps.
+    """
+    table = rows.sparkSession.createDataFrame([(ratios,)], "ratios array<double>").scalar()
+    total = F.aggregate(F.transform(_features(len(ratios)), lambda b: F.get("ratios", b)), F.lit(0.0), lambda a, r: a + r)
+    return rows.withColumn("ratios", table).withColumn("score", F.when(F.size("words") > 0, total / (2 * F.size("words")))).drop("ratios")
 
 
 def _low(scores: DataFrame, share: float) -> float | None:

@@ -370,3 +370,44 @@ def test_shared_ngrams_are_written_before_they_are_joined_and_texts_travel_once(
     window = kept._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1].split("\n")[0:3]
     assert "body" not in str(window)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 20, 40]
+
+
+def test_plans_of_the_pipeline_stay_small_for_the_driver(spark, folder, monkeypatch):
+    """The driver keeps the text of every plan: no table of ratios stands in one, and what names components or schedules is not planned with the rows."""
+    from plumbline.llm import components, line_dedup, mixing
+    plans = {}
+
+    def note(name, df):
+        plans[name] = max(plans.get(name, ""), df._jdf.queryExecution().toString(), key=len)
+        return df
+
+    write = quality_rules.written
+    for module in (quality_rules, line_dedup, jaccard_join, components, mixing):
+        monkeypatch.setattr(module, "written", lambda df, name: write(note(name, df), name))
+    docs = table(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = write(note(name, stage(spark, docs, folder)), f"test-{name}")
+    assert max(map(len, plans.values())) < 100_000, {name: len(plan) for name, plan in plans.items()}
+    final = {name: plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("Join ") for name, plan in plans.items()}
+    assert final["jaccard_join"] == 1 and final["mixing"] == 1
+
+
+def test_runs_of_lines_are_merged_not_broadcast(spark, monkeypatch):
+    plans = []
+    write = LineRuns._write
+    monkeypatch.setattr(LineRuns, "_write", lambda self, rows, level: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(self, rows, level)))
+    index = LineRuns(spark)
+    for _ in range(2):
+        index.add(spark.range(10).selectExpr("id AS h1", "id AS h2", "1L AS n", "id AS keeper"))
+    assert "SortMergeJoin" in plans[1] and "Broadcast" not in plans[1]
+
+
+def test_ratios_give_the_same_scores_as_a_literal_would(spark):
+    ratios = [math.sin(i) for i in range(64)]
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["x"])], "doc_id long, words array<string>")
+    literal = F.array(*map(F.lit, ratios))
+    total = F.aggregate(F.transform(quality_rules._features(64), lambda b: F.get(literal, b)), F.lit(0.0), lambda a, r: a + r)
+    want = rows.withColumn("score", F.when(F.size("words") > 0, total / (2 * F.size("words"))))
+    got = quality_rules._scored(rows, ratios)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
